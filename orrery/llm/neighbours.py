@@ -1,14 +1,16 @@
 """Most similar vectors for every vector, by collision-counting hashing over routed blocks.
 
-The plan, one shuffle of the vectors each for steps 1 and 3:
-
-1. Exact copies become one *class*, with its ``k + 1`` smallest ids; a class is searched once.
-2. Cell centres are fitted on a sample of bounded size and broadcast.
-3. Every class is stored in the cell of its nearest centre and asked there and in every further cell that
-   its query-centred window reaches. A cell with more rows than a block holds is split by hash on both sides,
-   so that no task gets an unbounded group and every (query, stored) pair of a cell still meets once.
-4. Each block answers by collision counting (``collisions.Block``); the k best of all its blocks are a
-   class's neighbours. Lists of classes become lists of ids.
+The plan shuffles the vectors once:
+
+1. Cell centres are fitted on a sample of bounded size and broadcast; neighbouring cells form *blocks* of a
+   bounded number of rows.
+2. Every vector is stored in the cell of its nearest centre and asked there and in every further cell that its
+   query-centred window reaches; it is sent once to each block it has to do with. Exact copies within a batch
+   become one row with their smallest ids before the shuffle, and one *class* in the block. A cell with more
+   rows than a block holds is split by hash on both sides, so that no task gets an unbounded group and every
+   (query, stored) pair of a cell still meets once.
+3. Each block answers by collision counting (``collisions.Block``), cell by cell; the k best of all its blocks
+   are a class's neighbours. Lists of classes become lists of ids.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ class Similar:
     valid vector. sample_rows: bound of the sample that the cell centres are fitted on. cell_rows: stored
     classes per cell aimed at while the centres are fewer than sample_rows / 16. spread: half a routing window
     in units of the search radius; 0.3 is 2.4 standard deviations of the projection of a pair that far apart.
-    block_rows: stored and asked classes that a block holds, as estimated from the sample.
+    block_rows: stored classes that a
+    block holds, as estimated from the sample.
     """
 
     k: int = 10
@@ -46,17 +49,21 @@ class Similar:
     sample_rows: int = 65_536
     cell_rows: int = 300
     spread: float = 0.3
-    block_rows: int = 4_096
+    block_rows: int = 8_192
     seed: int = 11
     collisions: cc.Collisions = field(default_factory=cc.Collisions)
 
 
 @dataclass(frozen=True)
 class Router:
-    """Cell centres with, per cell, the radius that holds k + 1 sampled rows and the splits of its two sides."""
+    """Cell centres; per cell the radius that holds k + 1 sampled rows, its block, and the splits of its two sides.
+
+    Only a cell that is a block alone is split.
+    """
 
     centres: np.ndarray
     holds: np.ndarray
+    block: np.ndarray
     stored_parts: np.ndarray
     asked_parts: np.ndarray
 
@@ -102,14 +109,34 @@ def fit_router(stored: np.ndarray, rows: int, asked: np.ndarray, asked_rows: int
         d = np.sqrt(((stored[at] - centres[c]) ** 2).sum(1))
         if len(d) > p.k:
             holds[c] = np.partition(d, p.k)[p.k]
-    open_router = Router(centres, holds, np.ones(len(centres), int), np.ones(len(centres), int))
+    one = np.ones(len(centres), int)
+    plain = Router(centres, holds, one, one, one)
     asks = np.zeros(len(centres))
     for x, n in ((stored, rows), (asked, asked_rows)):
         for s in range(0, len(x), 4096):
-            asks += np.bincount(open_router.visits(x[s : s + 4096], p)[1], minlength=len(centres)) * (n / len(x))
+            asks += np.bincount(plain.visits(x[s : s + 4096], p)[1], minlength=len(centres)) * (n / len(x))
     stored_rows = np.bincount(home, minlength=len(centres)) * (rows / max(1, len(stored)))
-    parts = lambda n: np.maximum(1, np.ceil(n / p.block_rows)).astype(int)
-    return Router(centres, holds, parts(stored_rows), parts(asks))
+    block = blocks_of(centres, stored_rows, p.block_rows)
+    alone = np.bincount(block)[block] == 1
+    parts = lambda n: np.where(alone, np.maximum(1, np.ceil(n / (2 * p.block_rows))), 1).astype(int)
+    return Router(centres, holds, block, parts(stored_rows), parts(asks))
+
+
+def blocks_of(centres: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """A block for each cell: the cells are halved along their widest direction until a part has at most ``most`` rows."""
+    block, todo, number = np.zeros(len(centres), int), [np.arange(len(centres))], 0
+    while todo:
+        at = todo.pop()
+        if len(at) == 1 or rows[at].sum() <= most:
+            block[at] = number
+            number += 1
+            continue
+        x = centres[at] - centres[at].mean(axis=0)
+        along = x @ np.linalg.svd(x, full_matrices=False)[2][0]
+        order = at[np.argsort(along, kind="stable")]
+        half = np.clip(np.searchsorted(np.cumsum(rows[order]), rows[order].sum() / 2) + 1, 1, len(at) - 1)
+        todo += [order[:half], order[half:]]
+    return block
 
 
 def _runs(label: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -119,59 +146,63 @@ def _runs(label: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array([label[x[0]] for x in parts], dtype=int), parts
 
 
-def _valid(df: DataFrame, id_col: str, vector_col: str, p: Similar) -> DataFrame:
-    id_ = F.col(id_col).cast("long")
-    known = df.select(id_.alias("id"), F.col(vector_col).cast("array<float>").alias("data")).where(F.col("id").isNotNull() & is_valid_vector(F.col("data"), p.dimension))
-    fits = (F.col("id") >= -(1 << 62)) & (F.col("id") < 1 << 62)
-    return known.withColumn("id", F.when(fits, F.col("id")).otherwise(F.raise_error(F.lit("ids must lie within 62 bits")).cast("long")))
-
+def node_of(id_: F.Column, bit: int) -> F.Column:
+    """A key for ids of two tables that may coincide."""
+    return F.shiftleft(id_, 1).bitwiseOR(F.lit(bit).cast("long"))
 
-def _keyed(df: DataFrame, id_col: str, vector_col: str, p: Similar) -> DataFrame:
-    return _valid(df, id_col, vector_col, p).select("id", "data", F.xxhash64("data").alias("h1"), F.xxhash64(F.lit(p.seed), "data").alias("h2"))
 
+def stored_rows(df: DataFrame, id_col: str, vector_col: str, space: int = 0, bit: int = 0) -> DataFrame:
+    """Rows to be stored and asked. Spaces never meet; ``bit`` tells tables with coinciding ids apart."""
+    return _rows(df, id_col, vector_col, space, STORED | ASKED, bit)
 
-def _placed(df: DataFrame, id_col: str, vector_col: str, p: Similar) -> DataFrame:
-    """Every id once, with its place among the ids of its vector."""
-    slim = _keyed(df, id_col, vector_col, p).select("h1", "h2", "id").distinct()
-    return slim.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id")))
 
+def asked_rows(df: DataFrame, id_col: str, vector_col: str, space: int = 0, bit: int = 1) -> DataFrame:
+    """Rows to be asked only."""
+    return _rows(df, id_col, vector_col, space, ASKED, bit)
 
-def node_of(id_: F.Column, bit: int) -> F.Column:
-    """A key for ids of two tables that may coincide."""
-    return F.shiftleft(id_, 1).bitwiseOR(F.lit(bit).cast("long"))
 
+def _rows(df: DataFrame, id_col: str, vector_col: str, space: int, role: int, bit: int) -> DataFrame:
+    id_ = F.col(id_col).cast("long")
+    return df.select(
+        F.lit(space).alias("space"), F.lit(role).alias("role"), F.lit(bit).alias("bit"), _fitting(id_).alias("id"), F.col(vector_col).cast("array<float>").alias("data")
+    ).where(F.col("id").isNotNull() & F.col("data").isNotNull())
 
-def classes(df: DataFrame, id_col: str, vector_col: str, p: Similar, space: int = 0, bit: int = 0) -> DataFrame:
-    """One row per distinct valid vector: ``node`` (of its smallest id), ``ids`` (its k + 1 smallest), ``data``.
 
-    Rows with a null id or no valid vector are left out; rows of one id count once; other columns are ignored.
-    """
-    ids = _placed(df, id_col, vector_col, p).where(F.col("place") <= p.k + 1).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    vectors = _keyed(df, id_col, vector_col, p).groupBy("h1", "h2").agg(F.first("data").alias("data"))
-    both = ids.join(vectors, ["h1", "h2"])
-    return both.select(F.lit(space).alias("space"), F.lit(STORED | ASKED).alias("role"), node_of(F.col("ids")[0], bit).alias("node"), "ids", "data")
+def _fitting(id_: F.Column) -> F.Column:
+    fits = id_.isNull() | ((id_ >= -(1 << 62)) & (id_ < 1 << 62))
+    return F.when(fits, id_).otherwise(F.raise_error(F.lit("ids must lie within 62 bits")).cast("long"))
 
 
-def questions(df: DataFrame, id_col: str, vector_col: str, p: Similar, space: int = 0) -> DataFrame:
-    """One row per id with a valid vector, that is asked but not stored."""
-    once = _valid(df, id_col, vector_col, p).groupBy("id").agg(F.first("data").alias("data"))
-    return once.select(F.lit(space).alias("space"), F.lit(ASKED).alias("role"), node_of(F.col("id"), 1).alias("node"), F.array("id").alias("ids"), "data")
+def _keyed(df: DataFrame, id_col: str, vector_col: str, p: Similar) -> DataFrame:
+    data = F.col(vector_col).cast("array<float>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), data.alias("data")).where(F.col("id").isNotNull())
+    return rows.select("id", "data", F.xxhash64("data").alias("h1"), F.xxhash64(F.lit(p.seed), "data").alias("h2"))
 
 
 def members(df: DataFrame, id_col: str, vector_col: str, p: Similar, bit: int = 0) -> DataFrame:
-    """(``id``, ``node``) of every valid row, once per id."""
-    slim = _keyed(df, id_col, vector_col, p).select("h1", "h2", "id").distinct()
+    """(``id``, ``node``) of every valid row, once per id; ``node`` names the class by its smallest id."""
+    slim = _keyed(df, id_col, vector_col, p).where(is_valid_vector(F.col("data"), p.dimension)).select("h1", "h2", "id").distinct()
     nodes = slim.groupBy("h1", "h2").agg(node_of(F.min("id"), bit).alias("node"))
     return slim.join(nodes, ["h1", "h2"]).select("id", "node")
 
 
+def further_copies(df: DataFrame, id_col: str, vector_col: str, p: Similar) -> DataFrame:
+    """(``id``, ``first``) of ids beyond the k + 1 smallest of their class, with its k smallest in order."""
+    keyed = _keyed(df, id_col, vector_col, p)
+    large = keyed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > p.k + 1).select("h1", "h2")
+    ids = keyed.join(large, ["h1", "h2"], "left_semi").where(is_valid_vector(F.col("data"), p.dimension)).select("h1", "h2", "id").distinct()
+    placed = ids.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id")))
+    first = placed.where(F.col("place") <= p.k).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("first"))
+    return placed.where(F.col("place") > p.k + 1).join(first, ["h1", "h2"]).select("id", "first")
+
+
 def sampled(df: DataFrame, vector_col: str, p: Similar) -> tuple[np.ndarray, int]:
     """Distinct valid vectors of a hash sample of bounded size, and the number of all rows."""
     rows = df.count()
     v = F.col(vector_col).cast("array<float>")
     share = min(1.0, 16 * cells_for(rows, p) / max(rows, 1))
-    h = F.pmod(F.xxhash64(F.lit(p.seed + 1), v), F.lit(1 << 30))
-    part = df.where(is_valid_vector(v, p.dimension) & (h < int(share * (1 << 30)))).select(v.alias("data"), h.alias("h"))
+    hashed = df.select(v.alias("data"), F.pmod(F.xxhash64(F.lit(p.seed + 1), v), F.lit(1 << 30)).alias("h"))
+    part = hashed.where(F.col("h") < int(share * (1 << 30))).where(is_valid_vector(F.col("data"), p.dimension))
     got = part.dropDuplicates(["h"]).orderBy("h").limit(2 * p.sample_rows).toArrow()["data"].combine_chunks()
     x = got.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, p.dimension)
     return np.ascontiguousarray(x), rows
@@ -196,106 +227,155 @@ def _unpack(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
-ROUTED = "block long, flag int, node long, ids array<long>, v binary"
+ROUTED = "block long, flag int, bit int, ids array<long>, home int, cells binary, v binary"
+
+
+def _vectors(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries are valid vectors, and these as a matrix."""
+    ends = column.offsets.to_numpy()
+    values = column.values
+    fine = np.asarray(values.is_valid().to_numpy(zero_copy_only=False)) if values.null_count else None
+    flat = values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    ok = np.flatnonzero((np.diff(ends) == dimension) & column.is_valid().to_numpy(zero_copy_only=False))
+    at = ends[ok][:, None] + np.arange(dimension)
+    x = flat[at]
+    good = np.isfinite(x).all(axis=1)
+    if fine is not None:
+        good &= fine[at].all(axis=1)
+    return ok[good], np.ascontiguousarray(x[good]) + np.float32(0)
+
+
+def _same(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and class of equal rows, the parts side by side."""
+    raw = np.ascontiguousarray(np.concatenate([np.ascontiguousarray(p).reshape(len(p), -1).view(np.uint8) for p in parts], axis=1))
+    _, first, label = np.unique(raw.view(np.dtype((np.void, raw.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first, label
+
+
+def _least(label: np.ndarray, ids: np.ndarray, classes: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` smallest distinct ids of each class, as ends and values."""
+    order = np.lexsort((ids, label))
+    label, ids = label[order], ids[order]
+    new = np.r_[True, (label[1:] != label[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.zeros(0, bool)
+    label, ids = label[new], ids[new]
+    keep = cc._place(label) < most
+    return np.r_[0, np.cumsum(np.bincount(label[keep], minlength=classes))], ids[keep]
 
 
 def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], p: Similar) -> Iterator[pa.RecordBatch]:
-    """Copies of each row for its blocks: stored in its home cell, asked in each cell it visits."""
+    """A row for each block that a vector is stored or asked in; copies within the batch are one row."""
     for batch in batches:
-        if not batch.num_rows:
+        ok, x = _vectors(batch.column("data"), p.dimension)
+        if not len(ok):
             continue
-        x = np.ascontiguousarray(batch.column("data").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, p.dimension))
-        space, role, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("space", "role", "node"))
-        spread = np.random.default_rng(p.seed).integers(1, 1 << 62) | 1
-        salt = ((node.astype(np.uint64) * np.uint64(spread)) >> np.uint64(33)).astype(np.int64)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        space, role, bit, ids = (batch.column(c).to_numpy(zero_copy_only=False)[ok].astype(np.int64) for c in ("space", "role", "bit", "id"))
+        alone = np.where(role & STORED, 0, ids)  # a question is a class of its own
+        first, label = _same(x, np.stack([space, role, bit, alone], axis=1))
+        ends, least = _least(label, ids, len(first), p.k + 1)
+        x, space, role, bit = x[first], space[first], role[first], bit[first]
+        salt = np.einsum("ij,j->i", x.view(np.uint32).astype(np.uint64), _ODD[: p.dimension]) >> np.uint64(34)
+        salt = salt.astype(np.int64)
+        out = []
         for key in np.unique(space):
             at, r = np.flatnonzero(space == key), routers[int(key)]
             for s in range(0, len(at), 2048):
                 rows = at[s : s + 2048]
                 i, cell, home = r.visits(x[rows], p)
-                row, is_home = rows[i], cell == home[i]
-                b, q = r.stored_parts[cell], r.asked_parts[cell]
-                own_b, own_q = salt[row] % b, salt[row] % q
-                base = (int(key) << 52) + (cell << 24)
-                asks = (role[row] & ASKED) > 0
-                stays = is_home & ((role[row] & STORED) > 0)
-                plain = b * q == 1
-                flag = np.where(asks, ASKED, 0) + np.where(stays, STORED, 0)
-                ok = plain & (flag > 0)
-                out.append((base[ok], flag[ok], row[ok]))
-                for j in np.flatnonzero(~plain):
-                    places = {}
-                    if asks[j]:
-                        for part in range(b[j]):
-                            places[(part, own_q[j])] = ASKED
-                    if stays[j]:
-                        for part in range(q[j]):
-                            places[(own_b[j], part)] = places.get((own_b[j], part), 0) + STORED
-                    keys = np.array([base[j] + (m << 12) + n for m, n in places], dtype=np.int64)
-                    out.append((keys, np.array(list(places.values())), np.full(len(keys), row[j])))
-        block, flag, row = (np.concatenate(c) for c in zip(*out))
-        ids = batch.column("ids").take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(flag, pa.int32()), pa.array(node[row], pa.int64()), ids.cast(pa.list_(pa.int64())), _pack(x[row])], names=["block", "flag", "node", "ids", "v"])
-
+                block, row = r.block[cell], rows[i]
+                order = np.lexsort((cell, block, row))
+                block, row, cell, home = block[order], row[order], cell[order], home[i][order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])
+                stop = np.r_[new[1:], len(row)]
+                for a, z in zip(new.tolist(), stop.tolist()):
+                    c, n = int(cell[a]), int(row[a])
+                    stays = block[a] == r.block[home[a]] and role[n] & STORED
+                    b, q = int(r.stored_parts[c]), int(r.asked_parts[c])
+                    base = (int(key) << 56) + (int(block[a]) << 24)
+                    if b * q == 1:
+                        out.append((base, (STORED if stays else 0) | ASKED, n, int(home[a]), cell[a:z].astype(np.int32).tobytes()))
+                        continue
+                    places: dict[int, int] = {(part << 12) + int(salt[n] % q): ASKED for part in range(b)}
+                    if stays:
+                        for part in range(q):
+                            place = (int(salt[n] % b) << 12) + part
+                            places[place] = places.get(place, 0) | STORED
+                    out += [(base + place, flag, n, int(home[a]), cell[a:z].astype(np.int32).tobytes()) for place, flag in places.items()]
+        block, flag, row, home, cells = zip(*out)
+        row = np.array(row)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(least, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block, pa.int64()), pa.array(flag, pa.int32()), pa.array(bit[row], pa.int32()), lists.take(pa.array(row)), pa.array(home, pa.int32()), pa.array(cells, pa.binary()), _pack(x[row])],
+            names=["block", "flag", "bit", "ids", "home", "cells", "v"],
+        )
+
+
+#: Odd multipliers of the hash by which a split cell spreads its vectors.
+_ODD = np.random.default_rng(17).integers(1, 1 << 63, size=1 << 14, dtype=np.uint64) | np.uint64(1)
 
 FOUND = "node long, ids array<long>, near array<long>, far array<double>, links array<long>"
 
 
-def _expanded(qi: np.ndarray, bi: np.ndarray, d: np.ndarray, ids: pa.ListArray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stored classes replaced by their ids, cut to k + 1 for each query."""
-    ends, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy(zero_copy_only=False)
-    rows = base[bi]
-    n = ends[rows + 1] - ends[rows]
-    first = ends[rows] - ends[0]
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    qi, near, d = np.repeat(qi, n), flat[at], np.repeat(d, n)
-    keep = np.lexsort((near, d, qi))
-    keep = keep[cc._place(qi[keep]) <= k]
-    return qi[keep], near[keep], d[keep]
-
-
 def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
     """The answers of one block: per asked class the ids nearest to it, its own further copies included.
 
     With ``graph`` the lists are of nodes, without copies, and ``links`` makes them complete for connectedness:
     for each two groups of the block that are joined by a pair within the limit though by no list, the closest
-    such pair, held by its asked class.
+    such pair of a cell, held by its asked class.
     """
-    flag, node = table["flag"].to_numpy(), table["node"].to_numpy()
-    ids = table["ids"].combine_chunks().cast(pa.list_(pa.int64()))
+    flag, bit = table["flag"].to_numpy(), table["bit"].to_numpy()
+    lists = table["ids"].combine_chunks().cast(pa.list_(pa.int64()))
+    ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
     x = _unpack(table["v"], p.dimension)
-    order = np.argsort(node, kind="stable")
-    base, ask = order[(flag[order] & STORED) > 0], order[(flag[order] & ASKED) > 0]
-    q, q_nodes, nodes = np.ascontiguousarray(x[ask]), node[ask], node[base]
-    block = cc.Block(np.ascontiguousarray(x[base]), nodes, p.collisions) if len(base) else None
-    qi, bi, d = block.search(q, q_nodes, p.k, p.limit) if block else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    question = (bit == 1) & (flag & STORED == 0) if not graph else np.zeros(len(bit), bool)
+    first, label = _same(x, np.stack([flag.astype(np.int64), bit.astype(np.int64), np.where(question, flat[ends[:-1] - ends[0]], 0)], axis=1))
+    ends, flat = _least(np.repeat(label, np.diff(ends)), flat, len(first), p.k + 1)
+    x, flag, home = np.ascontiguousarray(x[first]), flag[first], table["home"].to_numpy()[first]
+    node = (flat[ends[:-1]] << 1) | bit[first]
+    asked = np.flatnonzero(flag & ASKED)
+    cells = [np.frombuffer(c, np.int32) for c in table["cells"].take(pa.array(first[asked])).to_pylist()]
+    ask_cell, ask_row = np.concatenate(cells), np.repeat(asked, [len(c) for c in cells])
     links: dict[int, list[int]] = {}
+    found, searched = [], []
+    for cell in np.unique(home[(flag & STORED) > 0]):
+        base = np.flatnonzero((flag & STORED > 0) & (home == cell))
+        base, rows = base[np.argsort(node[base])], ask_row[ask_cell == cell]
+        block = cc.Block(x[base], node[base], p.collisions)
+        q = x[rows]
+        qi, bi, d = block.search(q, node[rows], p.k, p.limit)
+        found.append((rows[qi], base[bi], d))
+        if graph and p.limit is not None:
+            searched.append((block, q, rows, base, np.flatnonzero(np.bincount(qi, minlength=len(rows)) >= p.k)))
+    row, near, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    if searched:
+        label = cc.components(len(node), row, near)
+        for block, q, rows, base, full in searched:
+            for i, j, _ in zip(*cc.bridges(block, q, full, label[rows], label[base], p.limit)):
+                links.setdefault(int(rows[i]), []).append(int(node[base[j]]))
+    if not graph:
+        many = np.flatnonzero((flag & STORED > 0) & (flag & ASKED > 0) & (np.diff(ends) > 1))
+        row, near, d = np.r_[row, many], np.r_[near, many], np.r_[d, np.zeros(len(many))]
+    order = np.lexsort((node[near], d, row))
+    order = order[cc._place(row[order]) <= p.k]
+    row, near, d = row[order], near[order], d[order]
     if graph:
-        near = nodes[bi]
-        if block and p.limit is not None:
-            everyone = np.unique(node)
-            at_q, at_b = np.searchsorted(everyone, q_nodes), np.searchsorted(everyone, nodes)
-            label = cc.components(len(everyone), at_q[qi], at_b[bi])
-            full = np.flatnonzero(np.bincount(qi, minlength=len(ask)) >= p.k)
-            for i, j, _ in zip(*cc.bridges(block, q, full, label[at_q], label[at_b], p.limit)):
-                links.setdefault(int(i), []).append(int(nodes[j]))
-        keep = np.lexsort((near, d, qi))
-        qi, near, d = qi[keep], near[keep], d[keep]
+        near = node[near]
     else:
-        both = np.flatnonzero(np.isin(q_nodes, nodes))
-        both = both[pa.compute.list_value_length(ids).to_numpy()[ask[both]] > 1]
-        qi, bi, d = np.r_[qi, both], np.r_[bi, np.searchsorted(nodes, q_nodes[both])], np.r_[d, np.zeros(len(both))]
-        qi, near, d = _expanded(qi, bi, d, ids, base, p.k)
-    counts = np.bincount(qi, minlength=len(ask))
-    rows = np.flatnonzero((counts > 0) | np.isin(np.arange(len(ask)), list(links)))
-    ends = pa.array(np.r_[0, np.cumsum(counts[rows])].astype(np.int32))
+        n = ends[near + 1] - ends[near]
+        at = np.repeat(ends[near] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        row, near, d = np.repeat(row, n), flat[at], np.repeat(d, n)
+        order = np.lexsort((near, d, row))
+        order = order[cc._place(row[order]) <= p.k]
+        row, near, d = row[order], near[order], d[order]
+    counts = np.bincount(row, minlength=len(node))
+    rows = np.flatnonzero((counts > 0) | np.isin(np.arange(len(node)), list(links)))
+    stops = pa.array(np.r_[0, np.cumsum(counts[rows])].astype(np.int32))
+    own = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int64()))
     return pa.table(
         [
-            pa.array(q_nodes[rows], pa.int64()),
-            ids.take(pa.array(ask[rows])),
-            pa.ListArray.from_arrays(ends, pa.array(near, pa.int64())),
-            pa.ListArray.from_arrays(ends, pa.array(d, pa.float64())),
+            pa.array(node[rows], pa.int64()),
+            own.take(pa.array(rows)),
+            pa.ListArray.from_arrays(stops, pa.array(near, pa.int64())),
+            pa.ListArray.from_arrays(stops, pa.array(d, pa.float64())),
             pa.array([links.get(int(i), []) for i in rows], pa.list_(pa.int64())),
         ],
         names=["node", "ids", "near", "far", "links"],
@@ -303,7 +383,7 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
 
 
 def answers(rows: DataFrame, routers: dict[int, Router], p: Similar, graph: bool) -> DataFrame:
-    """The answers of all blocks to ``rows`` (of :func:`classes` and :func:`questions`), several per node."""
+    """The answers of all blocks to ``rows`` (of :func:`stored_rows` and :func:`asked_rows`), several per node."""
     ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(routers)
     routed = rows.mapInArrow(lambda batches: _route(batches, shared.value, p), ROUTED)
@@ -329,18 +409,16 @@ def most_similar(stored: DataFrame, requests: DataFrame | None = None, p: Simila
     Columns other than those named are ignored, whatever they are called. Ids must lie within 62 bits.
     """
     sample, rows = sampled(stored, vector_col, p)
-    asked, asked_rows = sampled(requests, request_col, p) if requests is not None else (np.zeros((0, p.dimension), np.float32), 0)
-    routers = {0: fit_router(sample, rows, asked, asked_rows, p)}
-    everything = classes(stored, id_col, vector_col, p)
+    asked, asked_n = sampled(requests, request_col, p) if requests is not None else (np.zeros((0, p.dimension), np.float32), 0)
+    routers = {0: fit_router(sample, rows, asked, asked_n, p)}
+    everything = stored_rows(stored, id_col, vector_col)
     if requests is not None:
-        everything = everything.unionByName(questions(requests, request_id_col, request_col, p))
+        everything = everything.unionByName(asked_rows(requests, request_id_col, request_col))
     lists = merged(answers(everything, routers, p, graph=False), p.k + 1)
     is_request = F.col("node").bitwiseAND(F.lit(1).cast("long")) == 1
     each = lists.select(F.when(is_request, "request").otherwise("stored").alias("origin"), F.explode("ids").alias("query_id"), "hits")
-    placed = _placed(stored, id_col, vector_col, p)
-    first = placed.where(F.col("place") <= p.k).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    rest = placed.where(F.col("place") > p.k + 1).join(first, ["h1", "h2"])
-    rest = rest.select(F.lit("stored").alias("origin"), F.col("id").alias("query_id"), F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("far"), i.alias("near"))).alias("hits"))
+    rest = further_copies(stored, id_col, vector_col, p)
+    rest = rest.select(F.lit("stored").alias("origin"), F.col("id").alias("query_id"), F.transform("first", lambda i: F.struct(F.lit(0.0).alias("far"), i.alias("near"))).alias("hits"))
     each = each.unionByName(rest)
     others = F.filter("hits", lambda h: (F.col("origin") == "request") | (h["near"] != F.col("query_id")))
     listed = each.select("origin", "query_id", F.posexplode(F.slice(others, 1, p.k)).alias("at", "hit"))
