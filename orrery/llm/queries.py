@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import neighbours
+from orrery.llm import clusters, mixing, neighbours, packing, quality, sample
+
+
+#: Share of the records that the sample holds.
+SAMPLE_RATE = 0.05
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +22,72 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.most_similar(_table(spark, sf_dir, "vectors"), _table(spark, sf_dir, "queries")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = neighbours.Similar(k=6)
+    tables = [(_table(spark, sf_dir, "vectors"), "id", "data", 0), (_table(spark, sf_dir, "centroids"), "centroid_id", "vector", 1)]
+    named, _ = clusters.clustered(tables, p)
+    members = [neighbours.members(df, id_col, vector_col, p, bit) for df, id_col, vector_col, bit in tables]
+    found = clusters.cluster_members(named, members[0].unionByName(members[1]))
+    return found.select(F.when(F.col("bit") == 1, "centroid").otherwise("stored").alias("origin"), "cluster_key", "member_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = sample.batch_records(_table(spark, sf_dir, "vectors"), SAMPLE_RATE)
+    return records.where("versions >= 2").select(F.col("record").alias("external_id"))
+
+
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample.frozen_sample(_table(spark, sf_dir, "vectors"), SAMPLE_RATE).select(F.col("record").alias("external_id"), F.col("batch").alias("load_no"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = packing.packed(_table(spark, sf_dir, "documents"))
+    return filled.where("pieces > 1").select("doc_id").distinct()
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(packing.packed(_table(spark, sf_dir, "documents")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_report(spark, sf_dir).where("falls_short").select("source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assessed = quality.assessed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
+    return assessed.where(~F.col("is_prose")).select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assessed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
+
+
+QUERIES = [p1_found, p3_found, p5_found, p5_sample, p6_found, p6_containers, p7_found, p7_report, p8_found, p8_statistics]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in QUERIES}
+
+
+P5_SAMPLE = """
+WITH records AS (
+  SELECT external_id, min(load_no) AS load_no FROM vectors WHERE external_id IS NOT NULL GROUP BY external_id
+), placed AS (
+  SELECT external_id, load_no, count(*) OVER (PARTITION BY load_no) AS n,
+         row_number() OVER (PARTITION BY load_no ORDER BY md5('orrery:' || external_id), external_id) AS place
+  FROM records WHERE load_no IS NOT NULL
+)
+SELECT external_id, CAST(load_no AS BIGINT) AS load_no FROM placed WHERE place <= ceil(round(0.05 * n, 6))
+"""
+
+P5_FOUND = """
+SELECT external_id FROM vectors WHERE external_id IS NOT NULL GROUP BY external_id HAVING count(DISTINCT id) >= 2
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": P5_FOUND, "p5_sample": P5_SAMPLE}
