@@ -5,7 +5,8 @@ The plan shuffles the vectors once:
 1. Cell centres are fitted on a sample of bounded size and broadcast; neighbouring cells form *blocks* of a
    bounded number of rows.
 2. Every vector is stored in the cell of its nearest centre and asked there and in every further cell that its
-   query-centred window reaches; it is sent once to each block it has to do with. Exact copies within a batch
+   query-centred window reaches; it is sent once to each block it has to do with. Of two blocks, stored vectors
+   visit only one way: a visitor is found there as well as it asks, so either side learns of the pair. Exact copies within a batch
    become one row with their smallest ids before the shuffle, and one *class* in the block. A cell with more
    rows than a block holds is split by hash on both sides, so that no task gets an unbounded group and every
    (query, stored) pair of a cell still meets once.
@@ -28,6 +29,7 @@ from orrery.functions.vectors import is_valid_vector
 from orrery.llm import collisions as cc
 from orrery.session import ship
 
+#: What a row is in a block: one that others find, one that asks.
 STORED, ASKED = 1, 2
 
 
@@ -282,24 +284,25 @@ def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], p: Sim
                 rows = at[s : s + 2048]
                 i, cell, home = r.visits(x[rows], p)
                 block, row = r.block[cell], rows[i]
+                own = r.block[home[i]]
+                goes = (block == own) | (role[row] & STORED == 0) | ((block < own) == ((block + own) % 2 == 0))
+                i, block, row, cell = i[goes], block[goes], row[goes], cell[goes]
                 order = np.lexsort((cell, block, row))
                 block, row, cell, home = block[order], row[order], cell[order], home[i][order]
                 new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])
                 stop = np.r_[new[1:], len(row)]
                 for a, z in zip(new.tolist(), stop.tolist()):
                     c, n = int(cell[a]), int(row[a])
-                    stays = block[a] == r.block[home[a]] and role[n] & STORED
+                    role_n, at_home = int(role[n]), block[a] == r.block[home[a]]
                     b, q = int(r.stored_parts[c]), int(r.asked_parts[c])
                     base = (int(key) << 56) + (int(block[a]) << 24)
-                    if b * q == 1:
-                        out.append((base, (STORED if stays else 0) | ASKED, n, int(home[a]), cell[a:z].astype(np.int32).tobytes()))
-                        continue
-                    places: dict[int, int] = {(part << 12) + int(salt[n] % q): ASKED for part in range(b)}
-                    if stays:
-                        for part in range(q):
+                    places = {0: role_n}
+                    if b * q > 1:
+                        places = {(part << 12) + int(salt[n] % q): ASKED for part in range(b)}
+                        for part in range(q if role_n & STORED else 0):
                             place = (int(salt[n] % b) << 12) + part
                             places[place] = places.get(place, 0) | STORED
-                    out += [(base + place, flag, n, int(home[a]), cell[a:z].astype(np.int32).tobytes()) for place, flag in places.items()]
+                    out += [(base + place, flag, n, int(home[a]) if at_home else -1, cell[a:z].astype(np.int32).tobytes()) for place, flag in places.items()]
         block, flag, row, home, cells = zip(*out)
         row = np.array(row)
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(least, pa.int64()))
@@ -326,19 +329,24 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
     lists = table["ids"].combine_chunks().cast(pa.list_(pa.int64()))
     ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
     x = _unpack(table["v"], p.dimension)
-    question = (bit == 1) & (flag & STORED == 0) if not graph else np.zeros(len(bit), bool)
+    question = np.zeros(len(bit), bool) if graph else bit == 1
     first, label = _same(x, np.stack([flag.astype(np.int64), bit.astype(np.int64), np.where(question, flat[ends[:-1] - ends[0]], 0)], axis=1))
     ends, flat = _least(np.repeat(label, np.diff(ends)), flat, len(first), p.k + 1)
     x, flag, home = np.ascontiguousarray(x[first]), flag[first], table["home"].to_numpy()[first]
     node = (flat[ends[:-1]] << 1) | bit[first]
     asked = np.flatnonzero(flag & ASKED)
     cells = [np.frombuffer(c, np.int32) for c in table["cells"].take(pa.array(first[asked])).to_pylist()]
-    ask_cell, ask_row = np.concatenate(cells), np.repeat(asked, [len(c) for c in cells])
+    ask_cell, ask_row = np.concatenate([np.zeros(0, np.int32), *cells]), np.repeat(asked, [len(c) for c in cells])
     links: dict[int, list[int]] = {}
     found, searched = [], []
-    for cell in np.unique(home[(flag & STORED) > 0]):
-        base = np.flatnonzero((flag & STORED > 0) & (home == cell))
-        base, rows = base[np.argsort(node[base])], ask_row[ask_cell == cell]
+    stored = (flag & STORED) > 0
+    guest = np.flatnonzero(stored & (home < 0))
+    guest_cells = [np.frombuffer(c, np.int32) for c in table["cells"].take(pa.array(first[guest])).to_pylist()]
+    in_cell = np.r_[home[stored & (home >= 0)], *guest_cells].astype(int)
+    in_row = np.r_[np.flatnonzero(stored & (home >= 0)), np.repeat(guest, [len(c) for c in guest_cells])].astype(int)
+    for cell in np.unique(in_cell):
+        base, rows = in_row[in_cell == cell], ask_row[ask_cell == cell]
+        base = base[np.argsort(node[base])]
         block = cc.Block(x[base], node[base], p.collisions)
         q = x[rows]
         qi, bi, d = block.search(q, node[rows], p.k, p.limit)
@@ -352,7 +360,7 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
             for i, j, _ in zip(*cc.bridges(block, q, full, label[rows], label[base], p.limit)):
                 links.setdefault(int(rows[i]), []).append(int(node[base[j]]))
     if not graph:
-        many = np.flatnonzero((flag & STORED > 0) & (flag & ASKED > 0) & (np.diff(ends) > 1))
+        many = np.flatnonzero(stored & (flag & ASKED > 0) & (np.diff(ends) > 1))
         row, near, d = np.r_[row, many], np.r_[near, many], np.r_[d, np.zeros(len(many))]
     order = np.lexsort((node[near], d, row))
     order = order[cc._place(row[order]) <= p.k]
