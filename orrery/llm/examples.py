@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import textwrap
+
 import numpy as np
 
 # Things and qualities that lists and tables of the examples are made of.
@@ -86,7 +88,7 @@ def examples(per_family: int = 8, seed: int = 1) -> list[tuple[str, str, str]]:
             "capitals": " ".join(text[:3]).upper(),
             "bare": " ".join(s.rstrip(".").lower().replace(",", "") for s in text),
             "lines": "\n".join(text),
-            "wrapped": " ".join(text).replace(" ", "\n", 1).replace(". ", ".\n", 2),
+            "wrapped": textwrap.fill(" ".join(text), int(r.integers(28, 64))),
             "wide": "  ".join(text[0].split()),
             "listed": " ".join(text) + "\n" + "\n".join(f"- {e()}" for _ in range(2)),
             "extra": text[0] + " (35 cm x 20 cm, 8,5 kg) :-)",

@@ -33,12 +33,14 @@ USED = ("log_words", *STATISTICS[1:], *FURTHER)
 @dataclass(frozen=True)
 class Mixture:
     """rounds: of expectation-maximization over all documents. ridge: added to variances of standardized statistics.
-    spread: starting variance of a component around its family of examples. most_words: bound of the table of common
+    spread: starting variance of a component around its family of examples. prior: documents that the family counts
+    as throughout, which holds components in place where a corpus has few such documents. most_words: bound of the table of common
     words, which is broadcast."""
 
     rounds: int = 15
     ridge: float = 0.02
     spread: float = 0.3
+    prior: float = 10.0
     most_words: int = 100_000
 
 
@@ -156,8 +158,9 @@ def fit(measured: DataFrame, common: dict[str, frozenset[str]], m: Mixture = Mix
 
     A component starts at each family of examples. In every round tasks add up their rows' responsibilities,
     sums and products, which are added by position across tasks; the driver gets one sum per position only.
-    Afterwards a component has the kind whose families of examples it is most responsible for, and a component
-    that none falls to has the kind of the nearest family.
+    A component's family stays in its sums like ``prior`` documents. Afterwards a component has the kind whose
+    families of examples it is most responsible for, and a component that none falls to has the kind of the
+    nearest family.
     """
     names = [*STATISTICS, *FURTHER]
     texts = measured.where(~F.col("empty"))
@@ -171,6 +174,7 @@ def fit(measured: DataFrame, common: dict[str, frozenset[str]], m: Mixture = Mix
     at = (_used(rows) - centre) / scale
     order = list(dict.fromkeys(families))
     means = np.stack([at[[f == g for f in families]].mean(axis=0) for g in order])
+    start = means
     fitted = Fitted(centre, scale, np.full(len(order), 1 / len(order)), means, np.stack([np.eye(size) * m.spread] * len(order)))
     spark = measured.sparkSession
     for _ in range(m.rounds):
@@ -190,10 +194,12 @@ def fit(measured: DataFrame, common: dict[str, frozenset[str]], m: Mixture = Mix
         sums = texts.select(*names).mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")["x"].to_numpy()
         k = len(fitted.weights)
         n, s1, s2 = sums[:k], sums[k : k + k * size].reshape(k, size), sums[k + k * size :].reshape(k, size, size)
-        live = n > 2.0
-        n, s1, s2 = n[live], s1[live], s2[live]
-        means = s1 / n[:, None]
-        covariances = s2 / n[:, None, None] - np.einsum("ki,kj->kij", means, means) + np.eye(size) * m.ridge
+        s1 += m.prior * start
+        s2 += m.prior * (np.eye(size) * m.spread + np.einsum("ki,kj->kij", start, start))
+        total = (n + m.prior)[:, None]
+        means = s1 / total
+        covariances = s2 / total[:, :, None] - np.einsum("ki,kj->kij", means, means) + np.eye(size) * m.ridge
+        n = n + 0.1
         fitted = Fitted(centre, scale, n / n.sum(), means, covariances)
         shared.unpersist()
     shares = fitted.shares(at)
