@@ -1,9 +1,328 @@
 """Named queries over the embeddings table, each with its SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from orrery.functions.kernels import matrix
+from orrery.functions.vectors import l2_squared
+from orrery.operators import evaluate, index, kmeans, knn, search
+from orrery.plans import deterministic as det
+from orrery.schema import IndexConfig, dimension_violations, with_timestamps
+from orrery.session import ensure_checkpoint_dir, ship
+
+Q, K = 20, 10
+#: Rows of the batch of ``minibatch_update_step``: vec_id % BATCH_OF = BATCH_AT; each centroid has had HITS batches.
+BATCH_OF, BATCH_AT, HITS = 7, 3, 4
+NOW = 1_700_000_000
+
+
+def _e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det.embeddings(spark, sf_dir)
+
+
+def _queries(e: DataFrame, n: int = Q) -> DataFrame:
+    return e.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _exact(e: DataFrame, n: int = Q, k: int = K) -> DataFrame:
+    return knn.exact_batch(e, _queries(e, n), k, "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
+
+
+def _found(spark: SparkSession, sf_dir: str, n_probe: int, k: int = K, include: bool = False, built: det.Built | None = None) -> DataFrame:
+    built = built or det.build(spark, sf_dir)
+    found = search.search_lists(_queries(_e(spark, sf_dir)), built.centroids, built.postings, k, n_probe, include, "vec_id", "embedding")
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+def _rounded(df: DataFrame, column: str = "distance", digits: int = 6) -> DataFrame:
+    return df.withColumn(column, F.round(column, digits))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "rank", "external_id", F.round("distance", 6).alias("distance"))
+
+
+def l2sq_to_query(spark, d):
+    e = _e(spark, d)
+    one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(l2_squared(F.col("embedding"), F.col("q")), 6).alias("distance"))
+
+
+def exact_knn_single(spark, d):
+    e = _e(spark, d)
+    query = e.where("vec_id = 0").first()["embedding"]
+    found = knn.exact_single(e, query, K, "vec_id", "embedding")
+    return found.select(F.col("rank").cast("long").alias("rank"), "external_id", F.round("distance", 6).alias("distance"))
+
+
+def exact_knn_batch(spark, d):
+    return _named(_exact(_e(spark, d), 50))
+
+
+def centroid_means(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    means = knn.centroid_means(e, "embedding", "label")
+    return means.select(F.col("centroid_id").alias("label"), F.posexplode("centroid").alias("pos", "mean")).select("label", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
+
+
+def nearest_centroid_assign(spark, d):
+    e = _e(spark, d)
+    ids, c = det.seeds(e)
+    best = knn.nearest_centroid(e, det.centroid_frame(spark, ids, c))
+    return _rounded(best)
+
+
+def lloyd_fixed_iters(spark, d):
+    e = _e(spark, d)
+    ids, c = det.lloyd(e)
+    return det.assigned(e, ids, c).select("vec_id", "centroid_id")
+
+
+def minibatch_update_step(spark, d):
+    e = _e(spark, d)
+    ids, c = det.seeds(e)
+    mean, n = kmeans.lloyd_round(e.where(F.col("vec_id") % BATCH_OF == BATCH_AT), c, "embedding")
+    eta = 1 / (HITS + 1)
+    new = np.where((n > 0)[:, None], (1 - eta) * c + eta * mean, c)
+    long = det.centroid_frame(spark, ids, new).select("centroid_id", F.posexplode("centroid").alias("pos", "value"))
+    return long.select("centroid_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+def kmeanspp_weights(spark, d):
+    e = _e(spark, d)
+    firsts = e.where("vec_id < 5").select(F.col("vec_id").alias("centroid_id"), F.col("embedding").alias("centroid"))
+    best = knn.nearest_centroid(e, firsts)
+    return best.select("vec_id", F.round("distance", 6).alias("least"), F.round(F.col("distance") * F.col("distance"), 6).alias("weight"))
+
+
+def centroid_delta_rms(spark, d):
+    e = _e(spark, d)
+    _, c = det.seeds(e)
+    new, n = kmeans.lloyd_round(e, c, "embedding")
+    return spark.createDataFrame([(round(kmeans.movement(c[n > 0], new[n > 0]), 6),)], "delta double")
+
+
+def inertia(spark, d):
+    e = _e(spark, d)
+    ids, c = det.lloyd(e)
+    total = evaluate.inertia(det.assigned(e, ids, c), det.centroid_frame(spark, ids, c))
+    return total.select(F.round("inertia", 4).alias("inertia"))
+
+
+def cluster_sizes(spark, d):
+    return det.build(spark, d).postings.groupBy("centroid_id").agg(F.count("*").alias("n_vectors"))
+
+
+def nonempty_renumber(spark, d):
+    b = det.build(spark, d)
+    rows = [(i, int(o), int(n)) for i, (o, n) in enumerate(zip(b.old, b.sizes))]
+    return spark.createDataFrame(rows, "centroid_id long, old_id long, n_vectors long")
+
+
+def super_cluster_shards(spark, d):
+    return det.build(spark, d).centroids.select("centroid_id", "shard_id")
+
+
+def _hierarchy(spark, d) -> tuple[DataFrame, kmeans.Hierarchy]:
+    e = _e(spark, d)
+    _, c = det.seeds(e)
+    m = max(1, min(max(int(np.sqrt(len(c))), 2), len(c) // 2))
+    return e, kmeans.Hierarchy.refined(c, c[:m], 2)
+
+
+def hierarchical_assign(spark, d):
+    e, h = _hierarchy(spark, d)
+    ship(spark)
+    shared = spark.sparkContext.broadcast(h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("embedding"), shared.value.centroids.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(shared.value.assign(x))], names=["vec_id", "centroid_id"])
+
+    return e.mapInArrow(run, "vec_id long, centroid_id long")
+
+
+def probe_selection(spark, d):
+    b = det.build(spark, d)
+    chosen = knn.probes(_queries(_e(spark, d)), b.centroids, 4).join(F.broadcast(b.centroids.select("centroid_id", "shard_id")), "centroid_id")
+    return chosen.select("query_id", F.col("rank").cast("long").alias("rank"), "centroid_id", "shard_id")
+
+
+def posting_scan_selective(spark, d):
+    b = det.build(spark, d)
+    return b.postings.where(F.col("centroid_id").isin(1, 3, 6)).select("centroid_id", "shard_id", "vec_id")
+
+
+def ivf_search_nprobe_1(spark, d):
+    return _named(_found(spark, d, 1))
+
+
+def ivf_search_nprobe_4(spark, d):
+    return _named(_found(spark, d, 4))
+
+
+def ivf_search_nprobe_8(spark, d):
+    return _named(_found(spark, d, 8))
+
+
+def ivf_search_all_probes_equals_exact(spark, d):
+    return _named(_found(spark, d, 10_000))
+
+
+def search_include_vectors(spark, d):
+    found = _found(spark, d, 4, 3, True)
+    long = found.select("query_id", "rank", F.posexplode("vector").alias("pos", "value"))
+    return long.select("query_id", "rank", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+def search_padded(spark, d):
+    e = _e(spark, d)
+    full = search.padded(_found(spark, d, 1, 60), _queries(e), 60)
+    infinite = F.col("distance") == float("inf")
+    return full.select("query_id", F.col("rank").cast("long").alias("rank"), "external_id", F.round(F.when(infinite, F.lit(-1.0)).otherwise(F.col("distance")), 6).alias("distance_or_minus_1"))
+
+
+def recall_at_k_by_nprobe(spark, d):
+    b, truth = det.build(spark, d), _exact(_e(spark, d))
+    parts = None
+    for n in (1, 4, 8):
+        part = evaluate.recall(truth, _found(spark, d, n, built=b)).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(n).cast("long").alias("n_probe"), "recall")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def one_nn_recall(spark, d):
+    truth = knn.exact_batch(_e(spark, d), _queries(_e(spark, d)), 2, "vec_id", "embedding").where("external_id != query_id")
+    nearest_other = truth.groupBy("query_id").agg(F.min(F.struct("distance", "external_id")).alias("m")).select("query_id", F.lit(1).alias("rank"), F.col("m.external_id").alias("external_id"))
+    got = evaluate.first_recall(nearest_other, _found(spark, d, 1), (2, 5, 10, 100), K)
+    return got.select(F.col("rank").cast("long").alias("rank"), F.round("recall", 6).alias("recall"))
+
+
+def intersection_measure(spark, d):
+    return evaluate.intersection(_exact(_e(spark, d)), _found(spark, d, 4), K).select(F.round("measure", 6).alias("measure"))
+
+
+def optimal_assignment_violations(spark, d):
+    b = det.build(spark, d)
+    scored = knn.scored_pairs(b.postings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), b.centroids)
+    return evaluate.assignment_violations(scored, b.postings.select(F.col("vec_id").alias("query_id"), "centroid_id"))
+
+
+def shard_balance(spark, d):
+    b = det.build(spark, d)
+    return b.postings.groupBy("shard_id").agg(F.count("*").alias("n_vectors"), F.count_distinct("centroid_id").alias("n_centroids"))
+
+
+def bad_dimensions(spark, d):
+    """Vectors of the dirty table that haven't 64 components, by length."""
+    bad = dimension_violations(spark.read.parquet(f"{d}/vectors.parquet").select("id", "data"), 64, "id", "data")
+    return bad.groupBy(F.col("actual").cast("long").alias("actual")).agg(F.count("*").alias("n"))
+
+
+def timestamp_default(spark, d):
+    rows = spark.read.parquet(f"{d}/vectors.parquet").select("id", F.col("unix_ts").alias("timestamp"))
+    return with_timestamps(rows, NOW).groupBy("id").agg(F.max("timestamp").alias("timestamp"))
+
+
+SIZES = (1, 50, 100, 500, 2_000, 9_999, 10_000, 99_999, 100_000, 500_000, 999_999, 1_000_000)
+
+
+def suggest_nlist_table(spark, d):
+    return spark.createDataFrame([(n, kmeans.suggest_nlist(n)) for n in SIZES], "n long, nlist long")
+
+
+def max_iters_table(spark, d):
+    return spark.createDataFrame([(n, kmeans.suggest_iterations(n)) for n in SIZES], "n long, iterations long")
+
+
+def ivf_build_minibatch(spark, d):
+    """Build, write, load and search an index with real seeding."""
+    e = _e(spark, d)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{abs(hash((d, spark.sparkContext.applicationId))):x}"
+    config = IndexConfig(64, f"{root}/index", f"{root}/shards")
+    built = index.fit(e.select(F.col("vec_id").alias("external_id"), F.col("embedding").alias("values")), config, now=NOW)
+    return search.search(built, _queries(e), K, 8)
+
+
+LISTED = [
+    l2sq_to_query, exact_knn_single, exact_knn_batch, centroid_means, nearest_centroid_assign, lloyd_fixed_iters, minibatch_update_step,
+    kmeanspp_weights, centroid_delta_rms, inertia, cluster_sizes, nonempty_renumber, super_cluster_shards, hierarchical_assign, probe_selection,
+    posting_scan_selective, ivf_search_nprobe_1, ivf_search_nprobe_4, ivf_search_nprobe_8, ivf_search_all_probes_equals_exact,
+    search_include_vectors, search_padded, recall_at_k_by_nprobe, one_nn_recall, intersection_measure, optimal_assignment_violations,
+    shard_balance, timestamp_default, suggest_nlist_table, max_iters_table, ivf_build_minibatch,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in LISTED} | {"dimension_violations": bad_dimensions}
+
+
+def _hierarchical_sql() -> str:
+    sql = det.chain_sql(0, full=False) + ", m0 AS MATERIALIZED (SELECT cid, c FROM c0, kk WHERE cid < least(greatest(floor(sqrt(k)), 2), floor(k / 2)))"
+    for r in (1, 2):
+        sql += f", n{r} AS MATERIALIZED ({det.nearest_sql('seed', 'sid', 'c', f'm{r - 1}')}), m{r} AS MATERIALIZED ({det.means_sql('seed', 'sid', 'c', f'n{r}')})"
+    sql = sql.replace(", m0 AS", ", seed AS MATERIALIZED (SELECT cid AS sid, c FROM c0), m0 AS", 1)
+    return sql + f"""
+      , owner AS MATERIALIZED ({det.nearest_sql('seed', 'sid', 'c', 'm2')})
+      , used AS (SELECT * FROM m2 WHERE cid IN (SELECT cid FROM owner))
+      , near AS MATERIALIZED (SELECT vec_id, cid FROM (SELECT p.vec_id, u.cid, {det.distance_sql('p.embedding', 'u.c')} AS d FROM e p, used u)
+          QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cid) <= 3)
+      SELECT vec_id, sid AS centroid_id FROM (
+        SELECT n.vec_id, s.sid, {det.distance_sql('p.embedding', 's.c')} AS d FROM near n JOIN owner o ON o.cid = n.cid JOIN seed s ON s.sid = o.sid JOIN e p ON p.vec_id = n.vec_id)
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, sid) = 1"""
+
+
+def oracle_sql() -> dict[str, str]:
+    chain, seeds = det.chain_sql(), det.chain_sql(0, full=False)
+    listed = "SELECT query_id, rank, external_id, round(distance, 6) AS distance FROM found"
+    sizes = ", ".join(f"({n})" for n in SIZES)
+    recalls = "".join(det.search_sql(Q, str(n), K, f"f{n}") for n in (1, 4, 8))
+    hits = " UNION ALL ".join(f"SELECT {n} AS n_probe, query_id, external_id FROM f{n}" for n in (1, 4, 8))
+    return {
+        "l2sq_to_query": f"SELECT a.vec_id, round({det.distance_sql('a.embedding', 'b.embedding')}, 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 0",
+        "exact_knn_single": "WITH e AS (SELECT * FROM embeddings)" + det.exact_sql(1, K) + " SELECT rank, external_id, round(distance, 6) AS distance FROM truth",
+        "exact_knn_batch": "WITH e AS (SELECT * FROM embeddings)" + det.exact_sql(50, K) + " SELECT query_id, rank, external_id, round(distance, 6) AS distance FROM truth",
+        "centroid_means": "SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos",
+        "nearest_centroid_assign": f"{seeds} SELECT vec_id, cid AS centroid_id, round(d, 6) AS distance FROM ({det.nearest_sql('e', 'vec_id', 'embedding', 'c0')})",
+        "lloyd_fixed_iters": f"{det.chain_sql(full=False)} SELECT vec_id, cid AS centroid_id FROM ({det.nearest_sql('e', 'vec_id', 'embedding', f'c{det.ROUNDS}')})",
+        "minibatch_update_step": f"""{seeds}, b AS (SELECT * FROM e WHERE vec_id % {BATCH_OF} = {BATCH_AT}), l AS MATERIALIZED ({det.nearest_sql('b', 'vec_id', 'embedding', 'c0')}),
+            m AS ({det.means_sql('b', 'vec_id', 'embedding', 'l')}), old AS (SELECT cid, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM c0), new AS (SELECT cid, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM m)
+            SELECT old.cid AS centroid_id, pos, round(CASE WHEN new.x IS NULL THEN old.x ELSE (1 - 1.0 / {HITS + 1}) * old.x + 1.0 / {HITS + 1} * new.x END, 6) AS value FROM old LEFT JOIN new USING (cid, pos)""",
+        "kmeanspp_weights": f"""WITH e AS (SELECT * FROM embeddings), c0 AS (SELECT vec_id AS cid, embedding AS c FROM e WHERE vec_id < 5)
+            SELECT vec_id, round(d, 6) AS least, round(d * d, 6) AS weight FROM ({det.nearest_sql('e', 'vec_id', 'embedding', 'c0')})""",
+        "centroid_delta_rms": f"{det.chain_sql(1, full=False)} SELECT round(sqrt(avg((x.v - y.v) * (x.v - y.v))), 6) AS delta FROM (SELECT cid, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM c0) x JOIN (SELECT cid, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM c1) y USING (cid, pos)",
+        "inertia": f"{det.chain_sql(full=False)} SELECT round(sum(d), 4) AS inertia FROM ({det.nearest_sql('e', 'vec_id', 'embedding', f'c{det.ROUNDS}')})",
+        "cluster_sizes": f"{chain} SELECT centroid_id, n_vectors FROM kept",
+        "nonempty_renumber": f"{chain} SELECT centroid_id, cid AS old_id, n_vectors FROM kept",
+        "super_cluster_shards": f"{chain} SELECT centroid_id, shard_id FROM shard",
+        "hierarchical_assign": _hierarchical_sql(),
+        "probe_selection": f"{chain}{det.search_sql(Q, '4', K)} SELECT query_id, rank, centroid_id, shard_id FROM probe_found JOIN shard USING (centroid_id)",
+        "posting_scan_selective": f"{chain} SELECT centroid_id, shard_id, vec_id FROM posting WHERE centroid_id IN (1, 3, 6)",
+        **{f"ivf_search_nprobe_{n}": f"{chain}{det.search_sql(Q, str(n), K)} {listed}" for n in (1, 4, 8)},
+        "ivf_search_all_probes_equals_exact": f"WITH e AS (SELECT * FROM embeddings){det.exact_sql(Q, K)} SELECT query_id, rank, external_id, round(distance, 6) AS distance FROM truth",
+        "search_include_vectors": f"{chain}{det.search_sql(Q, '4', 3)} SELECT query_id, rank, generate_subscripts(embedding, 1) - 1 AS pos, round(unnest(embedding)::DOUBLE, 6) AS value FROM found",
+        "search_padded": f"""{chain}{det.search_sql(Q, '1', 60)}, places AS (SELECT vec_id AS query_id, unnest(range(1, 61)) AS rank FROM e WHERE vec_id < {Q})
+            SELECT query_id, rank, coalesce(external_id, -1) AS external_id, round(coalesce(distance, -1), 6) AS distance_or_minus_1 FROM places LEFT JOIN found USING (query_id, rank)""",
+        "recall_at_k_by_nprobe": f"""{chain}{recalls}{det.exact_sql(Q, K)}, hits AS ({hits}), n AS (SELECT unnest([1, 4, 8])::BIGINT AS n_probe)
+            SELECT n_probe, round(avg(r), 6) AS recall FROM (SELECT n.n_probe, t.query_id, avg(CASE WHEN h.external_id IS NULL THEN 0.0 ELSE 1.0 END) AS r
+            FROM n CROSS JOIN truth t LEFT JOIN hits h ON h.n_probe = n.n_probe AND h.query_id = t.query_id AND h.external_id = t.external_id GROUP BY 1, 2) GROUP BY n_probe""",
+        "one_nn_recall": f"""{chain}{det.search_sql(Q, '1', K)}{det.exact_sql(Q, 2)}, first AS (SELECT query_id, arg_min(external_id, distance) AS external_id FROM truth WHERE external_id <> query_id GROUP BY query_id)
+            SELECT r.rank, round(avg(CASE WHEN f.rank <= r.rank THEN 1.0 ELSE 0.0 END), 6) AS recall FROM first t CROSS JOIN (SELECT unnest([2, 5, 10])::BIGINT AS rank) r
+            LEFT JOIN found f ON f.query_id = t.query_id AND f.external_id = t.external_id GROUP BY r.rank""",
+        "intersection_measure": f"{chain}{det.search_sql(Q, '4', K)}{det.exact_sql(Q, K)} SELECT round(count(*) / ({Q} * {K}), 6) AS measure FROM truth JOIN found USING (query_id, external_id)",
+        "optimal_assignment_violations": f"""{chain} SELECT count(*) AS violations FROM (SELECT p.vec_id, min({det.distance_sql('p.embedding', 'c.centroid')}) AS best, min(CASE WHEN c.centroid_id = p.centroid_id THEN {det.distance_sql('p.embedding', 'c.centroid')} END) AS mine
+            FROM posting p, cen c GROUP BY p.vec_id) WHERE sqrt(best) < sqrt(mine) - 1e-5""",
+        "shard_balance": f"{chain} SELECT shard_id, count(*) AS n_vectors, count(DISTINCT centroid_id) AS n_centroids FROM posting GROUP BY shard_id",
+        "dimension_violations": "SELECT coalesce(len(data), 0) AS actual, count(*) AS n FROM vectors WHERE data IS NULL OR len(data) <> 64 GROUP BY 1",
+        "timestamp_default": f"SELECT id, max(coalesce(nullif(unix_ts, 0), {NOW})) AS timestamp FROM vectors GROUP BY id",
+        "suggest_nlist_table": f"SELECT n::BIGINT AS n, CAST(CASE WHEN n < 10000 THEN greatest(1, floor(sqrt(n))) WHEN n < 100000 THEN 2 * ceil(sqrt(n)) ELSE 4 * ceil(sqrt(n)) END AS BIGINT) AS nlist FROM (VALUES {sizes}) t(n)",
+        "max_iters_table": f"SELECT n::BIGINT AS n, CAST(CASE WHEN n < 10000 THEN 300 WHEN n < 100000 THEN 100 WHEN n < 1000000 THEN 50 ELSE 20 END AS BIGINT) AS iterations FROM (VALUES {sizes}) t(n)",
+    }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -50,3 +51,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage.
+
+    Spark deletes shuffle files and checkpoints once the driver has collected the objects that stand for them, and
+    its heap, grown by many short queries, shrinks. Iterative operators call this between rounds, so that neither
+    disk nor driver memory grows with the number of rounds.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
