@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import neighbours as nn
-from orrery.session import cut
+from orrery.session import cut, tidy
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class Markov:
     settled: float = 0.95
     open_share: float = 0.02
     decay: float = 4.0
-    jumps: int = 3
+    jumps: int = 2
 
 
 def similarity_graph(tables: list[tuple[DataFrame, str, str, int]], p: nn.Similar) -> DataFrame:
@@ -66,11 +66,11 @@ def trees(graph: DataFrame, jumps: int) -> DataFrame:
     to = graph.select("node", F.coalesce(F.get("hits", F.lit(0))["near"], F.get("links", F.lit(0))).alias("to"))
     back = to.select(F.col("node").alias("to"), F.col("to").alias("back"))
     up = to.join(back, "to", "left").select("node", F.when(F.col("back") == F.col("node"), F.least("node", "to")).when(F.col("back").isNull(), F.col("node")).otherwise(F.col("to")).alias("root"))
+    up = cut(up)
     for _ in range(jumps):
-        up = cut(up)
         above = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        up = up.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-    return cut(up)
+        up = cut(up.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
+    return up
 
 
 def coarse_edges(graph: DataFrame, roots: DataFrame, p: nn.Similar, m: Markov) -> DataFrame:
@@ -103,6 +103,7 @@ def flow(edges: DataFrame, m: Markov) -> DataFrame:
         product = left.join(right, "k").select("j", F.transform("rows", lambda r: F.struct(r["i"].alias("i"), (r["v"] * F.col("share")).alias("v"))).alias("part"))
         entries = product.repartition("j").select("j", F.explode("part").alias("e")).groupBy("j", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
         matrix = cut(_columns(entries.withColumn("v", F.pow("v", m.inflation)), m))
+        tidy(matrix.sparkSession)
         unsettled, columns = matrix.agg(F.sum((F.col("rows")[0]["v"] < m.settled).cast("long")), F.count("*")).first()
         if (unsettled or 0) <= m.open_share * columns:
             break
@@ -116,11 +117,11 @@ def joined(links: DataFrame) -> DataFrame:
     while True:
         heard = links.join(label.select(F.col("v").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         low = label.join(heard.withColumnRenamed("a", "v"), "v").select("v", F.col("label").alias("before"), F.least("label", "other").alias("label"))
-        low = cut(low)
         above = low.select(F.col("v").alias("label"), F.col("label").alias("above"))
         new = cut(low.join(above, "label", "left").select("v", "before", F.coalesce("above", "label").alias("label")))
         moved = new.where(F.col("label") != F.col("before")).limit(1).count()
         label = new.select("v", "label")
+        tidy(label.sparkSession)
         if not moved:
             return label
 
@@ -133,8 +134,10 @@ def clustered(tables: list[tuple[DataFrame, str, str, int]], p: nn.Similar = nn.
     similarity graph. ``p.limit`` must be given.
     """
     graph = cut(similarity_graph(tables, p))
+    tidy(graph.sparkSession)
     roots = trees(graph, m.jumps)
     edges = cut(coarse_edges(graph, roots, p, m))
+    tidy(graph.sparkSession)
     flows = cut(flow(edges, m))
     up = flows.select(F.col("j").alias("attractor"), F.col("attractor").alias("second"))
     flows = flows.join(up, "attractor", "left").select("j", F.coalesce("second", "attractor").alias("attractor"), "flow")

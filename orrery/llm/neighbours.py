@@ -31,6 +31,8 @@ from orrery.session import ship
 
 #: What a row is in a block: one that others find, one that asks.
 STORED, ASKED = 1, 2
+#: Rows compared with all centres at once, which bounds the memory taken.
+ROWS_AT_ONCE = 1_024
 
 
 @dataclass(frozen=True)
@@ -99,7 +101,7 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     norms = np.einsum("ij,ij->i", c, c)
-    return np.concatenate([(norms[None] - 2 * (x[s : s + 4096] @ c.T)).argmin(axis=1) for s in range(0, len(x), 4096)] or [np.zeros(0, int)])
+    return np.concatenate([(norms[None] - 2 * (x[s : s + ROWS_AT_ONCE] @ c.T)).argmin(axis=1) for s in range(0, len(x), ROWS_AT_ONCE)] or [np.zeros(0, int)])
 
 
 def fit_router(stored: np.ndarray, rows: int, asked: np.ndarray, asked_rows: int, p: Similar) -> Router:
@@ -115,8 +117,8 @@ def fit_router(stored: np.ndarray, rows: int, asked: np.ndarray, asked_rows: int
     plain = Router(centres, holds, one, one, one)
     asks = np.zeros(len(centres))
     for x, n in ((stored, rows), (asked, asked_rows)):
-        for s in range(0, len(x), 4096):
-            asks += np.bincount(plain.visits(x[s : s + 4096], p)[1], minlength=len(centres)) * (n / len(x))
+        for s in range(0, len(x), ROWS_AT_ONCE):
+            asks += np.bincount(plain.visits(x[s : s + ROWS_AT_ONCE], p)[1], minlength=len(centres)) * (n / len(x))
     stored_rows = np.bincount(home, minlength=len(centres)) * (rows / max(1, len(stored)))
     block = blocks_of(centres, stored_rows, p.block_rows)
     alone = np.bincount(block)[block] == 1
@@ -280,8 +282,8 @@ def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], p: Sim
         out = []
         for key in np.unique(space):
             at, r = np.flatnonzero(space == key), routers[int(key)]
-            for s in range(0, len(at), 2048):
-                rows = at[s : s + 2048]
+            for s in range(0, len(at), ROWS_AT_ONCE):
+                rows = at[s : s + ROWS_AT_ONCE]
                 i, cell, home = r.visits(x[rows], p)
                 block, row = r.block[cell], rows[i]
                 own = r.block[home[i]]
