@@ -14,13 +14,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.vectors import is_valid_vector, l2_squared
 from orrery.llm import neighbours as nn
 from orrery.session import cut, tidy
 
 
+#: Centroids up to which they are broadcast to be compared with clusters.
+MOST_CENTROIDS = 100_000
+
+
 @dataclass(frozen=True)
 class Markov:
     """inflation: power of the entries. entries: entries a column keeps. least: share under which an entry is pruned.
@@ -157,3 +162,27 @@ def cluster_members(named: DataFrame, members: DataFrame, least: int = 3) -> Dat
     few = full.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < least).select("label")
     kept = full.join(few, "label", "left_anti")
     return kept.select(F.col("label").bitwiseAND(F.lit(1).cast("long")).alias("bit"), F.shiftright("label", 1).alias("cluster_key"), F.col("id").alias("member_id"))
+
+
+def described(named: DataFrame, members: DataFrame, stored: DataFrame, centroids: DataFrame, p: nn.Similar, *, bit: int = 0, least: int = 3, typical: int = 3, id_col: str = "id", vector_col: str = "data", centroid_id: str = "centroid_id", centroid_col: str = "vector") -> DataFrame:
+    """(``cluster_key``, ``size``, ``typical_ids``, ``centroid_id``, ``distance``) of each cluster of one table.
+
+    ``size`` counts members, copies included. ``typical_ids`` are the members of strongest flow into their
+    attractor, attractors and tree roots first, then smaller ids. ``centroid_id`` is the valid centroid nearest to
+    the most typical member, of equally near ones the smaller, null without any; their number is checked, as they
+    are broadcast.
+    """
+    own = named.where(F.col("node").bitwiseAND(F.lit(1).cast("long")) == bit)
+    full = members.join(own, "node", "left").select("id", F.coalesce("label", "node").alias("label"), F.coalesce("flow", F.lit(1.0)).alias("flow"), (F.col("node") == F.coalesce("attractor", "node")).alias("attracts"), (F.col("node") == F.coalesce("root", "node")).alias("heads"))
+    sizes = full.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    order = Window.partitionBy("label").orderBy(F.desc("attracts"), F.desc("heads"), F.desc("flow"), "id")
+    best = full.withColumn("place", F.row_number().over(order)).where(F.col("place") <= typical)
+    lists = best.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("best"))
+    found = cut(sizes.join(lists, "label").select(F.shiftright("label", 1).alias("cluster_key"), "size", F.transform("best", lambda b: b["id"]).alias("typical_ids")))
+    valid = stored.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(is_valid_vector(F.col("v"), p.dimension))
+    heads = valid.join(found.select(F.col("typical_ids")[0].alias("id")), "id", "left_semi").groupBy("id").agg(F.first("v").alias("v"))
+    fixed = centroids.select(F.col(centroid_id).cast("long").alias("centroid_id"), F.col(centroid_col).alias("c")).where(F.col("centroid_id").isNotNull() & is_valid_vector(F.col("c"), p.dimension)).groupBy("centroid_id").agg(F.first("c").alias("c"))
+    if fixed.limit(MOST_CENTROIDS + 1).count() > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids can't be broadcast")
+    near = heads.join(F.broadcast(fixed)).groupBy("id").agg(F.min(F.struct(l2_squared(F.col("v"), F.col("c")).alias("distance"), "centroid_id")).alias("m"))
+    return found.withColumn("id", F.col("typical_ids")[0]).join(near, "id", "left").select("cluster_key", "size", "typical_ids", F.col("m.centroid_id").alias("centroid_id"), F.col("m.distance").alias("distance"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import clusters, mixing, neighbours, packing, quality, sample
+from orrery.llm import clusters, mixing, neighbours, packing, quality, sample, subset
 
 
 #: Share of the records that the sample holds.
@@ -31,6 +31,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.when(F.col("bit") == 1, "centroid").otherwise("stored").alias("origin"), "cluster_key", "member_id")
 
 
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, typical members and nearest centroid of every cluster of stored vectors."""
+    p, stored = neighbours.Similar(k=6), _table(spark, sf_dir, "vectors")
+    named, _ = clusters.clustered([(stored, "id", "data", 0)], p)
+    return clusters.described(named, neighbours.members(stored, "id", "data", p), stored, _table(spark, sf_dir, "centroids"), p)
+
+
+def p4_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subset.varied_subset(_table(spark, sf_dir, "vectors"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = sample.batch_records(_table(spark, sf_dir, "vectors"), SAMPLE_RATE)
     return records.where("versions >= 2").select(F.col("record").alias("external_id"))
@@ -66,7 +77,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assessed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
 
 
-QUERIES = [p1_found, p3_found, p5_found, p5_sample, p6_found, p6_containers, p7_found, p7_report, p8_found, p8_statistics]
+QUERIES = [p1_found, p3_found, p3_clusters, p4_subset, p5_found, p5_sample, p6_found, p6_containers, p7_found, p7_report, p8_found, p8_statistics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
