@@ -30,7 +30,7 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source its tokens, what it shall give, its copies per document, and whether it must fall short.
 
     The mix aims at as many tokens as the documents of the target sources have, each counted once. A source that
-    has fewer than its share of them even with every document used ``max_repeats`` times falls short and gives all.
+    has fewer than its share of them even with every document used ``max_repeats`` times falls short and gives all; the mix is smaller by what it lacks.
     """
     wanted = goals(targets)
     have = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
@@ -39,7 +39,7 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     both = both.crossJoin(F.broadcast(total))
     asked, most = F.col("target_share") * F.col("total"), F.col("max_repeats") * F.col("tokens")
     return both.select(
-        "source", "target_share", "max_repeats", "tokens", "documents", (most < asked).alias("falls_short"),
+        "source", "target_share", "max_repeats", "tokens", "documents", F.round(asked).cast("long").alias("goal_tokens"), (most < asked).alias("falls_short"),
         F.when(F.col("tokens") > 0, F.least(asked, most.cast("double")) / F.col("tokens")).otherwise(0.0).alias("copies"),
     )
 
@@ -76,7 +76,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: Tokenizer = Tokeniz
 
     The mix, (``doc_id``, ``copy``, ``source``, ``tokens``), has one row per use of a document, copies numbered
     from 1. The report, one row per target source: ``source``, ``target_share``, ``max_repeats``, ``tokens`` (each
-    document once), ``documents``, ``falls_short``, ``used_tokens``, ``used_most`` (uses of the most used document),
+    document once), ``documents``, ``goal_tokens`` (its target share of the tokens of all documents of the target
+    sources, each counted once, which is the size aimed at), ``falls_short``, ``used_tokens``, ``used_most`` (uses of the most used document),
     ``actual_share`` (of the tokens of the mix; 0 where the mix is empty).
 
     Documents with a null source or one without target take no part; null and empty texts have no tokens and are

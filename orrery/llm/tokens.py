@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -19,6 +20,11 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 SLICE_CHARS = 8
 
 
+#: Blanks in a row that are encoded at once.
+BLANKS = 10_000
+LONG_RUN = re.compile(r"\s{%d,}" % (BLANKS + 1))
+
+
 @dataclass(frozen=True)
 class Tokenizer:
     """A byte-level vocabulary of ranks, one ``base64 rank`` pair a line, and its split pattern."""
@@ -42,7 +48,13 @@ class Coder:
         self.coding = _encoding(vocabulary, pattern)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.coding.encode_ordinary(text), dtype=np.int64)
+        """The tokens of a whole text. Runs of more than BLANKS blanks are encoded in parts of that length, as the
+        library's pattern matcher fails on them otherwise."""
+        if len(text) <= BLANKS:
+            return np.asarray(self.coding.encode_ordinary(text), dtype=np.int64)
+        cuts = [0, *(c for m in LONG_RUN.finditer(text) for c in range(m.start() + BLANKS, m.end(), BLANKS)), len(text)]
+        parts = [self.coding.encode_ordinary(text[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return np.concatenate([np.asarray(p, dtype=np.int64) for p in parts])
 
     def pieces(self, text: str, capacity: int) -> list[tuple[int, int, np.ndarray]]:
         """(start, characters, tokens) of consecutive pieces that make up the text.
@@ -95,7 +107,7 @@ def counted(df: DataFrame, text_col: str = "text", tokenizer: Tokenizer = Tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(words.value, tokenizer.pattern)
         for batch in batches:
-            n = [len(coder.coding.encode_ordinary(t)) if t else 0 for t in batch.column(text_col).to_pylist()]
+            n = [len(coder.encode(t)) if t else 0 for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64())], names=[*kept, name])
 
     fields = [df.schema[c] for c in kept]

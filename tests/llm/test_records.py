@@ -46,7 +46,7 @@ def coder():
         return Coder(f.read(), t.pattern)
 
 
-@pytest.mark.parametrize("text", ["", "one", "word " * 500, "ñandú 😀 " * 200, "x" * 3_000, "😀" * 300, "\n\n\t " * 100])
+@pytest.mark.parametrize("text", ["", "one", "word " * 500, "ñandú 😀 " * 200, "x" * 3_000, "😀" * 300, "\n\n\t " * 100, "a" + " " * 150_000 + "b"])
 def test_pieces_are_whole_and_fit(coder, text):
     parts = coder.pieces(text, 64)
     assert "".join(text[s : s + n] for s, n, _ in parts) == text
