@@ -22,7 +22,7 @@ SLICE_CHARS = 8
 
 #: Blanks in a row that are encoded at once.
 BLANKS = 10_000
-LONG_RUN = re.compile(r"\s{%d,}" % (BLANKS + 1))
+LONG_RUN = re.compile(r"(?<!\s)\s{%d,}" % (BLANKS + 1))
 
 
 @dataclass(frozen=True)
