@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import kmeans
-from orrery.schema import IndexConfig, InvalidInput, NotFound, check_records, with_timestamps
+from orrery.schema import IndexConfig, InvalidInput, NotFound, check_records, with_ordinals, with_timestamps
 
 VERSION = 1
 CENTROIDS = "centroid_id int, shard_id int, n_vectors long, centroid array<double>"
@@ -48,18 +48,31 @@ class IvfIndex:
         return rows.where(F.col("centroid_id").isin(centroid_ids)).withColumn("place", order.cast("int"))
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, system = _path(spark, path)
+    return system.exists(p)
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p, system = _path(spark, path)
+    system.delete(p, True)
 
-def fit(records: DataFrame, config: IndexConfig, seed: int = 42, k: int | None = None, now: int | None = None, sample_rows: int = kmeans.SEED_ROWS) -> IvfIndex:
+
+def fit(records: DataFrame, config: IndexConfig, seed: int = 42, k: int | None = None, now: int | None = None, sample_rows: int = kmeans.SEED_ROWS, ordinals: bool = True) -> IvfIndex:
     """Build and write an index over (``external_id``, ``values``[, ``timestamp``]).
 
     Cluster centres are fitted on the driver on a sample of at most about ``sample_rows`` rows, the same whatever the
     layout of the data; every row is then assigned in one pass. Centres are clustered again into shards. Lists that
     got no row are dropped and the others renumbered from 0. The metadata is written last, as the commit.
+
+    ``id`` is a row's 0-based position in the order of external ids; without ``ordinals``, which saves sorting the
+    data, it is a hash. Metadata of an earlier build in the same place is removed first, so that a build that fails
+    leaves no index behind.
     """
     spark = records.sparkSession
     n = check_records(records, config.dimension)
@@ -71,7 +84,10 @@ def fit(records: DataFrame, config: IndexConfig, seed: int = 42, k: int | None =
     centres, _ = kmeans.mini_batch(sample, k, kmeans.suggest_iterations(n), seed=seed)
     shards_wanted = math.ceil(math.sqrt(k))
     _, shard_of = kmeans.mini_batch(centres, shards_wanted, 100, seed=seed * 31 + 7)
-    assigned = kmeans.assign(stamped.select(F.xxhash64("external_id", "values").alias("id"), "external_id", "timestamp", F.col("values").cast("array<float>").alias("values")), centres, name="old")
+    _delete(spark, f"{config.index_dir.rstrip('/')}/meta")
+    typed = stamped.select(F.col("external_id").cast("long").alias("external_id"), "timestamp", F.col("values").cast("array<float>").alias("values"))
+    typed = with_ordinals(typed) if ordinals else typed.withColumn("id", F.xxhash64("external_id", "values"))
+    assigned = kmeans.assign(typed.select("id", "external_id", "timestamp", "values"), centres, name="old")
     staged = f"{config.shards_dir.rstrip('/')}/_staged"
     assigned.write.mode("overwrite").parquet(staged)
     rows = spark.read.parquet(staged)
@@ -85,6 +101,7 @@ def fit(records: DataFrame, config: IndexConfig, seed: int = 42, k: int | None =
     spread = posted.repartition("shard_id", F.pmod("id", F.lit(pieces))).sortWithinPartitions("shard_id", "centroid_id", "id")
     target = f"{config.shards_dir.rstrip('/')}/lists"
     spread.write.mode("overwrite").partitionBy("shard_id").parquet(target)
+    _delete(spark, staged)
     table.coalesce(1).write.mode("overwrite").parquet(f"{config.index_dir.rstrip('/')}/centroids")
     meta = {"version": VERSION, "dimension": config.dimension, "k": len(kept), "seed": seed, "n": n}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{config.index_dir.rstrip('/')}/meta")

@@ -36,7 +36,7 @@ def test_structure(built):
     assert evaluate.structure_violations(ix.index).first().asDict() == {"dimensions": 0, "shards": 0, "rows": len(x), "sizes": 0}
     ids = [r["centroid_id"] for r in ix.index.centroids.orderBy("centroid_id").collect()]
     assert ids == list(range(len(ids)))
-    assert ix.index.postings.select("external_id").distinct().count() == len(x)
+    assert {(r["id"], r["external_id"]) for r in ix.index.postings.select("id", "external_id").collect()} == {(i, i) for i in range(len(x))}
     assert ix.index.postings.where("timestamp is null or timestamp = 0").count() == 0
 
 
