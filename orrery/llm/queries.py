@@ -100,5 +100,21 @@ SELECT external_id FROM vectors WHERE external_id IS NOT NULL GROUP BY external_
 """
 
 
+# The answers of the next two are the same for every tokenizer with at least one token per run of non-blanks and at
+# most one per byte, so these runs stand for tokens.
+P6_FOUND = r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\S+')) > 2048"
+
+P7_FOUND = r"""
+WITH sized AS (
+  SELECT lower(trim(source)) AS source, sum(len(regexp_extract_all(coalesce(text, ''), '\S+'))) AS tokens FROM documents GROUP BY 1
+), goals AS (
+  SELECT lower(trim(source)) AS source, max(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY 1
+), both_ AS (
+  SELECT g.source, target_share, max_repeats, coalesce(tokens, 0) AS tokens FROM goals g LEFT JOIN sized s ON s.source = g.source
+)
+SELECT source FROM both_ WHERE max_repeats * tokens < target_share * (SELECT sum(tokens) FROM both_)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_FOUND, "p5_sample": P5_SAMPLE}
+    return {"p5_found": P5_FOUND, "p5_sample": P5_SAMPLE, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
