@@ -29,7 +29,7 @@ MOST_CENTROIDS = 100_000
 @dataclass(frozen=True)
 class Markov:
     """inflation: power of the entries. entries: entries a column keeps. least: share under which an entry is pruned.
-    rounds: most squarings. settled: a column has settled when its strongest entry holds this share; when all but
+    rounds: most squarings, done in pairs. settled: a column has settled when its strongest entry holds this share; when all but
     ``open_share`` of the columns have, squaring ends. decay: similarity exp(-decay * distance / limit) of an edge.
     jumps: doublings of the nearest-neighbour pointers when trees are formed."""
 
@@ -98,18 +98,23 @@ def _columns(entries: DataFrame, m: Markov) -> DataFrame:
     return kept.withColumn("total", total).select("j", F.transform("rows", lambda r: F.struct((r["v"] / F.col("total")).alias("v"), r["i"].alias("i"))).alias("rows"))
 
 
+def _squared(matrix: DataFrame, m: Markov) -> DataFrame:
+    """The columns of the matrix's square, inflated, pruned and normalised."""
+    left = matrix.select("j", F.explode("rows").alias("l")).select("j", F.col("l.i").alias("k"), F.col("l.v").alias("share"))
+    right = matrix.select(F.col("j").alias("k"), F.col("rows"))
+    product = left.join(right, "k").select("j", F.transform("rows", lambda r: F.struct(r["i"].alias("i"), (r["v"] * F.col("share")).alias("v"))).alias("part"))
+    entries = product.repartition("j").select("j", F.explode("part").alias("e")).groupBy("j", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
+    return _columns(entries.withColumn("v", F.pow("v", m.inflation)), m)
+
+
 def flow(edges: DataFrame, m: Markov) -> DataFrame:
     """(``j``, ``attractor``, ``flow``) of every node of the graph by Markov clustering."""
     loops = edges.groupBy("a").agg(F.max("w").alias("v")).select(F.col("a").alias("j"), F.col("a").alias("i"), "v")
     matrix = cut(_columns(edges.select(F.col("a").alias("j"), F.col("b").alias("i"), F.col("w").alias("v")).unionByName(loops), m))
-    for _ in range(m.rounds):
-        left = matrix.select("j", F.explode("rows").alias("l")).select("j", F.col("l.i").alias("k"), F.col("l.v").alias("share"))
-        right = matrix.select(F.col("j").alias("k"), F.col("rows"))
-        product = left.join(right, "k").select("j", F.transform("rows", lambda r: F.struct(r["i"].alias("i"), (r["v"] * F.col("share")).alias("v"))).alias("part"))
-        entries = product.repartition("j").select("j", F.explode("part").alias("e")).groupBy("j", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
-        matrix = cut(_columns(entries.withColumn("v", F.pow("v", m.inflation)), m))
-        tidy(matrix.sparkSession)
+    for _ in range(m.rounds // 2):
+        matrix = cut(_squared(_squared(matrix, m), m))  # two squarings to a checkpoint; the first's shuffle is reused
         unsettled, columns = matrix.agg(F.sum((F.col("rows")[0]["v"] < m.settled).cast("long")), F.count("*")).first()
+        tidy(matrix.sparkSession)
         if (unsettled or 0) <= m.open_share * columns:
             break
     return matrix.select("j", F.col("rows")[0]["i"].alias("attractor"), F.col("rows")[0]["v"].alias("flow"))
@@ -120,10 +125,8 @@ def joined(links: DataFrame) -> DataFrame:
     links = cut(links)
     label = cut(links.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")))
     while True:
-        heard = links.join(label.select(F.col("v").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        low = label.join(heard.withColumnRenamed("a", "v"), "v").select("v", F.col("label").alias("before"), F.least("label", "other").alias("label"))
-        above = low.select(F.col("v").alias("label"), F.col("label").alias("above"))
-        new = cut(low.join(above, "label", "left").select("v", "before", F.coalesce("above", "label").alias("label")))
+        before = label.select("v", F.col("label").alias("before"))
+        new = cut(_heard(_heard(label, links), links).join(before, "v"))
         moved = new.where(F.col("label") != F.col("before")).limit(1).count()
         label = new.select("v", "label")
         tidy(label.sparkSession)
@@ -131,6 +134,14 @@ def joined(links: DataFrame) -> DataFrame:
             return label
 
 
+def _heard(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after each node took the smallest of its neighbours', and then that node's own."""
+    heard = links.join(label.select(F.col("v").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+    low = label.join(heard.withColumnRenamed("a", "v"), "v").select("v", F.least("label", "other").alias("label"))
+    above = low.select(F.col("v").alias("label"), F.col("label").alias("above"))
+    return low.join(above, "label", "left").select("v", F.coalesce("above", "label").alias("label"))
+
+
 def clustered(tables: list[tuple[DataFrame, str, str, int]], p: nn.Similar = nn.Similar(k=6), m: Markov = Markov()) -> tuple[DataFrame, DataFrame]:
     """Clusters of the valid vectors of each table.
 
