@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -44,7 +45,7 @@ class Markov:
 
 
 def similarity_graph(tables: list[tuple[DataFrame, str, str, int]], p: nn.Similar) -> DataFrame:
-    """(``node``, ``hits`` of (far, near), ``links``) of every vector with a similar one; tables never mix.
+    """(``node``, ``near``, ``far``, ``links``) of every vector with a similar one; tables never mix.
 
     ``tables`` holds (table, id column, vector column, bit), the bit telling the tables' nodes apart.
     """
@@ -54,12 +55,12 @@ def similarity_graph(tables: list[tuple[DataFrame, str, str, int]], p: nn.Simila
         routers[bit] = nn.fit_router(sample, n, sample[:0], 0, p)
         part = nn.stored_rows(df, id_col, vector_col, space=bit, bit=bit)
         rows = part if rows is None else rows.unionByName(part)
-    found = nn.answers(rows, routers, p, graph=True)
-    pairs = F.arrays_zip("far", "near")
-    return found.groupBy("node").agg(
-        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, p.k).alias("hits"),
+    found = nn.answers(rows, routers, p, graph=True).select("node", "near", F.transform("far", lambda d: d.cast("float")).alias("far"), "links")
+    best = found.groupBy("node").agg(
+        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("far", "near"))))), 1, p.k).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"),
     )
+    return best.select("node", F.transform("hits", lambda h: h["near"]).alias("near"), F.transform("hits", lambda h: h["far"]).alias("far"), "links")
 
 
 def trees(graph: DataFrame, jumps: int) -> DataFrame:
@@ -68,7 +69,7 @@ def trees(graph: DataFrame, jumps: int) -> DataFrame:
     Two nodes nearest to each other root a tree at the smaller; longer pointer cycles cannot arise, as of equal
     distances the smaller node is the nearest. Trees deeper than 2 ** jumps fall into several, which stay linked.
     """
-    to = graph.select("node", F.coalesce(F.get("hits", F.lit(0))["near"], F.get("links", F.lit(0))).alias("to"))
+    to = graph.select("node", F.coalesce(F.get("near", F.lit(0)), F.get("links", F.lit(0))).alias("to"))
     back = to.select(F.col("node").alias("to"), F.col("to").alias("back"))
     up = to.join(back, "to", "left").select("node", F.when(F.col("back") == F.col("node"), F.least("node", "to")).when(F.col("back").isNull(), F.col("node")).otherwise(F.col("to")).alias("root"))
     up = cut(up)
@@ -80,11 +81,10 @@ def trees(graph: DataFrame, jumps: int) -> DataFrame:
 
 def coarse_edges(graph: DataFrame, roots: DataFrame, p: nn.Similar, m: Markov) -> DataFrame:
     """(``a``, ``b``, ``w``), both ways: the summed similarities between different trees."""
-    near = F.transform("hits", lambda h: F.struct(h["near"].alias("to"), F.exp(-m.decay * h["far"] / p.limit).alias("w")))
-    link = F.transform("links", lambda n: F.struct(n.alias("to"), F.lit(float(2.718281828459045 ** -m.decay)).alias("w")))
-    edges = graph.join(roots, "node").select(F.col("root").alias("a"), F.explode(F.concat(near, link)).alias("e"))
-    edges = edges.groupBy("a", F.col("e.to").alias("node")).agg(F.sum("e.w").alias("w"))
-    edges = edges.join(roots, "node").where(F.col("root") != F.col("a")).select("a", F.col("root").alias("b"), "w")
+    near = F.zip_with("near", "far", lambda n, d: F.struct(n.alias("to"), F.exp(-m.decay * d / p.limit).cast("float").alias("w")))
+    link = F.transform("links", lambda n: F.struct(n.alias("to"), F.lit(math.exp(-m.decay)).cast("float").alias("w")))
+    edges = graph.join(roots, "node").select(F.col("root").alias("a"), F.explode(F.concat(near, link)).alias("e")).select("a", F.col("e.to").alias("node"), F.col("e.w").cast("double").alias("w"))
+    edges = edges.join(roots, "node").where(F.col("root") != F.col("a")).groupBy("a", F.col("root").alias("b")).agg(F.sum("w").alias("w"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
