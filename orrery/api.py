@@ -18,7 +18,7 @@ from orrery.schema import RECORDS, IndexConfig, InvalidInput, SearchRequest
 from orrery.session import ship
 from orrery.sources import files
 
-__all__ = ["SearchResult", "VectorIndex", "VectorIndexer", "build", "load", "register_sql", "suggest_nlist"]
+__all__ = ["SearchResult", "ArrayIndex", "Indexer", "build", "load", "register_sql", "suggest_nlist"]
 
 
 @dataclass(frozen=True)
@@ -29,14 +29,14 @@ class SearchResult:
 
 
 @dataclass
-class VectorIndexer:
+class Indexer:
     """An index by its configuration: build it from records or a vector file, or load it, then search."""
 
     config: IndexConfig
     spark: SparkSession
     index: ivf.IvfIndex | None = None
 
-    def build_from_records(self, records: DataFrame | list[tuple], seed: int = 42) -> VectorIndexer:
+    def build_from_records(self, records: DataFrame | list[tuple], seed: int = 42) -> Indexer:
         """``records``: a DataFrame or (external_id, values, timestamp) tuples; null or zero timestamps mean now."""
         if isinstance(records, list):
             if not records:
@@ -47,10 +47,10 @@ class VectorIndexer:
         self.index = ivf.fit(records, self.config, seed)
         return self
 
-    def build_from_vector_file(self, path: str, seed: int = 42, strict: bool = False) -> VectorIndexer:
+    def build_from_vector_file(self, path: str, seed: int = 42, strict: bool = False) -> Indexer:
         return self.build_from_records(files.read(self.spark, "vecbin", path, strict=str(strict).lower()), seed)
 
-    def load(self) -> VectorIndexer:
+    def load(self) -> Indexer:
         self.index = ivf.load(self.spark, self.config)
         return self
 
@@ -70,10 +70,10 @@ class VectorIndexer:
         return searching.search(self.index, queries, k, n_probe, include_vectors)
 
 
-class VectorIndex:
+class ArrayIndex:
     """Array-shaped access to an index: ``D, I = search_sync(xq, k, n_probe)``; also ``search(xq, k)`` with ``nprobe``."""
 
-    def __init__(self, indexer: VectorIndexer):
+    def __init__(self, indexer: Indexer):
         self._indexer, self.nprobe = indexer, indexer.config.default_n_probe
 
     @property
@@ -97,20 +97,20 @@ class VectorIndex:
         return self.search_sync(xq, k, self.nprobe)
 
 
-def build(xb: np.ndarray, spark: SparkSession, work_dir: str | None = None, seed: int = 42) -> VectorIndex:
+def build(xb: np.ndarray, spark: SparkSession, work_dir: str | None = None, seed: int = 42) -> ArrayIndex:
     """An index of the rows of an array, their numbers being the ids."""
     xb = np.asarray(xb, dtype=np.float32)
     root = work_dir or tempfile.mkdtemp(prefix="orrery-index-")
     config = IndexConfig(xb.shape[1], f"{root}/index", f"{root}/shards")
     rows = [(i, v, None) for i, v in enumerate(xb.tolist())]
-    return VectorIndex(VectorIndexer(config, spark).build_from_records(rows, seed))
+    return ArrayIndex(Indexer(config, spark).build_from_records(rows, seed))
 
 
-def load(index_dir: str, shards_dir: str, dimension: int, spark: SparkSession) -> VectorIndex:
-    return VectorIndex(VectorIndexer(IndexConfig(dimension, index_dir, shards_dir), spark).load())
+def load(index_dir: str, shards_dir: str, dimension: int, spark: SparkSession) -> ArrayIndex:
+    return ArrayIndex(Indexer(IndexConfig(dimension, index_dir, shards_dir), spark).load())
 
 
-def register_sql(spark: SparkSession, indexer: VectorIndexer | None = None) -> None:
+def register_sql(spark: SparkSession, indexer: Indexer | None = None) -> None:
     """SQL functions: scalar ``l2_squared(a, b)`` and, with an index, the table function ``ann_search(query, k, n_probe)``
     (``rank``, ``external_id``, ``distance``), which reads the probed lists where it runs."""
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION l2_squared(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE
@@ -146,7 +146,7 @@ def register_sql(spark: SparkSession, indexer: VectorIndexer | None = None) -> N
     spark.udtf.register("ann_search", udtf(AnnSearch, returnType="rank int, external_id bigint, distance double"))
 
 
-def register_views(spark: SparkSession, indexer: VectorIndexer, prefix: str = "ivf") -> None:
+def register_views(spark: SparkSession, indexer: Indexer, prefix: str = "ivf") -> None:
     """Views of an index's centroids and posting lists for SQL."""
     if indexer.index is None:
         raise InvalidInput("build or load the index first")

@@ -19,7 +19,7 @@ def built(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("index")
     x, rows = cluster_rows()
     config = IndexConfig(16, f"{root}/index", f"{root}/shards", max_k=150)
-    return x, api.VectorIndexer(config, spark).build_from_records(rows)
+    return x, api.Indexer(config, spark).build_from_records(rows)
 
 
 def test_defaults_and_builders():
@@ -76,7 +76,7 @@ def test_limits_and_errors(spark, built, tmp_path):
         index.load(spark, IndexConfig(5, ix.config.index_dir, ix.config.shards_dir))
     with pytest.raises(FileNotFoundError):
         index.load(spark, IndexConfig(16, str(tmp_path / "none"), str(tmp_path)))
-    fresh = api.VectorIndexer(IndexConfig(2, f"{tmp_path}/i", f"{tmp_path}/s"), spark)
+    fresh = api.Indexer(IndexConfig(2, f"{tmp_path}/i", f"{tmp_path}/s"), spark)
     for rows in ([], [(1, [1.0], None)], [(1, [1.0, float("nan")], None)], [((1 << 64) - 1_001, [1.0, 2.0], None)]):
         with pytest.raises(InvalidInput):
             fresh.build_from_records(rows)
@@ -96,7 +96,7 @@ def test_selective_scan(built):
 def test_missing_shard(spark, tmp_path):
     x, rows = cluster_rows(3, 30)
     config = IndexConfig(16, f"{tmp_path}/index", f"{tmp_path}/shards")
-    ix = api.VectorIndexer(config, spark).build_from_records(rows)
+    ix = api.Indexer(config, spark).build_from_records(rows)
     shard = ix.index.centroids.first()["shard_id"]
     shutil.rmtree(f"{tmp_path}/shards/lists/shard_id={shard}")
     q = spark.createDataFrame([(0, x[0].tolist())], "query_id long, query array<float>")

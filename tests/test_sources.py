@@ -37,7 +37,7 @@ def test_vecbin(spark, tmp_path):
     (tmp_path / "v.bin").write_bytes(data)
     assert files.read(spark, "vecbin", f"{tmp_path}/v.bin").count() == 301
     config = IndexConfig(8, f"{tmp_path}/i", f"{tmp_path}/s")
-    ix = api.VectorIndexer(config, spark).build_from_vector_file(f"{tmp_path}/v.bin")
+    ix = api.Indexer(config, spark).build_from_vector_file(f"{tmp_path}/v.bin")
     assert ix.search(ix.search_request([7.0] * 8).with_n_probe(100))[0].external_id == 7
 
 
@@ -81,7 +81,7 @@ def test_generators_and_assembly(spark):
 
 def test_stream_and_sweep(spark, tmp_path):
     x = np.random.default_rng(0).standard_normal((80, 6)).astype(np.float32)
-    ix = api.VectorIndexer(IndexConfig(6, f"{tmp_path}/i", f"{tmp_path}/s"), spark).build_from_records([(i, v, None) for i, v in enumerate(x.tolist())])
+    ix = api.Indexer(IndexConfig(6, f"{tmp_path}/i", f"{tmp_path}/s"), spark).build_from_records([(i, v, None) for i, v in enumerate(x.tolist())])
     q = spark.createDataFrame([(i, x[i].tolist()) for i in range(6)], "query_id long, query array<float>")
     q.write.parquet(f"{tmp_path}/q")
     search_stream(spark.readStream.schema(q.schema).parquet(f"{tmp_path}/q"), ix.index, f"{tmp_path}/out", f"{tmp_path}/cp", 3, 100).awaitTermination(120)
