@@ -185,6 +185,23 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) join all labels that the pairs join, the closest first and no more than needed.
+
+    ``label`` is as from :func:`components`.
+    """
+    left, chosen = np.arange(len(a)), [np.zeros(0, int)]
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return np.concatenate(chosen)
+        both, ends = np.r_[left, left], np.r_[label[a[left]], label[b[left]]]
+        order = np.lexsort((both, distance[both], ends))
+        closest = np.unique(both[order[_place(ends[order]) < 1]])
+        chosen.append(closest)
+        label = components(len(label), np.r_[np.arange(len(label)), a[closest]], np.r_[label, b[closest]])
+
+
 def bridges(block: Block, q: np.ndarray, at: np.ndarray, label_q: np.ndarray, label_b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The closest pair within ``limit`` of every two labels, over the queries ``at`` and all stored vectors."""
     none = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))

@@ -29,8 +29,8 @@ from orrery.functions.vectors import is_valid_vector
 from orrery.llm import collisions as cc
 from orrery.session import ship
 
-#: What a row is in a block: one that others find, one that asks.
-STORED, ASKED = 1, 2
+#: What a row is in a block: one that others find, one that asks, one that asks in no other block.
+STORED, ASKED, ONLY = 1, 2, 4
 #: Rows compared with all centres at once, which bounds the memory taken.
 ROWS_AT_ONCE = 1_024
 
@@ -293,12 +293,13 @@ def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], p: Sim
                 block, row, cell, home = block[order], row[order], cell[order], home[i][order]
                 new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])
                 stop = np.r_[new[1:], len(row)]
+                blocks = np.bincount(row[new], minlength=len(x))
                 for a, z in zip(new.tolist(), stop.tolist()):
                     c, n = int(cell[a]), int(row[a])
                     role_n, at_home = int(role[n]), block[a] == r.block[home[a]]
                     b, q = int(r.stored_parts[c]), int(r.asked_parts[c])
                     base = (int(key) << 56) + (int(block[a]) << 24)
-                    places = {0: role_n}
+                    places = {0: role_n | (ONLY if blocks[n] == 1 else 0)}
                     if b * q > 1:
                         places = {(part << 12) + int(salt[n] % q): ASKED for part in range(b)}
                         for part in range(q if role_n & STORED else 0):
@@ -324,8 +325,9 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
     """The answers of one block: per asked class the ids nearest to it, its own further copies included.
 
     With ``graph`` the lists are of nodes, without copies, and ``links`` makes them complete for connectedness:
-    for each two groups of the block that are joined by a pair within the limit though by no list, the closest
-    such pair of a cell, held by its asked class.
+    whatever pairs within the limit join in the block stays joined by the links and by the lists of the classes that
+    ask in no other block, since lists of several blocks are cut again when they are merged. A link is held by its
+    asked class, or by the one found where that has nothing else.
     """
     flag, bit = table["flag"].to_numpy(), table["bit"].to_numpy()
     lists = table["ids"].combine_chunks().cast(pa.list_(pa.int64()))
@@ -356,18 +358,30 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
         if graph and p.limit is not None:
             searched.append((block, q, rows, base, np.flatnonzero(np.bincount(qi, minlength=len(rows)) >= p.k)))
     row, near, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    joins = [(row, near, d)]
     if searched:
         label = cc.components(len(node), row, near)
         for block, q, rows, base, full in searched:
-            for i, j, _ in zip(*cc.bridges(block, q, full, label[rows], label[base], p.limit)):
-                links.setdefault(int(rows[i]), []).append(int(node[base[j]]))
+            i, j, far = cc.bridges(block, q, full, label[rows], label[base], p.limit)
+            joins.append((rows[i], base[j], far))
     if not graph:
         many = np.flatnonzero(stored & (flag & ASKED > 0) & (np.diff(ends) > 1))
         row, near, d = np.r_[row, many], np.r_[near, many], np.r_[d, np.zeros(len(many))]
     order = np.lexsort((node[near], d, row))
-    order = order[cc._place(row[order]) <= p.k]
+    if graph:
+        order = order[np.r_[True, (row[order][1:] != row[order][:-1]) | (near[order][1:] != near[order][:-1])][: len(order)]]
+    order = order[cc._place(row[order]) < (p.k if graph else p.k + 1)]
     row, near, d = row[order], near[order], d[order]
     if graph:
+        a, b, far = (np.concatenate(c) for c in zip(*joins))
+        stays = (flag[row] & ONLY) > 0
+        chosen = cc.spanning(cc.components(len(node), row[stays], near[stays]), a, b, far)
+        for i, j in zip(a[chosen].tolist(), b[chosen].tolist()):
+            links.setdefault(i, []).append(int(node[j]))
+        silent = np.bincount(row, minlength=len(node)) == 0
+        for i, j in zip(np.r_[row, a[chosen]].tolist(), np.r_[near, b[chosen]].tolist()):
+            if silent[j] and j not in links:
+                links[j] = [int(node[i])]
         near = node[near]
     else:
         n = ends[near + 1] - ends[near]

@@ -104,6 +104,36 @@ def test_clusters_equal_components(spark, vectors, rows):
     assert {g[1:] for g in got if g[0] == 1} == {(1, 1), (1, 2), (1, 3)}
 
 
+def strings_of_beads(step=1.7, beads=40, per=12, seed=4):
+    """Tight groups with many nearer others each, every one joined to the next only by pairs of nearly the limit."""
+    r = np.random.default_rng(seed)
+    way = r.normal(0, 1, (beads, DIM))
+    centres = np.cumsum(way / np.linalg.norm(way, axis=1)[:, None] * step, axis=0)
+    x = np.concatenate([c + r.normal(0, 0.03, (per, DIM)) for c in centres] + [r.normal(0, 0.03, (per, DIM)) + 60]).astype(np.float32)
+    return np.arange(1, len(x) + 1), x
+
+
+def graph_groups(vectors, ids, x, p):
+    """Components of three or more by the edges of the similarity graph, as (smallest id, id)."""
+    rows = clusters.similarity_graph([(vectors(list(zip(ids.tolist(), x.tolist()))), "id", "data", 0)], p).collect()
+    assert all(len(r["near"]) <= p.k for r in rows) and {n for r in rows for n in [*r["near"], *r["links"]]} <= {r["node"] for r in rows}
+    edges = np.array([(r["node"] >> 1, n >> 1) for r in rows for n in [*r["near"], *r["links"]]]) - 1
+    label = collisions.components(len(x), edges[:, 0], edges[:, 1])
+    return {(int(min(ids[label == g])), int(i)) for g in set(label) if (label == g).sum() >= 3 for i in ids[label == g]}
+
+
+def test_links_survive_the_cut_of_merged_lists(vectors):
+    ids, x = strings_of_beads()
+    p = neighbours.Similar(k=3, limit=4.0, dimension=DIM, cell_rows=20, block_rows=64, spread=5.0)
+    assert graph_groups(vectors, ids, x, p) == components(ids, x, 4.0)
+
+
+def test_spanning_joins_what_pairs_join():
+    label = collisions.components(6, np.array([0]), np.array([1]))
+    a, b, d = np.array([0, 1, 2, 3, 1]), np.array([1, 2, 3, 1, 3]), np.array([0.1, 1.0, 2.0, 3.0, 3.0])
+    assert sorted(collisions.spanning(label, a, b, d)) == [1, 2]
+
+
 def test_clusters_of_nothing(spark, vectors):
     named, _ = clusters.clustered([(vectors([]), "id", "data", 0)], P)
     assert named.count() == 0
