@@ -210,6 +210,14 @@ def bridges(block: Block, q: np.ndarray, at: np.ndarray, label_q: np.ndarray, la
     b2 = (block.stored.astype(np.float64) ** 2).sum(1).astype(np.float32)
     q2 = (q.astype(np.float64) ** 2).sum(1).astype(np.float32)
     slack = 1e-5 * float(max(b2.max(), q2.max()))
+    most = max(int(label_q.max()), int(label_b.max())) + 1
+
+    def closest(qi: np.ndarray, bi: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pair = np.minimum(label_q[qi], label_b[bi]) * most + np.maximum(label_q[qi], label_b[bi])
+        order = np.lexsort((d, pair))
+        keep = order[_place(pair[order]) < 1]
+        return qi[keep], bi[keep], d[keep]
+
     parts = []
     step = max(1, COUNT_CELLS // len(b2))
     for s in range(0, len(at), step):
@@ -217,14 +225,9 @@ def bridges(block: Block, q: np.ndarray, at: np.ndarray, label_q: np.ndarray, la
         d = b2[None] - 2 * (q[rows] @ block.stored.T) + q2[rows][:, None]
         qi, bi = np.nonzero((d <= limit + slack) & (label_q[rows][:, None] != label_b[None]))
         if len(qi):
-            parts.append((rows[qi], bi))
+            d = exact(q, block.stored, rows[qi], bi)
+            ok = d <= limit
+            parts.append(closest(rows[qi[ok]], bi[ok], d[ok]))
     if not parts:
         return none
-    qi, bi = (np.concatenate(x) for x in zip(*parts))
-    d = exact(q, block.stored, qi, bi)
-    ok = d <= limit
-    qi, bi, d = qi[ok], bi[ok], d[ok]
-    pair = np.minimum(label_q[qi], label_b[bi]) * (max(int(label_q.max()), int(label_b.max())) + 1) + np.maximum(label_q[qi], label_b[bi])
-    order = np.lexsort((d, pair))
-    keep = order[_place(pair[order]) < 1]
-    return qi[keep], bi[keep], d[keep]
+    return closest(*(np.concatenate(x) for x in zip(*parts)))

@@ -87,6 +87,21 @@ class Router:
         row, cell = np.nonzero(near)
         return row, cell, home
 
+    def borders(self, x: np.ndarray, p: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell) of every cell whose border with the home cell is within half the limit, and the home cells.
+
+        The segment between two vectors crosses the border of their cells, so of a pair within the limit one is
+        near enough to it: one of the two comes to the other's cell, whatever lies in it.
+        """
+        norms = np.einsum("ij,ij->i", self.centres, self.centres)
+        d = norms[None] - 2 * (x @ self.centres.T)
+        home = d.argmin(axis=1)
+        best = d[np.arange(len(x)), home]
+        apart = np.sqrt(np.maximum(norms[home][:, None] + norms[None] - 2 * (self.centres[home] @ self.centres.T), 0))
+        slack = 1e-5 * (float(norms.max()) + np.einsum("ij,ij->i", x, x))
+        row, cell = np.nonzero((d - best[:, None]) <= np.sqrt(p.limit) * apart + slack[:, None])
+        return row, cell, home
+
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """Centres of a sample held in memory: rows drawn at random, then a few rounds of means."""
@@ -266,8 +281,11 @@ def _least(label: np.ndarray, ids: np.ndarray, classes: int, most: int) -> tuple
     return np.r_[0, np.cumsum(np.bincount(label[keep], minlength=classes))], ids[keep]
 
 
-def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], p: Similar) -> Iterator[pa.RecordBatch]:
-    """A row for each block that a vector is stored or asked in; copies within the batch are one row."""
+def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], p: Similar, graph: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each block that a vector is stored or asked in; copies within the batch are one row.
+
+    With ``graph`` also for each block that it is only compared with for links; such cells are given as ~cell.
+    """
     for batch in batches:
         ok, x = _vectors(batch.column("data"), p.dimension)
         if not len(ok):
@@ -289,14 +307,21 @@ def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], p: Sim
                 own = r.block[home[i]]
                 goes = (block == own) | (role[row] & STORED == 0) | ((block < own) == ((block + own) % 2 == 0))
                 i, block, row, cell = i[goes], block[goes], row[goes], cell[goes]
-                order = np.lexsort((cell, block, row))
+                searched = np.unique(row * len(r.block) + block)
+                if graph and p.limit is not None:
+                    j, other, _ = r.borders(x[rows], p)
+                    further = ~np.isin(j * len(r.block) + other, i * len(r.block) + cell)
+                    j, other = j[further], other[further]
+                    i, block, row, cell = np.r_[i, j], np.r_[block, r.block[other]], np.r_[row, rows[j]], np.r_[cell, ~other]
+                order = np.lexsort((-cell, block, row))  # cells to be searched come first
                 block, row, cell, home = block[order], row[order], cell[order], home[i][order]
                 new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])
                 stop = np.r_[new[1:], len(row)]
-                blocks = np.bincount(row[new], minlength=len(x))
+                blocks = np.bincount(searched // len(r.block), minlength=len(x))
                 for a, z in zip(new.tolist(), stop.tolist()):
                     c, n = int(cell[a]), int(row[a])
-                    role_n, at_home = int(role[n]), block[a] == r.block[home[a]]
+                    role_n, at_home = int(role[n]) if c >= 0 else ASKED, block[a] == r.block[home[a]]
+                    c = c if c >= 0 else ~c
                     b, q = int(r.stored_parts[c]), int(r.asked_parts[c])
                     base = (int(key) << 56) + (int(block[a]) << 24)
                     places = {0: role_n | (ONLY if blocks[n] == 1 else 0)}
@@ -341,28 +366,29 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
     asked = np.flatnonzero(flag & ASKED)
     cells = [np.frombuffer(c, np.int32) for c in table["cells"].take(pa.array(first[asked])).to_pylist()]
     ask_cell, ask_row = np.concatenate([np.zeros(0, np.int32), *cells]), np.repeat(asked, [len(c) for c in cells])
+    search, ask_cell = ask_cell >= 0, np.where(ask_cell < 0, ~ask_cell, ask_cell)
     links: dict[int, list[int]] = {}
     found, searched = [], []
     stored = (flag & STORED) > 0
     guest = np.flatnonzero(stored & (home < 0))
-    guest_cells = [np.frombuffer(c, np.int32) for c in table["cells"].take(pa.array(first[guest])).to_pylist()]
+    guest_cells = [c[c >= 0] for c in (np.frombuffer(c, np.int32) for c in table["cells"].take(pa.array(first[guest])).to_pylist())]
     in_cell = np.r_[home[stored & (home >= 0)], *guest_cells].astype(int)
     in_row = np.r_[np.flatnonzero(stored & (home >= 0)), np.repeat(guest, [len(c) for c in guest_cells])].astype(int)
     for cell in np.unique(in_cell):
-        base, rows = in_row[in_cell == cell], ask_row[ask_cell == cell]
+        base, rows = in_row[in_cell == cell], ask_row[(ask_cell == cell) & search]
         base = base[np.argsort(node[base])]
         block = cc.Block(x[base], node[base], p.collisions)
         q = x[rows]
         qi, bi, d = block.search(q, node[rows], p.k, p.limit)
         found.append((rows[qi], base[bi], d))
         if graph and p.limit is not None:
-            searched.append((block, q, rows, base, np.flatnonzero(np.bincount(qi, minlength=len(rows)) >= p.k)))
+            searched.append((block, ask_row[ask_cell == cell], base))
     row, near, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     joins = [(row, near, d)]
     if searched:
         label = cc.components(len(node), row, near)
-        for block, q, rows, base, full in searched:
-            i, j, far = cc.bridges(block, q, full, label[rows], label[base], p.limit)
+        for block, rows, base in searched:
+            i, j, far = cc.bridges(block, x[rows], np.arange(len(rows)), label[rows], label[base], p.limit)
             joins.append((rows[i], base[j], far))
     if not graph:
         many = np.flatnonzero(stored & (flag & ASKED > 0) & (np.diff(ends) > 1))
@@ -410,7 +436,7 @@ def answers(rows: DataFrame, routers: dict[int, Router], p: Similar, graph: bool
     """The answers of all blocks to ``rows`` (of :func:`stored_rows` and :func:`asked_rows`), several per node."""
     ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(routers)
-    routed = rows.mapInArrow(lambda batches: _route(batches, shared.value, p), ROUTED)
+    routed = rows.mapInArrow(lambda batches: _route(batches, shared.value, p, graph), ROUTED)
     return routed.groupBy("block").applyInArrow(lambda table: _answer(table, p, graph), FOUND)
 
 

@@ -128,6 +128,15 @@ def test_links_survive_the_cut_of_merged_lists(vectors):
     assert graph_groups(vectors, ids, x, p) == components(ids, x, 4.0)
 
 
+@pytest.mark.parametrize("block_rows", [2, 64])
+def test_tight_groups_in_cells_of_their_own_are_compared(vectors, block_rows):
+    r = np.random.default_rng(6)
+    ids, x = strings_of_beads(step=1.9, beads=2, per=20)
+    x = np.concatenate([x[:40] + s for s in r.normal(0, 30, (10, DIM)).astype(np.float32)])
+    p = neighbours.Similar(k=3, limit=4.0, dimension=DIM, cell_rows=20, block_rows=block_rows)
+    assert graph_groups(vectors, np.arange(1, len(x) + 1), x, p) == components(np.arange(1, len(x) + 1), x, 4.0)
+
+
 def test_spanning_joins_what_pairs_join():
     label = collisions.components(6, np.array([0]), np.array([1]))
     a, b, d = np.array([0, 1, 2, 3, 1]), np.array([1, 2, 3, 1, 3]), np.array([0.1, 1.0, 2.0, 3.0, 3.0])
