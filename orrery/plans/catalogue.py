@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ from orrery.plans import deterministic as det
 from orrery.schema import IndexConfig, dimension_violations, with_timestamps
 from orrery.session import ensure_checkpoint_dir, ship
 
-Q, K = 20, 10
+#: Queries by id prefix, as in the SQL; EVERY is the whole query set, every row whose id it divides.
+Q, K, EVERY = 20, 10, 50
 #: Rows of the batch of ``minibatch_update_step``: vec_id % BATCH_OF = BATCH_AT; each centroid has had HITS batches.
 BATCH_OF, BATCH_AT, HITS = 7, 3, 4
 NOW = 1_700_000_000
@@ -26,17 +28,19 @@ def _e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.embeddings(spark, sf_dir)
 
 
-def _queries(e: DataFrame, n: int = Q) -> DataFrame:
-    return e.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def _queries(e: DataFrame, n: int | None = Q) -> DataFrame:
+    """The rows with ids below ``n``; without it every row whose id EVERY divides."""
+    asked = F.col("vec_id") % EVERY == 0 if n is None else F.col("vec_id") < n
+    return e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-def _exact(e: DataFrame, n: int = Q, k: int = K) -> DataFrame:
+def _exact(e: DataFrame, n: int | None = Q, k: int = K) -> DataFrame:
     return knn.exact_batch(e, _queries(e, n), k, "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
 
 
-def _found(spark: SparkSession, sf_dir: str, n_probe: int, k: int = K, include: bool = False, built: det.Built | None = None) -> DataFrame:
+def _found(spark: SparkSession, sf_dir: str, n_probe: int, k: int = K, include: bool = False, built: det.Built | None = None, n: int | None = Q) -> DataFrame:
     built = built or det.build(spark, sf_dir)
-    found = search.search_lists(_queries(_e(spark, sf_dir)), built.centroids, built.postings, k, n_probe, include, "vec_id", "embedding")
+    found = search.search_lists(_queries(_e(spark, sf_dir), n), built.centroids, built.postings, k, n_probe, include, "vec_id", "embedding")
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -61,8 +65,8 @@ def exact_knn_single(spark, d):
     return found.select(F.col("rank").cast("long").alias("rank"), "external_id", F.round("distance", 6).alias("distance"))
 
 
-def exact_knn_batch(spark, d):
-    return _named(_exact(_e(spark, d), 50))
+def exact_knn_batch(spark, d, n=50):
+    return _named(_exact(_e(spark, d), n))
 
 
 def centroid_means(spark, d):
@@ -150,9 +154,9 @@ def hierarchical_assign(spark, d):
     return e.mapInArrow(run, "vec_id long, centroid_id long")
 
 
-def probe_selection(spark, d):
+def probe_selection(spark, d, n=Q):
     b = det.build(spark, d)
-    chosen = knn.probes(_queries(_e(spark, d)), b.centroids, 4).join(F.broadcast(b.centroids.select("centroid_id", "shard_id")), "centroid_id")
+    chosen = knn.probes(_queries(_e(spark, d), n), b.centroids, 4).join(F.broadcast(b.centroids.select("centroid_id", "shard_id")), "centroid_id")
     return chosen.select("query_id", F.col("rank").cast("long").alias("rank"), "centroid_id", "shard_id")
 
 
@@ -161,53 +165,53 @@ def posting_scan_selective(spark, d):
     return b.postings.where(F.col("centroid_id").isin(1, 3, 6)).select("centroid_id", "shard_id", "vec_id")
 
 
-def ivf_search_nprobe_1(spark, d):
-    return _named(_found(spark, d, 1))
+def ivf_search_nprobe_1(spark, d, n=Q):
+    return _named(_found(spark, d, 1, n=n))
 
 
-def ivf_search_nprobe_4(spark, d):
-    return _named(_found(spark, d, 4))
+def ivf_search_nprobe_4(spark, d, n=Q):
+    return _named(_found(spark, d, 4, n=n))
 
 
-def ivf_search_nprobe_8(spark, d):
-    return _named(_found(spark, d, 8))
+def ivf_search_nprobe_8(spark, d, n=Q):
+    return _named(_found(spark, d, 8, n=n))
 
 
-def ivf_search_all_probes_equals_exact(spark, d):
-    return _named(_found(spark, d, 10_000))
+def ivf_search_all_probes_equals_exact(spark, d, n=Q):
+    return _named(_found(spark, d, 10_000, n=n))
 
 
-def search_include_vectors(spark, d):
-    found = _found(spark, d, 4, 3, True)
+def search_include_vectors(spark, d, n=Q):
+    found = _found(spark, d, 4, 3, True, n=n)
     long = found.select("query_id", "rank", F.posexplode("vector").alias("pos", "value"))
     return long.select("query_id", "rank", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-def search_padded(spark, d):
+def search_padded(spark, d, n=Q):
     e = _e(spark, d)
-    full = search.padded(_found(spark, d, 1, 60), _queries(e), 60)
+    full = search.padded(_found(spark, d, 1, 60, n=n), _queries(e, n), 60)
     infinite = F.col("distance") == float("inf")
     return full.select("query_id", F.col("rank").cast("long").alias("rank"), "external_id", F.round(F.when(infinite, F.lit(-1.0)).otherwise(F.col("distance")), 6).alias("distance_or_minus_1"))
 
 
-def recall_at_k_by_nprobe(spark, d):
-    b, truth = det.build(spark, d), _exact(_e(spark, d))
+def recall_at_k_by_nprobe(spark, d, n=Q):
+    b, truth = det.build(spark, d), _exact(_e(spark, d), n)
     parts = None
-    for n in (1, 4, 8):
-        part = evaluate.recall(truth, _found(spark, d, n, built=b)).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(n).cast("long").alias("n_probe"), "recall")
+    for n_probe in (1, 4, 8):
+        part = evaluate.recall(truth, _found(spark, d, n_probe, built=b, n=n)).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(n_probe).cast("long").alias("n_probe"), "recall")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
-def one_nn_recall(spark, d):
-    truth = knn.exact_batch(_e(spark, d), _queries(_e(spark, d)), 2, "vec_id", "embedding").where("external_id != query_id")
+def one_nn_recall(spark, d, n=Q):
+    truth = knn.exact_batch(_e(spark, d), _queries(_e(spark, d), n), 2, "vec_id", "embedding").where("external_id != query_id")
     nearest_other = truth.groupBy("query_id").agg(F.min(F.struct("distance", "external_id")).alias("m")).select("query_id", F.lit(1).alias("rank"), F.col("m.external_id").alias("external_id"))
-    got = evaluate.first_recall(nearest_other, _found(spark, d, 1), (2, 5, 10, 100), K)
+    got = evaluate.first_recall(nearest_other, _found(spark, d, 1, n=n), (2, 5, 10, 100), K)
     return got.select(F.col("rank").cast("long").alias("rank"), F.round("recall", 6).alias("recall"))
 
 
-def intersection_measure(spark, d):
-    return evaluate.intersection(_exact(_e(spark, d)), _found(spark, d, 4), K).select(F.round("measure", 6).alias("measure"))
+def intersection_measure(spark, d, n=Q):
+    return evaluate.intersection(_exact(_e(spark, d), n), _found(spark, d, 4, n=n), K).select(F.round("measure", 6).alias("measure"))
 
 
 def optimal_assignment_violations(spark, d):
@@ -249,7 +253,7 @@ def ivf_build_minibatch(spark, d):
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{abs(hash((d, spark.sparkContext.applicationId))):x}"
     config = IndexConfig(64, f"{root}/index", f"{root}/shards")
     built = index.fit(e.select(F.col("vec_id").alias("external_id"), F.col("embedding").alias("values")), config, now=NOW)
-    return search.search(built, _queries(e), K, 8)
+    return search.search(built, _queries(e, None), K, 8)
 
 
 LISTED = [
@@ -260,9 +264,15 @@ LISTED = [
     shard_balance, timestamp_default, suggest_nlist_table, max_iters_table, ivf_build_minibatch,
 ]
 
+#: Queries that are also registered over the whole query set, without SQL, as ..._every_50th.
+WHOLE = [
+    exact_knn_batch, probe_selection, ivf_search_nprobe_1, ivf_search_nprobe_4, ivf_search_nprobe_8, ivf_search_all_probes_equals_exact,
+    search_include_vectors, search_padded, recall_at_k_by_nprobe, one_nn_recall, intersection_measure,
+]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in LISTED} | {"dimension_violations": bad_dimensions}
+    return {f.__name__: f for f in LISTED} | {f"{f.__name__}_every_{EVERY}th": partial(f, n=None) for f in WHOLE} | {"dimension_violations": bad_dimensions}
 
 
 def _hierarchical_sql() -> str:

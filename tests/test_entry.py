@@ -29,3 +29,10 @@ def test_equals_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
+def test_every_50th_row_is_asked(spark):
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
+    truth, found = (entry.queries()[f"{name}_every_50th"](spark, DATA).collect() for name in ("exact_knn_batch", "ivf_search_all_probes_equals_exact"))
+    assert {r["query_id"] for r in truth} == ids and {tuple(r) for r in truth} == {tuple(r) for r in found}
