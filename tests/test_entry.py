@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -36,3 +37,10 @@ def test_every_50th_row_is_asked(spark):
     ids = {r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
     truth, found = (entry.queries()[f"{name}_every_50th"](spark, DATA).collect() for name in ("exact_knn_batch", "ivf_search_all_probes_equals_exact"))
     assert {r["query_id"] for r in truth} == ids and {tuple(r) for r in truth} == {tuple(r) for r in found}
+
+
+def test_recall_of_the_built_index(spark, tmp_path):
+    x = np.random.default_rng(5).normal(0, 1, (2_000, 64)).tolist()  # no clusters, so that few probes find little
+    spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    truth, found = ({(r["query_id"], r["external_id"]) for r in entry.queries()[n](spark, str(tmp_path)).collect()} for n in ("exact_knn_batch_every_50th", "ivf_build_minibatch"))
+    assert len({q for q, _ in found}) == 40 and len(truth & found) >= 0.9 * len(truth)
