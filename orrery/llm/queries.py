@@ -60,6 +60,11 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(packing.packed(_table(spark, sf_dir, "documents")))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts and pieces in every container."""
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_report(spark, sf_dir).where("falls_short").select("source")
 
@@ -68,6 +73,11 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix itself, a row per use of a document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[0]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     assessed = quality.assessed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
     return assessed.where(~F.col("is_prose")).select("doc_id")
@@ -77,7 +87,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assessed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
 
 
-QUERIES = [p1_found, p3_found, p3_clusters, p4_subset, p5_found, p5_sample, p6_found, p6_containers, p7_found, p7_report, p8_found, p8_statistics]
+QUERIES = [p1_found, p3_found, p3_clusters, p4_subset, p5_found, p5_sample, p6_found, p6_containers, p6_packed, p7_found, p7_report, p7_mix, p8_found, p8_statistics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,3 +1,4 @@
+import os
 import math
 
 import pytest
@@ -128,3 +129,17 @@ def test_quality(spark):
     right = sum(got[i]["is_prose"] == (kind == "prose") for i, _, kind in held_out)
     assert right / len(held_out) > 0.93
     assert quality.assessed(df.limit(0), words).count() == 0
+
+
+def test_packing_and_mix_are_registered_whole(spark):
+    from orrery.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the test tables aren't here")
+    made = queries.queries()
+    mixed, packed = made["p7_mix"](spark, data), made["p6_packed"](spark, data)
+    assert mixed.count() > 0 and mixed.select("doc_id", "copy").distinct().count() == mixed.count()
+    assert packed.groupBy("container").sum("tokens").where("`sum(tokens)` > 2048").count() == 0
+    texts = spark.read.parquet(f"{data}/documents.parquet").where("length(text) > 0").select("doc_id")
+    assert packed.select("doc_id").distinct().count() == texts.count()
