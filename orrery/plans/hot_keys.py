@@ -23,12 +23,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.select("load_no", F.col("value").alias("centroid_id"))
 
 
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hot_keys.distinct_per_key(_postings(spark, sf_dir), ["load_no", "centroid_id"], "id", "n_ids")
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recorded = spark.read.parquet(f"{sf_dir}/centroid_index.parquet").groupBy(F.col("load_no").cast("long").alias("load_no"), F.col("centroid_id").cast("long").alias("centroid_id"))
+    return recorded.agg(F.min("num_vectors").alias("least_recorded"), F.max("num_vectors").alias("most_recorded"))
+
+
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct vectors per load and centroid beside the least and greatest recorded number."""
-    counted = hot_keys.distinct_per_key(_postings(spark, sf_dir), ["load_no", "centroid_id"], "id", "n_ids")
-    recorded = spark.read.parquet(f"{sf_dir}/centroid_index.parquet").groupBy(F.col("load_no").cast("long").alias("load_no"), F.col("centroid_id").cast("long").alias("centroid_id"))
-    recorded = recorded.agg(F.min("num_vectors").alias("least_recorded"), F.max("num_vectors").alias("most_recorded"))
-    return counted.join(recorded, ["load_no", "centroid_id"], "left")
+    return _counted(spark, sf_dir).join(_recorded(spark, sf_dir), ["load_no", "centroid_id"], "left")
+
+
+def p2_counts_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p2_counts, with every recorded load and centroid: without postings ``n_ids`` is 0."""
+    a, b = _counted(spark, sf_dir).alias("a"), _recorded(spark, sf_dir).alias("b")
+    keys = ["load_no", "centroid_id"]
+    both = a.join(b, F.col("a.load_no").eqNullSafe(F.col("b.load_no")) & F.col("a.centroid_id").eqNullSafe(F.col("b.centroid_id")), "full")
+    return both.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys), F.coalesce("n_ids", F.lit(0).cast("long")).alias("n_ids"), "least_recorded", "most_recorded")
 
 
 def p2_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +52,7 @@ def p2_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_counts, p2_quantiles)}
+    return {f.__name__: f for f in (p2_found, p2_counts, p2_counts_recorded, p2_quantiles)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,3 +49,12 @@ def test_empty_table(spark):
     assert hk.quantiles_per_key(df, ["load"], "id", [0.5]).count() == 0
     with pytest.raises(ValueError):
         hk.quantiles_per_key(df, ["load"], "id", [1.5])
+
+
+def test_recorded_lists_without_postings_stand_with_0(spark, tmp_path):
+    from orrery.plans.hot_keys import queries
+
+    spark.createDataFrame([(0, 7, 1), (0, 7, 2), (0, None, 3)], "load_no int, centroid_id int, id long").write.parquet(f"{tmp_path}/postings.parquet")
+    spark.createDataFrame([(0, 7, 5), (0, 8, 4), (0, None, 9)], "load_no int, centroid_id int, num_vectors long").write.parquet(f"{tmp_path}/centroid_index.parquet")
+    got = {tuple(r) for r in queries()["p2_counts_recorded"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 7, 2, 5, 5), (0, 8, 0, 4, 4), (0, None, 1, 9, 9)}
