@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.vectors import is_valid_vector, l2_squared
 from orrery.llm import neighbours as nn
+from orrery.llm.cells import fit
 from orrery.session import cut, tidy
 
 
@@ -51,8 +52,7 @@ def similarity_graph(tables: list[tuple[DataFrame, str, str, int]], p: nn.Simila
     """
     routers, rows = {}, None
     for df, id_col, vector_col, bit in tables:
-        sample, n = nn.sampled(df, vector_col, p)
-        routers[bit] = nn.fit_router(sample, n, sample[:0], 0, p)
+        routers[bit] = fit(df, vector_col, p.shape(), p.k)
         part = nn.stored_rows(df, id_col, vector_col, space=bit, bit=bit)
         rows = part if rows is None else rows.unionByName(part)
     found = nn.answers(rows, routers, p, graph=True).select("node", "near", F.transform("far", lambda d: d.cast("float")).alias("far"), "links")

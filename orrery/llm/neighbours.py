@@ -2,14 +2,14 @@
 
 The plan shuffles the vectors once:
 
-1. Cell centres are fitted on a sample of bounded size and broadcast; neighbouring cells form *blocks* of a
-   bounded number of rows.
-2. Every vector is stored in the cell of its nearest centre and asked there and in every further cell that its
-   query-centred window reaches; it is sent once to each block it has to do with. Of two blocks, stored vectors
-   visit only one way: a visitor is found there as well as it asks, so either side learns of the pair. Exact copies within a batch
-   become one row with their smallest ids before the shuffle, and one *class* in the block. A cell with more
-   rows than a block holds is split by hash on both sides, so that no task gets an unbounded group and every
-   (query, stored) pair of a cell still meets once.
+1. Regions and cells of a few hundred rows are fitted on samples (:mod:`orrery.llm.cells`) and broadcast, in waves of
+   bounded size where there are very many; neighbouring cells form *blocks* of a bounded number of rows.
+2. Every vector is stored in its own cell and asked there and in every further cell that its query-centred window
+   reaches; it is sent once to each block it has to do with. Of two blocks, stored vectors visit only one way: a
+   visitor is found there as well as it asks, so either side learns of the pair. Exact copies within a batch
+   become one row with their smallest ids before the shuffle, of copies seen often in a task only smaller ids follow,
+   and all are one *class* in the block. A cell with more rows than a block holds is split by hash on both sides, so
+   that no task gets an unbounded group and every (query, stored) pair of a cell still meets once.
 3. Each block answers by collision counting (``collisions.Block``), cell by cell; the k best of all its blocks
    are a class's neighbours. Lists of classes become lists of ids.
 """
@@ -17,7 +17,7 @@ The plan shuffles the vectors once:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,11 @@ from pyspark.sql import functions as F
 
 from orrery.functions.vectors import is_valid_vector
 from orrery.llm import collisions as cc
-from orrery.session import ship
+from orrery.llm.cells import Cells, Shape, fit, runs
+from orrery.session import kept_folder, ship, shuffle_partitions
 
 #: What a row is in a block: one that others find, one that asks, one that asks in no other block.
 STORED, ASKED, ONLY = 1, 2, 4
-#: Rows compared with all centres at once, which bounds the memory taken.
-ROWS_AT_ONCE = 1_024
 
 
 @dataclass(frozen=True)
@@ -40,129 +39,23 @@ class Similar:
     """Parameters of the search.
 
     k: neighbours per vector. limit: greatest squared distance, None for none. dimension: components of a
-    valid vector. sample_rows: bound of the sample that the cell centres are fitted on. cell_rows: stored
-    classes per cell aimed at while the centres are fewer than sample_rows / 16. spread: half a routing window
+    valid vector. cell_rows: stored classes per cell aimed at, at any number of rows. spread: half a routing window
     in units of the search radius; 0.3 is 2.4 standard deviations of the projection of a pair that far apart.
-    block_rows: stored classes that a
-    block holds, as estimated from the sample.
+    block_rows: stored classes that a block holds, as estimated from the sample. wave_cells: cells broadcast at once.
     """
 
     k: int = 10
     limit: float | None = 8.0
     dimension: int = 64
-    sample_rows: int = 65_536
     cell_rows: int = 300
     spread: float = 0.3
     block_rows: int = 8_192
+    wave_cells: int = 500_000
     seed: int = 11
     collisions: cc.Collisions = field(default_factory=cc.Collisions)
 
-
-@dataclass(frozen=True)
-class Router:
-    """Cell centres; per cell the radius that holds k + 1 sampled rows, its block, and the splits of its two sides.
-
-    Only a cell that is a block alone is split.
-    """
-
-    centres: np.ndarray
-    holds: np.ndarray
-    block: np.ndarray
-    stored_parts: np.ndarray
-    asked_parts: np.ndarray
-
-    def visits(self, x: np.ndarray, p: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell) of every cell a row is asked in, and the home cell of each row."""
-        norms = np.einsum("ij,ij->i", self.centres, self.centres)
-        d = norms[None] - 2 * (x @ self.centres.T)
-        home = d.argmin(axis=1)
-        best = d[np.arange(len(x)), home]
-        own = np.sqrt(np.maximum(best + np.einsum("ij,ij->i", x, x), 0))
-        reach = own + self.holds[home]
-        if p.limit is not None:
-            reach = np.minimum(reach, np.sqrt(p.limit))
-        apart = np.sqrt(np.maximum(norms[home][:, None] + norms[None] - 2 * (self.centres[home] @ self.centres.T), 0))
-        near = (d - best[:, None]) <= (2 * p.spread * reach)[:, None] * apart
-        near[np.arange(len(x)), home] = True
-        row, cell = np.nonzero(near)
-        return row, cell, home
-
-    def borders(self, x: np.ndarray, p: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell) of every cell whose border with the home cell is within half the limit, and the home cells.
-
-        The segment between two vectors crosses the border of their cells, so of a pair within the limit one is
-        near enough to it: one of the two comes to the other's cell, whatever lies in it.
-        """
-        norms = np.einsum("ij,ij->i", self.centres, self.centres)
-        d = norms[None] - 2 * (x @ self.centres.T)
-        home = d.argmin(axis=1)
-        best = d[np.arange(len(x)), home]
-        apart = np.sqrt(np.maximum(norms[home][:, None] + norms[None] - 2 * (self.centres[home] @ self.centres.T), 0))
-        slack = 1e-5 * (float(norms.max()) + np.einsum("ij,ij->i", x, x))
-        row, cell = np.nonzero((d - best[:, None]) <= np.sqrt(p.limit) * apart + slack[:, None])
-        return row, cell, home
-
-
-def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    """Centres of a sample held in memory: rows drawn at random, then a few rounds of means."""
-    c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)].copy()
-    for _ in range(rounds):
-        label = nearest(x, c)
-        n = np.bincount(label, minlength=len(c))
-        total = np.stack([np.bincount(label, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], axis=1)
-        c[n > 0] = (total[n > 0] / n[n > 0, None]).astype(np.float32)
-    return c[n > 0] if rounds else c
-
-
-def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    norms = np.einsum("ij,ij->i", c, c)
-    return np.concatenate([(norms[None] - 2 * (x[s : s + ROWS_AT_ONCE] @ c.T)).argmin(axis=1) for s in range(0, len(x), ROWS_AT_ONCE)] or [np.zeros(0, int)])
-
-
-def fit_router(stored: np.ndarray, rows: int, asked: np.ndarray, asked_rows: int, p: Similar) -> Router:
-    """Centres from a sample of ``stored`` standing for ``rows``; ``asked`` is a sample of further queries."""
-    centres = k_means(stored, cells_for(rows, p), 4, p.seed) if len(stored) else np.zeros((1, p.dimension), np.float32)
-    holds = np.full(len(centres), np.inf, dtype=np.float32)
-    home = nearest(stored, centres)
-    for c, at in zip(*_runs(home)):
-        d = np.sqrt(((stored[at] - centres[c]) ** 2).sum(1))
-        if len(d) > p.k:
-            holds[c] = np.partition(d, p.k)[p.k]
-    one = np.ones(len(centres), int)
-    plain = Router(centres, holds, one, one, one)
-    asks = np.zeros(len(centres))
-    for x, n in ((stored, rows), (asked, asked_rows)):
-        for s in range(0, len(x), ROWS_AT_ONCE):
-            asks += np.bincount(plain.visits(x[s : s + ROWS_AT_ONCE], p)[1], minlength=len(centres)) * (n / len(x))
-    stored_rows = np.bincount(home, minlength=len(centres)) * (rows / max(1, len(stored)))
-    block = blocks_of(centres, stored_rows, p.block_rows)
-    alone = np.bincount(block)[block] == 1
-    parts = lambda n: np.where(alone, np.maximum(1, np.ceil(n / (2 * p.block_rows))), 1).astype(int)
-    return Router(centres, holds, block, parts(stored_rows), parts(asks))
-
-
-def blocks_of(centres: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
-    """A block for each cell: the cells are halved along their widest direction until a part has at most ``most`` rows."""
-    block, todo, number = np.zeros(len(centres), int), [np.arange(len(centres))], 0
-    while todo:
-        at = todo.pop()
-        if len(at) == 1 or rows[at].sum() <= most:
-            block[at] = number
-            number += 1
-            continue
-        x = centres[at] - centres[at].mean(axis=0)
-        along = x @ np.linalg.svd(x, full_matrices=False)[2][0]
-        order = at[np.argsort(along, kind="stable")]
-        half = np.clip(np.searchsorted(np.cumsum(rows[order]), rows[order].sum() / 2) + 1, 1, len(at) - 1)
-        todo += [order[:half], order[half:]]
-    return block
-
-
-def _runs(label: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    order = np.argsort(label, kind="stable")
-    cut_at = np.flatnonzero(np.diff(label[order])) + 1
-    parts = [x for x in np.split(order, cut_at) if len(x)]
-    return np.array([label[x[0]] for x in parts], dtype=int), parts
+    def shape(self) -> Shape:
+        return Shape(dimension=self.dimension, cell_rows=self.cell_rows, block_rows=self.block_rows, wave_cells=self.wave_cells, seed=self.seed)
 
 
 def node_of(id_: F.Column, bit: int) -> F.Column:
@@ -206,29 +99,18 @@ def members(df: DataFrame, id_col: str, vector_col: str, p: Similar, bit: int =
 
 
 def further_copies(df: DataFrame, id_col: str, vector_col: str, p: Similar) -> DataFrame:
-    """(``id``, ``first``) of ids beyond the k + 1 smallest of their class, with its k smallest in order."""
+    """(``id``, ``first``) of ids beyond the k + 1 smallest of their class, with its k smallest in order.
+
+    A class is gone through in hash bins of its ids, so that no task gets all copies of one vector.
+    """
+    bins = shuffle_partitions(df.sparkSession)
     keyed = _keyed(df, id_col, vector_col, p)
     large = keyed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > p.k + 1).select("h1", "h2")
-    ids = keyed.join(large, ["h1", "h2"], "left_semi").where(is_valid_vector(F.col("data"), p.dimension)).select("h1", "h2", "id").distinct()
-    placed = ids.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id")))
-    first = placed.where(F.col("place") <= p.k).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("first"))
-    return placed.where(F.col("place") > p.k + 1).join(first, ["h1", "h2"]).select("id", "first")
-
-
-def sampled(df: DataFrame, vector_col: str, p: Similar) -> tuple[np.ndarray, int]:
-    """Distinct valid vectors of a hash sample of bounded size, and the number of all rows."""
-    rows = df.count()
-    v = F.col(vector_col).cast("array<float>")
-    share = min(1.0, 16 * cells_for(rows, p) / max(rows, 1))
-    hashed = df.select(v.alias("data"), F.pmod(F.xxhash64(F.lit(p.seed + 1), v), F.lit(1 << 30)).alias("h"))
-    part = hashed.where(F.col("h") < int(share * (1 << 30))).where(is_valid_vector(F.col("data"), p.dimension))
-    got = part.dropDuplicates(["h"]).orderBy("h").limit(2 * p.sample_rows).toArrow()["data"].combine_chunks()
-    x = got.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, p.dimension)
-    return np.ascontiguousarray(x), rows
-
-
-def cells_for(rows: int, p: Similar) -> int:
-    return int(np.clip(rows // p.cell_rows, 1, p.sample_rows // 16))
+    ids = keyed.join(large, ["h1", "h2"], "left_semi").where(is_valid_vector(F.col("data"), p.dimension)).select("h1", "h2", "id", F.pmod(F.xxhash64("id"), F.lit(bins)).alias("bin")).distinct()
+    place = F.row_number().over(Window.partitionBy("h1", "h2", "bin").orderBy("id"))
+    least = ids.withColumn("place", place).where(F.col("place") <= p.k + 1).groupBy("h1", "h2").agg(F.slice(F.sort_array(F.collect_list("id")), 1, p.k + 1).alias("least"))
+    least = least.where(F.size("least") > p.k).select("h1", "h2", F.slice("least", 1, p.k).alias("first"), F.element_at("least", -1).alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    return ids.join(least, ["h1", "h2", "bin"]).where(F.col("id") > F.col("last")).select("id", "first")
 
 
 def _pack(x: np.ndarray) -> pa.Array:
@@ -246,7 +128,7 @@ def _unpack(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
-ROUTED = "block long, flag int, bit int, ids array<long>, home int, cells binary, v binary"
+ROUTED = "block long, place long, flag int, bit int, ids array<long>, home int, cells array<int>, v binary"
 
 
 def _vectors(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,63 +163,89 @@ def _least(label: np.ndarray, ids: np.ndarray, classes: int, most: int) -> tuple
     return np.r_[0, np.cumsum(np.bincount(label[keep], minlength=classes))], ids[keep]
 
 
-def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Router], p: Similar, graph: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each block that a vector is stored or asked in; copies within the batch are one row.
+class _Seen:
+    """The (k + 1)-th smallest id so far of classes that a task has met more often, to leave out copies beyond."""
+
+    def __init__(self, most: int):
+        self.most, self.ids = most, {}
+
+    def wanted(self, keys: list[bytes], ends: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends and ids of each class without those that can't be among its smallest; a class without any is skipped."""
+        keep = np.ones(len(ids), bool)
+        for i in np.flatnonzero((np.diff(ends) > 1) | np.array([k in self.ids for k in keys], bool)):
+            own = ids[ends[i] : ends[i + 1]]
+            before = self.ids.get(keys[i], own[:0])
+            if len(before) == self.most:
+                keep[ends[i] : ends[i + 1]] = own < before[-1]
+            self.ids[keys[i]] = np.unique(np.r_[before, own])[: self.most]
+        counts = np.add.reduceat(keep, ends[:-1]) if len(keys) else np.zeros(0, int)
+        return np.r_[0, np.cumsum(counts)], ids[keep]
+
+
+def _route(batches: Iterator[pa.RecordBatch], routers: dict[int, Cells], p: Similar, graph: bool, whole: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each block that a vector is stored or asked in; copies are one row.
 
     With ``graph`` also for each block that it is only compared with for links; such cells are given as ~cell.
+    ``whole`` tells that the routers hold all cells, not a wave of them.
     """
+    seen = _Seen(p.k + 1)
     for batch in batches:
         ok, x = _vectors(batch.column("data"), p.dimension)
         if not len(ok):
             continue
         space, role, bit, ids = (batch.column(c).to_numpy(zero_copy_only=False)[ok].astype(np.int64) for c in ("space", "role", "bit", "id"))
         alone = np.where(role & STORED, 0, ids)  # a question is a class of its own
-        first, label = _same(x, np.stack([space, role, bit, alone], axis=1))
+        key = np.stack([space, role, bit, alone], axis=1)
+        first, label = _same(x, key)
         ends, least = _least(label, ids, len(first), p.k + 1)
         x, space, role, bit = x[first], space[first], role[first], bit[first]
-        salt = np.einsum("ij,j->i", x.view(np.uint32).astype(np.uint64), _ODD[: p.dimension]) >> np.uint64(34)
-        salt = salt.astype(np.int64)
-        out = []
-        for key in np.unique(space):
-            at, r = np.flatnonzero(space == key), routers[int(key)]
-            for s in range(0, len(at), ROWS_AT_ONCE):
-                rows = at[s : s + ROWS_AT_ONCE]
-                i, cell, home = r.visits(x[rows], p)
-                block, row = r.block[cell], rows[i]
-                own = r.block[home[i]]
-                goes = (block == own) | (role[row] & STORED == 0) | ((block < own) == ((block + own) % 2 == 0))
-                i, block, row, cell = i[goes], block[goes], row[goes], cell[goes]
-                searched = np.unique(row * len(r.block) + block)
-                if graph and p.limit is not None:
-                    j, other, _ = r.borders(x[rows], p)
-                    further = ~np.isin(j * len(r.block) + other, i * len(r.block) + cell)
-                    j, other = j[further], other[further]
-                    i, block, row, cell = np.r_[i, j], np.r_[block, r.block[other]], np.r_[row, rows[j]], np.r_[cell, ~other]
-                order = np.lexsort((-cell, block, row))  # cells to be searched come first
-                block, row, cell, home = block[order], row[order], cell[order], home[i][order]
-                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])
-                stop = np.r_[new[1:], len(row)]
-                blocks = np.bincount(searched // len(r.block), minlength=len(x))
-                for a, z in zip(new.tolist(), stop.tolist()):
-                    c, n = int(cell[a]), int(row[a])
-                    role_n, at_home = int(role[n]) if c >= 0 else ASKED, block[a] == r.block[home[a]]
-                    c = c if c >= 0 else ~c
-                    b, q = int(r.stored_parts[c]), int(r.asked_parts[c])
-                    base = (int(key) << 56) + (int(block[a]) << 24)
-                    places = {0: role_n | (ONLY if blocks[n] == 1 else 0)}
-                    if b * q > 1:
-                        places = {(part << 12) + int(salt[n] % q): ASKED for part in range(b)}
-                        for part in range(q if role_n & STORED else 0):
-                            place = (int(salt[n] % b) << 12) + part
-                            places[place] = places.get(place, 0) | STORED
-                    out += [(base + place, flag, n, int(home[a]) if at_home else -1, cell[a:z].astype(np.int32).tobytes()) for place, flag in places.items()]
-        block, flag, row, home, cells = zip(*out)
-        row = np.array(row)
+        hashed = np.stack([x.view(np.uint32).astype(np.uint64) @ _ODD[a : a + p.dimension] for a in (0, p.dimension)] + [key[first] @ _ODD[2 * p.dimension : 2 * p.dimension + 4].astype(np.int64)], axis=1).astype(np.uint64)
+        ends, least = seen.wanted([h.tobytes() for h in hashed], ends, least)
+        live = np.flatnonzero(np.diff(ends) > 0)
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(least, pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block, pa.int64()), pa.array(flag, pa.int32()), pa.array(bit[row], pa.int32()), lists.take(pa.array(row)), pa.array(home, pa.int32()), pa.array(cells, pa.binary()), _pack(x[row])],
-            names=["block", "flag", "bit", "ids", "home", "cells", "v"],
-        )
+        salt = (hashed[:, 0] >> np.uint64(34)).astype(np.int64)
+        for key in np.unique(space[live]):
+            at, r = live[space[live] == key], routers[int(key)]
+            yield _sent(x, at, role, bit, salt, lists, r, int(key), p, graph, whole)
+
+
+def _sent(x: np.ndarray, at: np.ndarray, role: np.ndarray, bit: np.ndarray, salt: np.ndarray, lists: pa.ListArray, r: Cells, space: int, p: Similar, graph: bool, whole: bool) -> pa.RecordBatch:
+    """The rows to be sent for the vectors ``at`` of one space, a row per vector, block and part of a split block."""
+    i, cell, asked, home = r.visits(x[at], p.spread, p.limit, graph)
+    block, own = r.block[cell], np.where(home >= 0, r.block[np.maximum(home, 0)], -1)[i]
+    stored = (role[at] & STORED > 0)[i]
+    goes = ~asked | (block == own) | (own < 0) | ~stored | ((block < own) == ((block + own) % 2 == 0))
+    asked &= goes
+    if not graph:
+        i, cell, asked, block = i[goes], cell[goes], asked[goes], block[goes]
+    order = np.lexsort((~asked, block, i))  # cells to be searched come first
+    i, cell, asked, block = i[order], cell[order], asked[order], block[order]
+    new = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (block[1:] != block[:-1])][: len(i)])
+    size = np.diff(np.r_[new, len(i)])
+    row, at_home, searched = i[new], (block[new] == np.where(home >= 0, r.block[np.maximum(home, 0)], -1)[i[new]]), asked[new]
+    blocks = np.bincount(row[searched], minlength=len(at))
+    flag = np.where(searched, role[at[row]], ASKED) | np.where(searched & (blocks[row] == 1) & whole, ONLY, 0)
+    b, q = r.stored_parts[cell[new]], r.asked_parts[cell[new]]
+    kept = (flag & STORED) > 0
+    copies = b + np.where(kept, q - 1, 0)
+    group = np.repeat(np.arange(len(new)), copies)
+    nth = np.arange(len(group)) - np.repeat(np.cumsum(copies) - copies, copies)
+    s, b, q = salt[at[row]][group], b[group], q[group]
+    asks = nth < b  # asked in every stored part; stored in every asked part besides
+    own_b, own_q = s % b, s % q
+    other = nth - b + (nth - b >= own_q)
+    place = np.where(asks, (nth << 31) + own_q, (own_b << 31) + other)
+    flags = np.where(asks, (flag[group] & ~STORED) | np.where(kept[group] & (nth == own_b), STORED, 0), STORED)
+    flags = np.where(b * q > 1, flags & ~ONLY, flag[group])
+    cells = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(np.where(asked, cell, ~cell), pa.int32()))
+    n = at[row[group]]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array((np.int64(space) << 56) + block[new][group]), pa.array(place), pa.array(flags.astype(np.int32)), pa.array(bit[n].astype(np.int32)), lists.take(pa.array(n)),
+            pa.array(np.where(at_home, home[row], -1)[group].astype(np.int32)), cells.take(pa.array(group)), _pack(x[n]),
+        ],
+        names=["block", "place", "flag", "bit", "ids", "home", "cells", "v"],
+    )
 
 
 #: Odd multipliers of the hash by which a split cell spreads its vectors.
@@ -346,6 +254,12 @@ _ODD = np.random.default_rng(17).integers(1, 1 << 63, size=1 << 14, dtype=np.uin
 FOUND = "node long, ids array<long>, near array<long>, far array<double>, links array<long>"
 
 
+def _listed(column: pa.ChunkedArray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, entry) of the lists of some rows."""
+    lists = column.take(pa.array(first[rows])).combine_chunks().cast(pa.list_(pa.int32()))
+    return np.repeat(rows, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False).astype(int)
+
+
 def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
     """The answers of one block: per asked class the ids nearest to it, its own further copies included.
 
@@ -364,25 +278,27 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
     x, flag, home = np.ascontiguousarray(x[first]), flag[first], table["home"].to_numpy()[first]
     node = (flat[ends[:-1]] << 1) | bit[first]
     asked = np.flatnonzero(flag & ASKED)
-    cells = [np.frombuffer(c, np.int32) for c in table["cells"].take(pa.array(first[asked])).to_pylist()]
-    ask_cell, ask_row = np.concatenate([np.zeros(0, np.int32), *cells]), np.repeat(asked, [len(c) for c in cells])
+    ask_row, ask_cell = _listed(table["cells"], first, asked)
     search, ask_cell = ask_cell >= 0, np.where(ask_cell < 0, ~ask_cell, ask_cell)
     links: dict[int, list[int]] = {}
     found, searched = [], []
     stored = (flag & STORED) > 0
     guest = np.flatnonzero(stored & (home < 0))
-    guest_cells = [c[c >= 0] for c in (np.frombuffer(c, np.int32) for c in table["cells"].take(pa.array(first[guest])).to_pylist())]
-    in_cell = np.r_[home[stored & (home >= 0)], *guest_cells].astype(int)
-    in_row = np.r_[np.flatnonzero(stored & (home >= 0)), np.repeat(guest, [len(c) for c in guest_cells])].astype(int)
-    for cell in np.unique(in_cell):
-        base, rows = in_row[in_cell == cell], ask_row[(ask_cell == cell) & search]
+    guest_row, guest_cell = _listed(table["cells"], first, guest)
+    guest_row, guest_cell = guest_row[guest_cell >= 0], guest_cell[guest_cell >= 0]
+    in_cell = np.r_[home[stored & (home >= 0)], guest_cell].astype(int)
+    in_row = np.r_[np.flatnonzero(stored & (home >= 0)), guest_row].astype(int)
+    asks = dict(zip(*runs(ask_cell)))
+    for cell, places in zip(*runs(in_cell)):
+        base, at = in_row[places], asks.get(cell, np.zeros(0, int))
+        rows = ask_row[at[search[at]]]
         base = base[np.argsort(node[base])]
         block = cc.Block(x[base], node[base], p.collisions)
         q = x[rows]
         qi, bi, d = block.search(q, node[rows], p.k, p.limit)
         found.append((rows[qi], base[bi], d))
         if graph and p.limit is not None:
-            searched.append((block, ask_row[ask_cell == cell], base))
+            searched.append((block, ask_row[at], base))
     row, near, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     joins = [(row, near, d)]
     if searched:
@@ -394,8 +310,7 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
         many = np.flatnonzero(stored & (flag & ASKED > 0) & (np.diff(ends) > 1))
         row, near, d = np.r_[row, many], np.r_[near, many], np.r_[d, np.zeros(len(many))]
     order = np.lexsort((node[near], d, row))
-    if graph:
-        order = order[np.r_[True, (row[order][1:] != row[order][:-1]) | (near[order][1:] != near[order][:-1])][: len(order)]]
+    order = order[np.r_[True, (row[order][1:] != row[order][:-1]) | (near[order][1:] != near[order][:-1])][: len(order)]]  # met in several cells
     order = order[cc._place(row[order]) < (p.k if graph else p.k + 1)]
     row, near, d = row[order], near[order], d[order]
     if graph:
@@ -432,12 +347,53 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
     )
 
 
-def answers(rows: DataFrame, routers: dict[int, Router], p: Similar, graph: bool) -> DataFrame:
-    """The answers of all blocks to ``rows`` (of :func:`stored_rows` and :func:`asked_rows`), several per node."""
-    ship(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast(routers)
-    routed = rows.mapInArrow(lambda batches: _route(batches, shared.value, p, graph), ROUTED)
-    return routed.groupBy("block").applyInArrow(lambda table: _answer(table, p, graph), FOUND)
+def answers(rows: DataFrame, routers: dict[int, Cells], p: Similar, graph: bool) -> DataFrame:
+    """The answers of all blocks to ``rows`` (of :func:`stored_rows` and :func:`asked_rows`), several per node.
+
+    Where the cells are too many to be broadcast at once, rows are first written out by the waves of regions that
+    they have to do with, and each wave is routed with its own cells.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    waves = [(space, wave) for space, r in routers.items() for wave in r.waves(p.wave_cells)]
+    if len(waves) == len(routers):
+        shared = spark.sparkContext.broadcast(routers)
+        routed = rows.mapInArrow(lambda batches: _route(batches, shared.value, p, graph, True), ROUTED)
+    else:
+        routed = None
+        folder = _by_wave(rows, routers, waves, p, graph)
+        for n, (space, wave) in enumerate(waves):
+            shared = spark.sparkContext.broadcast({space: routers[space].wave(*wave)})
+            part = spark.read.parquet(folder).where(F.col("wave") == n)
+            part = part.mapInArrow(lambda batches, shared=shared: _route(batches, shared.value, p, graph, False), ROUTED)
+            routed = part if routed is None else routed.unionByName(part)
+    return routed.groupBy("block", "place").applyInArrow(lambda table: _answer(table, p, graph), FOUND)
+
+
+def _by_wave(rows: DataFrame, routers: dict[int, Cells], waves: list[tuple[int, tuple[int, int]]], p: Similar, graph: bool) -> str:
+    """A folder with the rows, each once per wave of regions that it has to do with."""
+    spark = rows.sparkSession
+    lean = {space: replace(r, centres=r.centres[:0], holds=r.holds[:0], rows=r.rows[:0], asked=r.asked[:0], block=r.block[:0], stored_parts=r.stored_parts[:0], asked_parts=r.asked_parts[:0]) for space, r in routers.items()}
+    shared = spark.sparkContext.broadcast((lean, waves))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean, waves = shared.value
+        for batch in batches:
+            ok, x = _vectors(batch.column("data"), p.dimension)
+            space = batch.column("space").to_numpy()[ok]
+            for n, (s, (first, past)) in enumerate(waves):
+                at = np.flatnonzero(space == s)
+                i, region, _, _ = lean[s].regions_in_reach(x[at], p.spread, p.limit, graph)
+                mine = np.unique(i[(region >= first) & (region < past)])
+                if len(mine):
+                    out = batch.take(pa.array(ok[at[mine]]))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(len(mine), n), pa.int32())], names=[*out.schema.names, "wave"])
+
+    folder = kept_folder(spark, "waves")
+    from pyspark.sql import types as T
+
+    rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("wave", T.IntegerType())])).write.partitionBy("wave").parquet(folder)
+    return folder
 
 
 def merged(found: DataFrame, keep: int) -> DataFrame:
@@ -458,9 +414,7 @@ def most_similar(stored: DataFrame, requests: DataFrame | None = None, p: Simila
     missing; without, only blocks in reach of a query's window are searched. Empty tables give an empty result.
     Columns other than those named are ignored, whatever they are called. Ids must lie within 62 bits.
     """
-    sample, rows = sampled(stored, vector_col, p)
-    asked, asked_n = sampled(requests, request_col, p) if requests is not None else (np.zeros((0, p.dimension), np.float32), 0)
-    routers = {0: fit_router(sample, rows, asked, asked_n, p)}
+    routers = {0: fit(stored, vector_col, p.shape(), p.k, requests, request_col)}
     everything = stored_rows(stored, id_col, vector_col)
     if requests is not None:
         everything = everything.unionByName(asked_rows(requests, request_id_col, request_col))

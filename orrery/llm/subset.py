@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import neighbours as nn
+from orrery.llm.cells import Cells, fit
 from orrery.session import cut, ship
 
 CANDIDATES = "id long, v binary, radius double, place int, rows long"
@@ -49,7 +50,7 @@ def farthest_first(x: np.ndarray, tie: np.ndarray, count: int) -> tuple[np.ndarr
     return order[np.array(chosen)], np.array(radii)
 
 
-def _send(batches: Iterator[pa.RecordBatch], router: nn.Router, dimension: int) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterator[pa.RecordBatch], router: Cells, dimension: int) -> Iterator[pa.RecordBatch]:
     """The partition of each distinct valid vector of a batch, with its smallest id."""
     for batch in batches:
         ok, x = nn._vectors(batch.column("data"), dimension)
@@ -60,7 +61,7 @@ def _send(batches: Iterator[pa.RecordBatch], router: nn.Router, dimension: int)
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, label, ids)
         x = x[first]
-        home = nn.nearest(x, router.centres)
+        home = router.homes(x)
         salt = (np.einsum("ij,j->i", x.view(np.uint32).astype(np.uint64), nn._ODD[:dimension]) >> np.uint64(34)).astype(np.int64)
         block = (router.block[home].astype(np.int64) << 24) + salt % router.stored_parts[home]
         yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(least), nn._pack(x)], names=["block", "id", "v"])
@@ -92,17 +93,9 @@ def varied_subset(stored: DataFrame, p: Varied = Varied(), s: nn.Similar = nn.Si
     """
     spark = stored.sparkSession
     ship(spark)
-    sample, rows = nn.sampled(stored, vector_col, s)
-    router = nn.fit_router(sample, rows, sample[:0], 0, s)
-    estimate = np.bincount(nn.nearest(sample, router.centres), minlength=len(router.centres)) * (rows / max(1, len(sample)))
-    one = np.ones(len(estimate), int)
-
-    def grouped(weight: np.ndarray) -> nn.Router:
-        block = nn.blocks_of(router.centres, weight, p.partition_rows)
-        alone = np.bincount(block)[block] == 1
-        return nn.Router(router.centres, router.holds, block, np.where(alone, np.maximum(1, np.ceil(weight / p.partition_rows)), 1).astype(int), one)
-
-    first, second = spark.sparkContext.broadcast(grouped(estimate)), spark.sparkContext.broadcast(grouped(estimate * min(1.0, p.share * p.oversample)))
+    router = fit(stored, vector_col, s.shape(), s.k)
+    first = spark.sparkContext.broadcast(router.regrouped(router.rows, p.partition_rows))
+    second = spark.sparkContext.broadcast(router.regrouped(router.rows * min(1.0, p.share * p.oversample), p.partition_rows))
     handed = min(1.0, p.share * p.oversample)
     raw = stored.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("data")).where(F.col("id").isNotNull() & F.col("data").isNotNull())
     sent = raw.mapInArrow(lambda b: _send(b, first.value, s.dimension), "block long, id long, v binary")
@@ -114,7 +107,7 @@ def varied_subset(stored: DataFrame, p: Varied = Varied(), s: nn.Similar = nn.Si
         for batch in batches:
             if batch.num_rows:
                 x = nn._unpack(batch.column("v"), s.dimension)
-                home = nn.nearest(x, second.value.centres)
+                home = second.value.homes(x)
                 part = batch.column("id").to_numpy() % second.value.stored_parts[home]
                 yield pa.RecordBatch.from_arrays([pa.array((second.value.block[home].astype(np.int64) << 24) + part), batch.column("id"), batch.column("v")], names=["block", "id", "v"])
 
