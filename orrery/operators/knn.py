@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.kernels import matrix, top
+from orrery.functions.kernels import matrix, nearest, top
 from orrery.functions.vectors import l2_squared
 from orrery.session import ship
 
@@ -86,10 +86,38 @@ def probes(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFrame:
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``id_col``, ``centroid_id``, ``distance`` of the nearest centroid of each point, ties to the smaller."""
-    named = points.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("query"))
-    best = scored_pairs(named, centroids).groupBy("query_id").agg(F.min(F.struct("distance", "centroid_id")).alias("m"))
-    return best.select(F.col("query_id").alias(id_col), F.col("m.centroid_id").alias("centroid_id"), F.col("m.distance").alias("distance"))
+    """``id_col``, ``centroid_id``, ``distance`` of the nearest centroid of each point, ties to the smaller.
+
+    ``centroids`` are (``centroid_id``, ``centroid``). They are broadcast in blocks of BLOCK_QUERIES, and each block is compared with
+    the points where they are; only with several blocks is a row per point and block shuffled.
+    """
+    spark = points.sparkSession
+    ship(spark)
+    rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("v").isNotNull())
+    parts = None
+    blocks = max(1, -(-centroids.count() // BLOCK_QUERIES))
+    for b in range(blocks):
+        block = centroids.where(F.pmod(F.xxhash64("centroid_id"), F.lit(blocks)) == b).select(F.col("centroid_id").cast("long").alias("c"), F.col("centroid").cast("array<double>").alias("v")).orderBy("c").toArrow()
+        if not block.num_rows:
+            continue
+        ids = block["c"].to_numpy()
+        shared = spark.sparkContext.broadcast((ids, matrix(block["v"].combine_chunks(), len(block["v"][0]))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, c = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    x = matrix(batch.column("v"), c.shape[1])
+                    at = nearest(x, c)
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids[at]), pa.array(((x - c[at]) ** 2).sum(1))], names=["id", "centroid_id", "distance"])
+
+        found = rows.mapInArrow(run, "id long, centroid_id long, distance double")
+        parts = found if parts is None else parts.unionByName(found)
+    if parts is None:
+        parts = spark.createDataFrame([], "id long, centroid_id long, distance double")
+    if blocks > 1:
+        parts = parts.groupBy("id").agg(F.min(F.struct("distance", "centroid_id")).alias("m")).select("id", F.col("m.centroid_id").alias("centroid_id"), F.col("m.distance").alias("distance"))
+    return parts.withColumnRenamed("id", id_col)
 
 
 def centroid_means(labelled: DataFrame, vector_col: str = "embedding", label_col: str = "centroid_id") -> DataFrame:

@@ -28,14 +28,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return it without lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table beside the checkpoints and return it without lineage.
+
+    Unlike a checkpoint the table is columnar and compressed, and carries no constraints of the plan that made it, which in
+    iterative operators would grow from round to round.
+    """
+    folder = kept_folder(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    kept = df.sparkSession.read.schema(df.schema).parquet(folder)
+    kept._orrery_folder = folder
+    return kept
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that :func:`cut` wrote for ``df``; neither it nor what is derived from it may be used any more."""
+    if folder := getattr(df, "_orrery_folder", None):
+        _delete(df.sparkSession, folder)
 
 
 def kept_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, for tables that a plan writes and reads again."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints, for tables that a plan writes and reads again, one parent per application."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/orrery-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
