@@ -40,7 +40,7 @@ class Similar:
 
     k: neighbours per vector. limit: greatest squared distance, None for none. dimension: components of a
     valid vector. cell_rows: stored classes per cell aimed at, at any number of rows. spread: half a routing window
-    in units of the search radius; 0.3 is 2.4 standard deviations of the projection of a pair that far apart.
+    in units of the search radius, 1.3 standard deviations of the projection of a pair that far apart; either of a pair may come to the other.
     block_rows: stored classes that a block holds, as estimated from the sample. wave_cells: cells broadcast at once.
     """
 
@@ -48,7 +48,7 @@ class Similar:
     limit: float | None = 8.0
     dimension: int = 64
     cell_rows: int = 300
-    spread: float = 0.3
+    spread: float = 0.16
     block_rows: int = 8_192
     wave_cells: int = 500_000
     seed: int = 11
