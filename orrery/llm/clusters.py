@@ -4,10 +4,14 @@
    links that keep groups connected; vectors without any are in no cluster.
 2. The graph is coarsened once: every node joins its nearest neighbour's tree, and trees become nodes.
 3. Markov clustering on the coarse graph: the column-stochastic matrix is squared (a join on the inner index),
-   inflated, pruned and normalised again until nearly all columns have settled; a column's strongest row is its
+   inflated, pruned and normalised again until its columns have settled; a column's strongest row is its
    attractor, and attractors define the *flow clusters*.
-4. Flow clusters joined by a similarity are put together, by labels passed along the contracted links, so that a
-   cluster is a greatest set joined by similarity. Everything stays distributed; lineage is cut by checkpoints.
+4. Flow clusters become the nodes of a smaller graph, which is clustered by flow in the same way, until nothing links
+   two of them: then a cluster is a greatest set joined by similarity. Only flow puts nodes together, level by level.
+
+Everything stays distributed; lineage is cut by checkpoints, which are deleted as soon as the next is written.
+A row of the matrix that most columns hold (an attractor near the end) is a hot key of the squaring's join: columns that have
+settled no longer take part on that side, and what is left is split by AQE's skew join, as the other side has one row a key.
 """
 
 from __future__ import annotations
@@ -15,32 +19,30 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.vectors import is_valid_vector, l2_squared
 from orrery.llm import neighbours as nn
 from orrery.llm.cells import fit
-from orrery.session import cut, tidy
-
-
-#: Centroids up to which they are broadcast to be compared with clusters.
-MOST_CENTROIDS = 100_000
+from orrery.operators.knn import nearest_centroid
+from orrery.session import cut, release, tidy
 
 
 @dataclass(frozen=True)
 class Markov:
     """inflation: power of the entries. entries: entries a column keeps. least: share under which an entry is pruned.
-    rounds: most squarings, done in pairs. settled: a column has settled when its strongest entry holds this share; when all but
-    ``open_share`` of the columns have, squaring ends. decay: similarity exp(-decay * distance / limit) of an edge.
-    jumps: doublings of the nearest-neighbour pointers when trees are formed."""
+    settled: a column has settled when its strongest entry holds this share. patience: squaring ends when all columns have,
+    or when so many of them in turn found no further one. apart: by how much a hash of the row may raise
+    an entry at the start, as columns shared by equal attractors would stay open for ever. decay: similarity exp(-decay * distance / limit) of an edge. jumps: doublings of the nearest-neighbour
+    pointers when trees are formed."""
 
     inflation: float = 2.0
     entries: int = 6
     least: float = 0.01
-    rounds: int = 8
     settled: float = 0.95
-    open_share: float = 0.02
+    patience: int = 6
+    apart: float = 0.3
     decay: float = 4.0
     jumps: int = 2
 
@@ -99,47 +101,78 @@ def _columns(entries: DataFrame, m: Markov) -> DataFrame:
 
 
 def _squared(matrix: DataFrame, m: Markov) -> DataFrame:
-    """The columns of the matrix's square, inflated, pruned and normalised."""
-    left = matrix.select("j", F.explode("rows").alias("l")).select("j", F.col("l.i").alias("k"), F.col("l.v").alias("share"))
+    """The matrix's square, inflated, pruned and normalised; columns that have settled are kept as they are."""
+    done = F.col("rows")[0]["v"] >= m.settled
+    left = matrix.where(~done).select("j", F.explode("rows").alias("l")).select("j", F.col("l.i").alias("k"), F.col("l.v").alias("share"))
     right = matrix.select(F.col("j").alias("k"), F.col("rows"))
     product = left.join(right, "k").select("j", F.transform("rows", lambda r: F.struct(r["i"].alias("i"), (r["v"] * F.col("share")).alias("v"))).alias("part"))
-    entries = product.repartition("j").select("j", F.explode("part").alias("e")).groupBy("j", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
+    kept = matrix.where(done).select("j", F.transform("rows", lambda r: F.struct(r["i"].alias("i"), F.pow(r["v"], 1 / m.inflation).alias("v"))).alias("part"))
+    entries = product.unionByName(kept).repartition("j").select("j", F.explode("part").alias("e")).groupBy("j", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
     return _columns(entries.withColumn("v", F.pow("v", m.inflation)), m)
 
 
 def flow(edges: DataFrame, m: Markov) -> DataFrame:
-    """(``j``, ``attractor``, ``flow``) of every node of the graph by Markov clustering."""
+    """(``j``, ``attractor``, ``flow``) of every node of the graph (``a``, ``b``, ``w``), both ways, by Markov clustering.
+
+    No node with an edge stays alone: one that is its own attractor and nobody else's goes where its strongest
+    edge leads, of two such nodes to the larger. Of equally strong edges a hash decides, alike at both ends.
+    """
     loops = edges.groupBy("a").agg(F.max("w").alias("v")).select(F.col("a").alias("j"), F.col("a").alias("i"), "v")
-    matrix = cut(_columns(edges.select(F.col("a").alias("j"), F.col("b").alias("i"), F.col("w").alias("v")).unionByName(loops), m))
-    for _ in range(m.rounds // 2):
-        matrix = cut(_squared(_squared(matrix, m), m))  # two squarings to a checkpoint; the first's shuffle is reused
-        unsettled, columns = matrix.agg(F.sum((F.col("rows")[0]["v"] < m.settled).cast("long")), F.count("*")).first()
-        tidy(matrix.sparkSession)
-        if (unsettled or 0) <= m.open_share * columns:
+    entries = edges.select(F.col("a").alias("j"), F.col("b").alias("i"), F.col("w").alias("v")).unionByName(loops)
+    apart = 1 + m.apart * F.pmod(F.xxhash64("i"), F.lit(1 << 16)) / F.lit(float(1 << 16))
+    matrix = cut(_columns(entries.withColumn("v", F.col("v") * apart), m))
+    least, waited = None, 0
+    while waited < m.patience:
+        seen = Observation()
+        new = cut(_squared(matrix, m).observe(seen, F.count_if(F.col("rows")[0]["v"] < m.settled).alias("open")))
+        release(matrix)
+        matrix, open_ = new, seen.get["open"]
+        if not open_:
             break
-    return matrix.select("j", F.col("rows")[0]["i"].alias("attractor"), F.col("rows")[0]["v"].alias("flow"))
-
-
-def joined(links: DataFrame) -> DataFrame:
-    """(``v``, ``label``): the smallest of the nodes connected with each node of the links (``a``, ``b``), both ways."""
-    links = cut(links)
-    label = cut(links.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")))
+        waited = waited + 1 if least is not None and open_ >= least else 0
+        least = open_ if least is None else min(least, open_)
+    own = matrix.select("j", F.col("rows")[0]["i"].alias("attractor"), F.col("rows")[0]["v"].alias("flow"))
+    held = own.where("attractor != j").select(F.col("attractor").alias("j")).distinct().withColumn("held", F.lit(True))
+    own = cut(own.join(held, "j", "left").withColumn("alone", (F.col("attractor") == F.col("j")) & F.col("held").isNull()).drop("held"))
+    release(matrix)
+    pair = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
+    out = edges.join(own.where("alone").select(F.col("j").alias("a")), "a", "left_semi").groupBy("a").agg(F.max(F.struct("w", pair.alias("pair"), "b"))["b"].alias("to"))
+    there = own.select(F.col("j").alias("to"), F.col("attractor").alias("theirs"), F.col("alone").alias("both"))
+    moved = out.join(there, "to").select(F.col("a").alias("j"), F.when(F.col("both"), F.greatest("a", "to")).otherwise(F.col("theirs")).alias("moved"))
+    done = cut(own.join(moved, "j", "left").select("j", F.coalesce("moved", "attractor").alias("attractor"), "flow"))
+    release(own)
+    return done
+
+
+def contracted(edges: DataFrame, named: DataFrame) -> DataFrame:
+    """The edges (``a``, ``b``, ``w``) between the clusters that (``j``, ``attractor``) makes of the nodes."""
+    at = lambda end, name: named.select(F.col("j").alias(end), F.col("attractor").alias(name))
+    ends = edges.join(at("a", "x"), "a").join(at("b", "y"), "b").where(F.col("x") != F.col("y"))
+    return ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w"))
+
+
+def levels(edges: DataFrame, m: Markov) -> tuple[DataFrame, DataFrame]:
+    """The flow clusters (``j``, ``attractor``, ``flow``) of the graph, and (``j``, ``top``) after clustering these by
+    flow again until no edge is left between two. ``edges`` are deleted."""
+    first, top = None, None
     while True:
-        before = label.select("v", F.col("label").alias("before"))
-        new = cut(_heard(_heard(label, links), links).join(before, "v"))
-        moved = new.where(F.col("label") != F.col("before")).limit(1).count()
-        label = new.select("v", "label")
-        tidy(label.sparkSession)
-        if not moved:
-            return label
-
-
-def _heard(label: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after each node took the smallest of its neighbours', and then that node's own."""
-    heard = links.join(label.select(F.col("v").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-    low = label.join(heard.withColumnRenamed("a", "v"), "v").select("v", F.least("label", "other").alias("label"))
-    above = low.select(F.col("v").alias("label"), F.col("label").alias("above"))
-    return low.join(above, "label", "left").select("v", F.coalesce("above", "label").alias("label"))
+        found = flow(edges, m)
+        step = found.select(F.col("j").alias("top"), F.col("attractor").alias("above"))
+        if first is None:
+            first, top = found, found.select("j", F.col("attractor").alias("top"))
+        else:
+            new = cut(top.join(step, "top", "left").select("j", F.coalesce("above", "top").alias("top")))
+            release(top)
+            top = new
+        rest = cut(contracted(edges, found))
+        release(edges)
+        if found is not first:
+            release(found)
+        edges = rest
+        tidy(edges.sparkSession)
+        if edges.isEmpty():
+            release(edges)
+            return first, top
 
 
 def clustered(tables: list[tuple[DataFrame, str, str, int]], p: nn.Similar = nn.Similar(k=6), m: Markov = Markov()) -> tuple[DataFrame, DataFrame]:
@@ -154,17 +187,13 @@ def clustered(tables: list[tuple[DataFrame, str, str, int]], p: nn.Similar = nn.
     roots = trees(graph, m.jumps)
     edges = cut(coarse_edges(graph, roots, p, m))
     tidy(graph.sparkSession)
-    flows = cut(flow(edges, m))
+    flows, tops = levels(edges, m)
     up = flows.select(F.col("j").alias("attractor"), F.col("attractor").alias("second"))
-    flows = flows.join(up, "attractor", "left").select("j", F.coalesce("second", "attractor").alias("attractor"), "flow")
-    named = roots.join(flows.withColumnRenamed("j", "root"), "root", "left").select("node", "root", F.coalesce("attractor", "root").alias("attractor"), F.coalesce("flow", F.lit(1.0)).alias("flow"))
-    firsts = named.groupBy("attractor").agg(F.min("node").alias("first"))
-    named = cut(named.join(firsts, "attractor"))
-    by_root = named.select("root", "first").distinct()
-    ends = edges.select("a", "b").join(by_root.select(F.col("root").alias("a"), F.col("first").alias("x")), "a").join(by_root.select(F.col("root").alias("b"), F.col("first").alias("y")), "b")
-    labels = joined(ends.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    named = named.join(labels.withColumnRenamed("v", "first"), "first", "left").select("node", "root", "attractor", "flow", F.coalesce("label", "first").alias("label"))
-    return named, graph
+    flows = flows.join(up, "attractor", "left").select("j", F.coalesce("second", "attractor").alias("attractor"), "flow").join(tops, "j")
+    named = roots.join(flows.withColumnRenamed("j", "root"), "root", "left").select("node", "root", F.coalesce("attractor", "root").alias("attractor"), F.coalesce("flow", F.lit(1.0)).alias("flow"), F.coalesce("top", "root").alias("top"))
+    named = cut(named)
+    least = named.groupBy("top").agg(F.min("node").alias("label"))
+    return named.join(least, "top").select("node", "root", "attractor", "flow", "label"), graph
 
 
 def cluster_members(named: DataFrame, members: DataFrame, least: int = 3) -> DataFrame:
@@ -180,8 +209,7 @@ def described(named: DataFrame, members: DataFrame, stored: DataFrame, centroids
 
     ``size`` counts members, copies included. ``typical_ids`` are the members of strongest flow into their
     attractor, attractors and tree roots first, then smaller ids. ``centroid_id`` is the valid centroid nearest to
-    the most typical member, of equally near ones the smaller, null without any; their number is checked, as they
-    are broadcast.
+    the most typical member, of equally near ones the smaller, null without any.
     """
     own = named.where(F.col("node").bitwiseAND(F.lit(1).cast("long")) == bit)
     full = members.join(own, "node", "left").select("id", F.coalesce("label", "node").alias("label"), F.coalesce("flow", F.lit(1.0)).alias("flow"), (F.col("node") == F.coalesce("attractor", "node")).alias("attracts"), (F.col("node") == F.coalesce("root", "node")).alias("heads"))
@@ -193,7 +221,20 @@ def described(named: DataFrame, members: DataFrame, stored: DataFrame, centroids
     valid = stored.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(is_valid_vector(F.col("v"), p.dimension))
     heads = valid.join(found.select(F.col("typical_ids")[0].alias("id")), "id", "left_semi").groupBy("id").agg(F.first("v").alias("v"))
     fixed = centroids.select(F.col(centroid_id).cast("long").alias("centroid_id"), F.col(centroid_col).alias("c")).where(F.col("centroid_id").isNotNull() & is_valid_vector(F.col("c"), p.dimension)).groupBy("centroid_id").agg(F.first("c").alias("c"))
-    if fixed.limit(MOST_CENTROIDS + 1).count() > MOST_CENTROIDS:
-        raise ValueError(f"more than {MOST_CENTROIDS} centroids can't be broadcast")
-    near = heads.join(F.broadcast(fixed)).groupBy("id").agg(F.min(F.struct(l2_squared(F.col("v"), F.col("c")).alias("distance"), "centroid_id")).alias("m"))
+    near = nearest_centroid(heads, fixed.withColumnRenamed("c", "centroid"), "id", "v").select("id", F.struct("distance", "centroid_id").alias("m"))
     return found.withColumn("id", F.col("typical_ids")[0]).join(near, "id", "left").select("cluster_key", "size", "typical_ids", F.col("m.centroid_id").alias("centroid_id"), F.col("m.distance").alias("distance"))
+
+
+def flow_clusters(named: DataFrame, members: DataFrame, bit: int = 0, typical: int = 3) -> DataFrame:
+    """(``attractor_id``, ``cluster_key``, ``size``, ``typical_ids``) of every flow cluster of one table.
+
+    Markov clustering divides what similarity joins in long or loose chains, so a cluster (``cluster_key``, its
+    smallest id) may hold several. ``size`` counts members, copies included; ``typical_ids`` are those of
+    strongest flow, the attractor and roots of trees first. Vectors without a similar other are in none.
+    """
+    full = members.join(named.where(F.col("node").bitwiseAND(F.lit(1).cast("long")) == bit), "node")
+    order = Window.partitionBy("attractor").orderBy((F.col("node") == F.col("attractor")).desc(), (F.col("node") == F.col("root")).desc(), F.desc("flow"), "id")
+    best = full.withColumn("place", F.row_number().over(order)).where(F.col("place") <= typical)
+    lists = best.groupBy("attractor").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("best"))
+    sizes = full.groupBy("attractor").agg(F.count("*").alias("size"), F.min("label").alias("label"))
+    return sizes.join(lists, "attractor").select(F.shiftright("attractor", 1).alias("attractor_id"), F.shiftright("label", 1).alias("cluster_key"), "size", F.transform("best", lambda b: b["id"]).alias("typical_ids"))

@@ -22,6 +22,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.most_similar(_table(spark, sf_dir, "vectors"), _table(spark, sf_dir, "queries")))
 
 
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks and distances of the nearest stored vectors of every stored vector and request, as far as the limit."""
+    return neighbours.most_similar(_table(spark, sf_dir, "vectors"), _table(spark, sf_dir, "queries"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = neighbours.Similar(k=6)
     tables = [(_table(spark, sf_dir, "vectors"), "id", "data", 0), (_table(spark, sf_dir, "centroids"), "centroid_id", "vector", 1)]
@@ -38,6 +43,13 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.described(named, neighbours.members(stored, "id", "data", p), stored, _table(spark, sf_dir, "centroids"), p)
 
 
+def p3_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attractor, size and members of strongest flow of every flow cluster of stored vectors."""
+    p, stored = neighbours.Similar(k=6), _table(spark, sf_dir, "vectors")
+    named, _ = clusters.clustered([(stored, "id", "data", 0)], p)
+    return clusters.flow_clusters(named, neighbours.members(stored, "id", "data", p))
+
+
 def p4_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subset.varied_subset(_table(spark, sf_dir, "vectors"))
 
@@ -87,7 +99,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assessed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
 
 
-QUERIES = [p1_found, p3_found, p3_clusters, p4_subset, p5_found, p5_sample, p6_found, p6_containers, p6_packed, p7_found, p7_report, p7_mix, p8_found, p8_statistics]
+QUERIES = [p1_found, p1_nearest, p3_found, p3_clusters, p3_flows, p4_subset, p5_found, p5_sample, p6_found, p6_containers, p6_packed, p7_found, p7_report, p7_mix, p8_found, p8_statistics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
