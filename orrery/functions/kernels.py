@@ -36,9 +36,26 @@ def nearest(x: np.ndarray, c: np.ndarray, rows: int = 2_048) -> np.ndarray:
     return out
 
 
-def top(x: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the k nearest to one query by (distance, id), and their exact distances."""
-    d = ((x - query) ** 2).sum(1)
-    at = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-    at = at[np.lexsort((ids[at], d[at]))][:k]
-    return at, d[at]
+def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, exact distance) of the k nearest rows of x to each query by (distance, id), query by query.
+
+    Candidates come from one product per stretch of queries; all that rounding may have put behind the k-th are compared
+    again by differences.
+    """
+    parts = []
+    x2 = (x * x).sum(1)
+    for s in range(0, len(q), step := max(1, cells // max(1, len(x)))):
+        part = q[s : s + step]
+        d = (part * part).sum(1)[:, None] - 2 * (part @ x.T) + x2[None]
+        if len(x) > k:
+            slack = 1e-9 * ((part * part).sum(1) + x2.max() + 1)
+            qi, xi = np.nonzero(d <= (np.partition(d, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+        else:
+            qi, xi = (a.ravel() for a in np.indices(d.shape))
+        exact = ((part[qi] - x[xi]) ** 2).sum(1)
+        order = np.lexsort((ids[xi], exact, qi))
+        qi, xi, exact = qi[order], xi[order], exact[order]
+        starts = np.searchsorted(qi, np.arange(len(part)))
+        keep = np.arange(len(qi)) - starts[qi] < k
+        parts.append((qi[keep] + s, xi[keep], exact[keep]))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))

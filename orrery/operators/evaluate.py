@@ -43,11 +43,10 @@ def inertia(labelled: DataFrame, centroids: DataFrame, vector_col: str = "embedd
     return joined.agg(F.sum(l2_squared(F.col(vector_col), F.col("centroid"))).alias("inertia"))
 
 
-def assignment_violations(scored: DataFrame, assigned: DataFrame, slack: float = 1e-5) -> DataFrame:
-    """One row, ``violations``: rows with a centroid nearer, in distance, than theirs less ``slack``."""
-    own = assigned.select("query_id", F.col("centroid_id").alias("own"))
-    best = scored.join(own, "query_id").groupBy("query_id").agg(F.min("distance").alias("best"), F.min(F.when(F.col("centroid_id") == F.col("own"), F.col("distance"))).alias("mine"))
-    return best.agg(F.count_if(F.sqrt("best") < F.sqrt("mine") - slack).alias("violations"))
+def assignment_violations(best: DataFrame, mine: DataFrame, slack: float = 1e-5) -> DataFrame:
+    """One row, ``violations``: rows whose nearest centroid (``id``, ``distance``) is nearer, in distance, than their own
+    (``id``, ``mine``) less ``slack``."""
+    return best.join(mine, "id").agg(F.count_if(F.sqrt("distance") < F.sqrt("mine") - slack).alias("violations"))
 
 
 def structure_violations(index) -> DataFrame:

@@ -63,11 +63,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     system.delete(p, True)
 
 
-def fit(records: DataFrame, config: IndexConfig, seed: int = 42, k: int | None = None, now: int | None = None, sample_rows: int = kmeans.SEED_ROWS, ordinals: bool = True) -> IvfIndex:
+def fit(records: DataFrame, config: IndexConfig, seed: int = 42, k: int | None = None, now: int | None = None, sample_rows: int | None = None, ordinals: bool = True, hierarchy: bool | None = None) -> IvfIndex:
     """Build and write an index over (``external_id``, ``values``[, ``timestamp``]).
 
-    Cluster centres are fitted on the driver on a sample of at most about ``sample_rows`` rows, the same whatever the
-    layout of the data; every row is then assigned in one pass. Centres are clustered again into shards. Lists that
+    Cluster centres are fitted on the driver on a sample of about ``sample_rows`` rows (by default 50,000, or 32 per
+    centre where that is more), the same whatever the layout of the data; every row is then assigned in one pass, exactly
+    with ``hierarchy`` False, through super-centroids where there are over a hundred centres otherwise. Centres are clustered again into shards. Lists that
     got no row are dropped and the others renumbered from 0. The metadata is written last, as the commit.
 
     ``id`` is a row's 0-based position in the order of external ids; without ``ordinals``, which saves sorting the
@@ -80,19 +81,26 @@ def fit(records: DataFrame, config: IndexConfig, seed: int = 42, k: int | None =
         records = records.withColumn("timestamp", F.lit(None).cast("long"))
     stamped = with_timestamps(records, int(time.time()) if now is None else now)
     k = k or kmeans.suggest_nlist(n)
-    sample = kmeans.bounded_sample(records, sample_rows, n, seed=seed)
+    sample = kmeans.bounded_sample(records, sample_rows or max(kmeans.SEED_ROWS, kmeans.ROWS_PER_CENTROID * k), n, seed=seed)
     centres, _ = kmeans.mini_batch(sample, k, kmeans.suggest_iterations(n), seed=seed)
     shards_wanted = math.ceil(math.sqrt(k))
     _, shard_of = kmeans.mini_batch(centres, shards_wanted, 100, seed=seed * 31 + 7)
-    _delete(spark, f"{config.index_dir.rstrip('/')}/meta")
     typed = stamped.select(F.col("external_id").cast("long").alias("external_id"), "timestamp", F.col("values").cast("array<float>").alias("values"))
     typed = with_ordinals(typed) if ordinals else typed.withColumn("id", F.xxhash64("external_id", "values"))
-    assigned = kmeans.assign(typed.select("id", "external_id", "timestamp", "values"), centres, name="old")
+    assigned = kmeans.assign(typed.select("id", "external_id", "timestamp", "values"), centres, name="old", hierarchy=hierarchy)
+    return write(assigned, centres, shard_of, config, seed)
+
+
+def write(assigned: DataFrame, centres: np.ndarray, shard_of: np.ndarray, config: IndexConfig, seed: int = 42) -> IvfIndex:
+    """Write an index of rows (``id``, ``external_id``, ``timestamp``, ``values``, ``old``), old being the place of
+    their centre; ``shard_of`` has the shard of each centre. Lists without rows are dropped, the others renumbered."""
+    spark = assigned.sparkSession
+    _delete(spark, f"{config.index_dir.rstrip('/')}/meta")
     staged = f"{config.shards_dir.rstrip('/')}/_staged"
     assigned.write.mode("overwrite").parquet(staged)
     rows = spark.read.parquet(staged)
     sizes = {r["old"]: r["count"] for r in rows.groupBy("old").count().collect()}  # one row per centroid
-    kept = sorted(sizes)
+    kept, n = sorted(sizes), sum(sizes.values())
     number = {old: new for new, old in enumerate(kept)}
     table = spark.createDataFrame([(number[o], int(shard_of[o]), int(sizes[o]), [float(x) for x in centres[o]]) for o in kept], CENTROIDS)
     lookup = spark.createDataFrame([(int(o), number[o], int(shard_of[o])) for o in kept], "old int, centroid_id int, shard_id int")

@@ -15,8 +15,8 @@ from orrery.functions.kernels import distances, matrix, nearest
 from orrery.schema import InvalidInput
 from orrery.session import ship
 
-#: Rows that seeding looks at; larger data are sampled.
-SEED_ROWS = 50_000
+#: Rows that fitting and seeding look at, or so many per centroid where that is more; larger data are sampled.
+SEED_ROWS, ROWS_PER_CENTROID = 50_000, 32
 #: Centroids beyond which assignment goes through super-centroids.
 BRUTE_CENTROIDS = 100
 
@@ -48,14 +48,15 @@ def movement(old: np.ndarray, new: np.ndarray) -> float:
 
 
 def seed_centroids(x: np.ndarray, k: int, rng: np.random.Generator, weighting: str = "d2") -> np.ndarray:
-    """K-means++ seeds of at most SEED_ROWS rows: the first uniform, each next by its distance to the nearest so far.
+    """K-means++ seeds of a bounded sample of the rows: the first uniform, each next by its distance to the nearest so far.
 
     ``weighting`` "d2" draws in proportion to the squared distance, "d4" to its square. Where no distance is left, or
     k exceeds the rows, seeds are duplicates of drawn ones, so that k always come out.
     """
     if not len(x):
         raise InvalidInput("cannot cluster no vectors")
-    rows = x if len(x) <= SEED_ROWS else x[rng.choice(len(x), SEED_ROWS, replace=False)]
+    most = max(SEED_ROWS, ROWS_PER_CENTROID * k)
+    rows = x if len(x) <= most else x[rng.choice(len(x), most, replace=False)]
     chosen = [rows[rng.integers(len(rows))]]
     least = ((rows - chosen[0]) ** 2).sum(1)
     while len(chosen) < k:
@@ -66,10 +67,15 @@ def seed_centroids(x: np.ndarray, k: int, rng: np.random.Generator, weighting: s
             continue
         new = rows[rng.choice(len(rows), p=weight / total)]
         chosen.append(new)
-        least = np.minimum(least, ((rows - new) ** 2).sum(1))
+        least = nearer(least, rows, new)
     return np.array(chosen, dtype=np.float64)
 
 
+def nearer(least: np.ndarray, rows: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The squared distances to the nearest seed after one more."""
+    return np.minimum(least, ((rows - new) ** 2).sum(1))
+
+
 def means(x: np.ndarray, label: np.ndarray, k: int, fallback: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and size of each cluster; an empty cluster keeps its centroid."""
     n = np.bincount(label, minlength=k)
@@ -167,16 +173,17 @@ class Hierarchy:
         return label
 
 
-def assign(df: DataFrame, centroids: np.ndarray, vector_col: str = "values", name: str = "centroid_id", hierarchy: bool | None = None) -> DataFrame:
+def assign(df: DataFrame, centroids: np.ndarray, vector_col: str = "values", name: str = "centroid_id", hierarchy: bool | Hierarchy | None = None) -> DataFrame:
     """``df`` with the nearest centroid of each vector, in one pass without a shuffle.
 
     The centroids are broadcast: at most a few thousand, as many as were fitted on the driver. Beyond
-    BRUTE_CENTROIDS the assignment is hierarchical unless told otherwise.
+    BRUTE_CENTROIDS the assignment is hierarchical unless told otherwise (``hierarchy`` False for the exact one, or a
+    hierarchy of one's own).
     """
     spark = df.sparkSession
     ship(spark)
     c = np.ascontiguousarray(centroids, dtype=np.float64)
-    layered = Hierarchy.fit(c) if (len(c) > BRUTE_CENTROIDS if hierarchy is None else hierarchy) and len(c) > 3 else None
+    layered = hierarchy if isinstance(hierarchy, Hierarchy) else Hierarchy.fit(c) if (len(c) > BRUTE_CENTROIDS if hierarchy is None else hierarchy) and len(c) > 3 else None
     shared = spark.sparkContext.broadcast((c, layered))
     kept = [f for f in df.columns if f != name]
 
@@ -203,6 +210,12 @@ def bounded_sample(df: DataFrame, rows: int, total: int, id_col: str = "external
     return np.asarray(got.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(got), -1)
 
 
+def vectors(df: DataFrame, id_col: str = "external_id", vector_col: str = "values") -> np.ndarray:
+    """The vectors of a small frame, such as a mini-batch, in the order of their ids."""
+    got = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).orderBy("id").toArrow()["v"].combine_chunks()
+    return matrix(got, len(got[0])) if len(got) else np.zeros((0, 0))
+
+
 def lloyd_round(df: DataFrame, centroids: np.ndarray, vector_col: str = "values") -> tuple[np.ndarray, np.ndarray]:
     """Means and sizes of the clusters of all rows: one pass of per-task sums, added by centroid and component.
 

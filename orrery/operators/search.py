@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.kernels import best, matrix
 from orrery.functions.vectors import l2_squared
 from orrery.operators.index import IvfIndex, _exists
-from orrery.operators.knn import probes, ranked
+from orrery.operators.knn import block_count, probes, ranked, width
 from orrery.schema import InvalidInput, NotFound, SearchRequest, checked_query, dimension_violations
+from orrery.session import ship
 
-#: Probe rows up to which they are broadcast to the scan of the lists; beyond, the join shuffles on the list.
-BROADCAST_PROBES = 200_000
+#: Lists up to which their numbers are literals of the scan, so that row groups are skipped by them.
+LITERAL_LISTS = 2_000
 
 
 def search_lists(queries: DataFrame, centroids: DataFrame, postings: DataFrame, k: int, n_probe: int, include_vectors: bool = False, id_col: str = "external_id", vector_col: str = "values") -> DataFrame:
@@ -20,16 +25,54 @@ def search_lists(queries: DataFrame, centroids: DataFrame, postings: DataFrame,
 
     ``queries`` (query_id, query), ``centroids`` (centroid_id, shard_id, centroid), ``postings`` (shard_id,
     centroid_id, id, vector). Of equal distances the smaller id comes first.
+
+    Queries and their probes are collected in blocks of bounded bytes and broadcast to the lists, which stay where they
+    are: each Arrow batch is scored list by list, one product per list, and hands on k rows per query and list at most. So
+    a list with many rows or many probes is shared out like the scan itself. Only the probed shards' partitions are opened.
     """
-    probed = probes(queries, centroids, n_probe).select("query_id", "centroid_id").join(F.broadcast(centroids.select("centroid_id", "shard_id")), "centroid_id").join(queries.select("query_id", "query"), "query_id")
-    if queries.count() * n_probe <= BROADCAST_PROBES:
-        probed = F.broadcast(probed)
-    scored = postings.join(probed, ["shard_id", "centroid_id"])
-    columns = ["query_id", F.col(id_col).alias("external_id"), l2_squared(F.col(vector_col), F.col("query")).alias("distance")]
-    if include_vectors:
-        columns.append(F.col(vector_col).alias("vector"))
-    best = ranked(scored.select(*columns), k)
-    return best.select("query_id", "rank", "external_id", "distance", *(["vector"] if include_vectors else []))
+    spark = queries.sparkSession
+    ship(spark)
+    dimension = width(queries, "query")
+    blocks = block_count(queries.count(), dimension + n_probe)
+    shard_of = {r["centroid_id"]: r["shard_id"] for r in centroids.select("centroid_id", "shard_id").collect()}  # a row per list
+    parts = None
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        rows = block.select(F.col("query_id").cast("long").alias("i"), F.col("query").cast("array<double>").alias("q")).toArrow()
+        if not rows.num_rows:
+            continue
+        ids, q = rows["i"].to_numpy(), matrix(rows["q"].combine_chunks(), dimension)
+        probed = probes(block, centroids, n_probe).select("query_id", "centroid_id").toArrow()
+        order = np.argsort(ids, kind="stable")
+        asked = order[np.searchsorted(ids[order], probed["query_id"].to_numpy())]
+        lists = probed["centroid_id"].to_numpy()
+        by = np.argsort(lists, kind="stable")
+        numbers, starts = np.unique(lists[by], return_index=True)
+        per_list = dict(zip(numbers.tolist(), np.split(asked[by], starts[1:])))
+        shared = spark.sparkContext.broadcast((ids, q, per_list))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, per_list = shared.value
+            for batch in batches:
+                own, lists = batch.column("id").to_numpy(), batch.column("list").to_numpy()
+                for number in np.unique(lists).tolist():
+                    if number in per_list:
+                        at, asks = np.flatnonzero(lists == number), per_list[number]
+                        part = batch.column("v").take(pa.array(at))
+                        qi, xi, d = best(matrix(part, q.shape[1]), own[at], q[asks], k)
+                        out = [pa.array(ids[asks[qi]]), pa.array(own[at][xi]), pa.array(d)]
+                        yield pa.RecordBatch.from_arrays([*out, *([part.take(pa.array(xi))] if include_vectors else [])], names=names)
+
+        names = ["query_id", "external_id", "distance", *(["vector"] if include_vectors else [])]
+        scanned = postings.where(F.col("shard_id").isin(sorted({int(shard_of[c]) for c in per_list})))
+        if len(per_list) <= LITERAL_LISTS:
+            scanned = scanned.where(F.col("centroid_id").isin(sorted(per_list)))
+        slim = scanned.select(F.col(id_col).cast("long").alias("id"), F.col("centroid_id").cast("long").alias("list"), F.col(vector_col).cast("array<float>").alias("v"))
+        found = slim.mapInArrow(run, "query_id long, external_id long, distance double" + (", vector array<float>" if include_vectors else ""))
+        parts = found if parts is None else parts.unionByName(found)
+    if parts is None:
+        parts = spark.createDataFrame([], "query_id long, external_id long, distance double, vector array<float>")
+    return ranked(parts, k).select("query_id", "rank", "external_id", "distance", *(["vector"] if include_vectors else []))
 
 
 def search(index: IvfIndex, queries: DataFrame, k: int | None = None, n_probe: int | None = None, include_vectors: bool = False, on_missing_shard: str = "error") -> DataFrame:

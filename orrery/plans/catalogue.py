@@ -15,7 +15,7 @@ from orrery.functions.vectors import l2_squared
 from orrery.operators import evaluate, index, kmeans, knn, search
 from orrery.plans import deterministic as det
 from orrery.schema import IndexConfig, dimension_violations, with_timestamps
-from orrery.session import ensure_checkpoint_dir, ship
+from orrery.session import kept_folder, ship
 
 #: Queries by id prefix, as in the SQL; EVERY is the whole query set, every row whose id it divides.
 Q, K, EVERY = 20, 10, 50
@@ -40,9 +40,8 @@ def _exact(e: DataFrame, n: int | None = Q, k: int = K) -> DataFrame:
     return knn.exact_batch(e, _queries(e, n), k, "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
 
 
-def _found(spark: SparkSession, sf_dir: str, n_probe: int, k: int = K, include: bool = False, built: det.Built | None = None, n: int | None = Q) -> DataFrame:
-    built = built or det.build(spark, sf_dir)
-    found = search.search_lists(_queries(_e(spark, sf_dir), n), built.centroids, built.postings, k, n_probe, include, "vec_id", "embedding")
+def _found(spark: SparkSession, sf_dir: str, n_probe: int, k: int = K, include: bool = False, n: int | None = Q) -> DataFrame:
+    found = search.search(det.written(spark, sf_dir), _queries(_e(spark, sf_dir), n), k, n_probe, include)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -91,20 +90,34 @@ def lloyd_fixed_iters(spark, d):
 
 
 def minibatch_update_step(spark, d):
+    """One update of a mini-batch state whose centroids have had HITS batches each, with every BATCH_OF-th row as the batch."""
     e = _e(spark, d)
     ids, c = det.seeds(e)
-    mean, n = kmeans.lloyd_round(e.where(F.col("vec_id") % BATCH_OF == BATCH_AT), c, "embedding")
-    eta = 1 / (HITS + 1)
-    new = np.where((n > 0)[:, None], (1 - eta) * c + eta * mean, c)
-    long = det.centroid_frame(spark, ids, new).select("centroid_id", F.posexplode("centroid").alias("pos", "value"))
+    batch = kmeans.vectors(e.where(F.col("vec_id") % BATCH_OF == BATCH_AT), "vec_id", "embedding")
+    state = kmeans.MiniBatch(c, np.full(len(c), HITS, dtype=np.int64))
+    state.update(batch)
+    long = det.centroid_frame(spark, ids, state.centroids).select("centroid_id", F.posexplode("centroid").alias("pos", "value"))
     return long.select("centroid_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
 def kmeanspp_weights(spark, d):
+    """What seeding draws by after five seeds: of all rows, each task's by the seeding's own update."""
     e = _e(spark, d)
-    firsts = e.where("vec_id < 5").select(F.col("vec_id").alias("centroid_id"), F.col("embedding").alias("centroid"))
-    best = knn.nearest_centroid(e, firsts)
-    return best.select("vec_id", F.round("distance", 6).alias("least"), F.round(F.col("distance") * F.col("distance"), 6).alias("weight"))
+    firsts = np.array([r["embedding"] for r in e.where("vec_id < 5").orderBy("vec_id").collect()], dtype=np.float64)
+    ship(spark)
+    shared = spark.sparkContext.broadcast(firsts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("embedding"), shared.value.shape[1])
+                least = np.full(len(x), np.inf)
+                for seed in shared.value:
+                    least = kmeans.nearer(least, x, seed)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(least)], names=["vec_id", "least"])
+
+    least = e.mapInArrow(run, "vec_id long, least double")
+    return least.select("vec_id", F.round("least", 6).alias("least"), F.round(F.col("least") * F.col("least"), 6).alias("weight"))
 
 
 def centroid_delta_rms(spark, d):
@@ -122,7 +135,7 @@ def inertia(spark, d):
 
 
 def cluster_sizes(spark, d):
-    return det.build(spark, d).postings.groupBy("centroid_id").agg(F.count("*").alias("n_vectors"))
+    return det.written(spark, d).postings.groupBy(F.col("centroid_id").cast("long").alias("centroid_id")).agg(F.count("*").alias("n_vectors"))
 
 
 def nonempty_renumber(spark, d):
@@ -132,7 +145,7 @@ def nonempty_renumber(spark, d):
 
 
 def super_cluster_shards(spark, d):
-    return det.build(spark, d).centroids.select("centroid_id", "shard_id")
+    return det.written(spark, d).centroids.select(F.col("centroid_id").cast("long").alias("centroid_id"), F.col("shard_id").cast("long").alias("shard_id"))
 
 
 def _hierarchy(spark, d) -> tuple[DataFrame, kmeans.Hierarchy]:
@@ -144,27 +157,23 @@ def _hierarchy(spark, d) -> tuple[DataFrame, kmeans.Hierarchy]:
 
 def hierarchical_assign(spark, d):
     e, h = _hierarchy(spark, d)
-    ship(spark)
-    shared = spark.sparkContext.broadcast(h)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column("embedding"), shared.value.centroids.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(shared.value.assign(x))], names=["vec_id", "centroid_id"])
-
-    return e.mapInArrow(run, "vec_id long, centroid_id long")
+    return kmeans.assign(e, h.centroids, "embedding", hierarchy=h).select("vec_id", F.col("centroid_id").cast("long").alias("centroid_id"))
 
 
 def probe_selection(spark, d, n=Q):
-    b = det.build(spark, d)
+    b = det.written(spark, d)
     chosen = knn.probes(_queries(_e(spark, d), n), b.centroids, 4).join(F.broadcast(b.centroids.select("centroid_id", "shard_id")), "centroid_id")
-    return chosen.select("query_id", F.col("rank").cast("long").alias("rank"), "centroid_id", "shard_id")
+    return chosen.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("centroid_id").cast("long").alias("centroid_id"), F.col("shard_id").cast("long").alias("shard_id"))
 
 
 def posting_scan_selective(spark, d):
-    b = det.build(spark, d)
-    return b.postings.where(F.col("centroid_id").isin(1, 3, 6)).select("centroid_id", "shard_id", "vec_id")
+    """Three lists of the written index, from the shards that hold them."""
+    built, parts = det.written(spark, d), None
+    places = built.centroids.where(F.col("centroid_id").isin(1, 3, 6)).groupBy("shard_id").agg(F.sort_array(F.collect_list("centroid_id")).alias("lists")).collect()  # three rows at most
+    for r in places:
+        part = built.posting_scan(r["shard_id"], r["lists"])
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.select(F.col("centroid_id").cast("long").alias("centroid_id"), F.col("shard_id").cast("long").alias("shard_id"), F.col("external_id").alias("vec_id"))
 
 
 def ivf_search_nprobe_1(spark, d, n=Q):
@@ -197,10 +206,10 @@ def search_padded(spark, d, n=Q):
 
 
 def recall_at_k_by_nprobe(spark, d, n=Q):
-    b, truth = det.build(spark, d), _exact(_e(spark, d), n)
+    truth = _exact(_e(spark, d), n)
     parts = None
     for n_probe in (1, 4, 8):
-        part = evaluate.recall(truth, _found(spark, d, n_probe, built=b, n=n)).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(n_probe).cast("long").alias("n_probe"), "recall")
+        part = evaluate.recall(truth, _found(spark, d, n_probe, n=n)).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(n_probe).cast("long").alias("n_probe"), "recall")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
@@ -217,14 +226,24 @@ def intersection_measure(spark, d, n=Q):
 
 
 def optimal_assignment_violations(spark, d):
-    b = det.build(spark, d)
-    scored = knn.scored_pairs(b.postings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), b.centroids)
-    return evaluate.assignment_violations(scored, b.postings.select(F.col("vec_id").alias("query_id"), "centroid_id"))
+    b = det.written(spark, d)
+    best = knn.nearest_centroid(b.postings, b.centroids, "external_id", "values").select(F.col("external_id").alias("id"), "distance")
+    own = b.postings.join(F.broadcast(b.centroids.select("centroid_id", "centroid")), "centroid_id").select(F.col("external_id").alias("id"), l2_squared(F.col("values"), F.col("centroid")).alias("mine"))
+    return evaluate.assignment_violations(best, own)
 
 
 def shard_balance(spark, d):
-    b = det.build(spark, d)
-    return b.postings.groupBy("shard_id").agg(F.count("*").alias("n_vectors"), F.count_distinct("centroid_id").alias("n_centroids"))
+    return det.written(spark, d).postings.groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(F.count("*").alias("n_vectors"), F.count_distinct("centroid_id").alias("n_centroids"))
+
+
+def ivf_structure_violations(spark, d):
+    """What is wrong with an index built with real seeding: nothing, but for its number of rows."""
+    return evaluate.structure_violations(_built(spark, d))
+
+
+def ivf_build_all_probes(spark, d):
+    """An index built with real seeding, written, loaded and asked in all its lists."""
+    return _named(search.search(_built(spark, d), _queries(_e(spark, d), None), K, 10_000).withColumn("rank", F.col("rank").cast("long")))
 
 
 def bad_dimensions(spark, d):
@@ -260,12 +279,15 @@ def _enough_probes(built: index.IvfIndex, e: DataFrame) -> int:
     return ranks[int(np.ceil(ENOUGH * len(ranks))) - 1] if ranks else 1
 
 
+def _built(spark: SparkSession, d: str) -> index.IvfIndex:
+    root = kept_folder(spark, "index")
+    rows = _e(spark, d).select(F.col("vec_id").alias("external_id"), F.col("embedding").alias("values"))
+    return index.fit(rows, IndexConfig(64, f"{root}/index", f"{root}/shards"), now=NOW)
+
+
 def ivf_build_minibatch(spark, d):
     """Build, write, load and search an index with real seeding."""
-    e = _e(spark, d)
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{abs(hash((d, spark.sparkContext.applicationId))):x}"
-    config = IndexConfig(64, f"{root}/index", f"{root}/shards")
-    built = index.fit(e.select(F.col("vec_id").alias("external_id"), F.col("embedding").alias("values")), config, now=NOW)
+    e, built = _e(spark, d), _built(spark, d)
     return search.search(built, _queries(e, None), K, _enough_probes(built, e))
 
 
@@ -274,7 +296,7 @@ LISTED = [
     kmeanspp_weights, centroid_delta_rms, inertia, cluster_sizes, nonempty_renumber, super_cluster_shards, hierarchical_assign, probe_selection,
     posting_scan_selective, ivf_search_nprobe_1, ivf_search_nprobe_4, ivf_search_nprobe_8, ivf_search_all_probes_equals_exact,
     search_include_vectors, search_padded, recall_at_k_by_nprobe, one_nn_recall, intersection_measure, optimal_assignment_violations,
-    shard_balance, timestamp_default, suggest_nlist_table, max_iters_table, ivf_build_minibatch,
+    shard_balance, timestamp_default, suggest_nlist_table, max_iters_table, ivf_build_minibatch, ivf_build_all_probes, ivf_structure_violations,
 ]
 
 #: Queries that are also registered over the whole query set, without SQL, as ..._every_50th.
@@ -331,6 +353,9 @@ def oracle_sql() -> dict[str, str]:
         "posting_scan_selective": f"{chain} SELECT centroid_id, shard_id, vec_id FROM posting WHERE centroid_id IN (1, 3, 6)",
         **{f"ivf_search_nprobe_{n}": f"{chain}{det.search_sql(Q, str(n), K)} {listed}" for n in (1, 4, 8)},
         "ivf_search_all_probes_equals_exact": f"WITH e AS (SELECT * FROM embeddings){det.exact_sql(Q, K)} SELECT query_id, rank, external_id, round(distance, 6) AS distance FROM truth",
+        "ivf_build_all_probes": f"""SELECT query_id, rank, external_id, round(d, 6) AS distance FROM (SELECT query_id, external_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, external_id) AS rank
+            FROM (SELECT q.vec_id AS query_id, x.vec_id AS external_id, {det.distance_sql('q.embedding', 'x.embedding')} AS d FROM embeddings q, embeddings x WHERE q.vec_id % {EVERY} = 0)) WHERE rank <= {K}""",
+        "ivf_structure_violations": "SELECT 0::BIGINT AS dimensions, 0::BIGINT AS shards, count(*) AS rows, 0::BIGINT AS sizes FROM embeddings",
         "search_include_vectors": f"{chain}{det.search_sql(Q, '4', 3)} SELECT query_id, rank, generate_subscripts(embedding, 1) - 1 AS pos, round(unnest(embedding)::DOUBLE, 6) AS value FROM found",
         "search_padded": f"""{chain}{det.search_sql(Q, '1', 60)}, places AS (SELECT vec_id AS query_id, unnest(range(1, 61)) AS rank FROM e WHERE vec_id < {Q})
             SELECT query_id, rank, coalesce(external_id, -1) AS external_id, round(coalesce(distance, -1), 6) AS distance_or_minus_1 FROM places LEFT JOIN found USING (query_id, rank)""",

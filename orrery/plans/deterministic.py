@@ -13,7 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import kmeans
+from orrery.operators import index, kmeans
+from orrery.schema import IndexConfig
+from orrery.session import kept_folder
 
 ROUNDS = 3
 
@@ -61,23 +63,47 @@ class Built:
     shard: np.ndarray
 
 
+def shards(c: np.ndarray) -> np.ndarray:
+    """The shard of each centroid: the nearest of as many super-centroids as the root of their number."""
+    s = c[: math.ceil(math.sqrt(len(c)))]
+    for _ in range(ROUNDS):
+        mean, m = kmeans.means(c, kmeans.nearest(c, s), len(s), s)
+        s = mean[m > 0]
+    return kmeans.nearest(c, s)
+
+
 def build(spark: SparkSession, sf_dir: str) -> Built:
     e = embeddings(spark, sf_dir)
     ids, c = lloyd(e)
     _, n = kmeans.lloyd_round(e, c, "embedding")
     old, c, sizes = ids[n > 0], c[n > 0], n[n > 0]
-    s = c[: math.ceil(math.sqrt(len(c)))]
-    for _ in range(ROUNDS):
-        mean, m = kmeans.means(c, kmeans.nearest(c, s), len(s), s)
-        s = mean[m > 0]
-    shard = kmeans.nearest(c, s)
+    shard = shards(c)
     number = np.arange(len(c))
     centroids = centroid_frame(spark, number, c, shard)
-    shards = F.array(*[F.lit(int(x)) for x in shard])
-    postings = assigned(e, number, c).withColumn("shard_id", F.element_at(shards, (F.col("centroid_id") + 1).cast("int")).cast("long"))
+    own = F.array(*[F.lit(int(x)) for x in shard])
+    postings = assigned(e, number, c).withColumn("shard_id", F.element_at(own, (F.col("centroid_id") + 1).cast("int")).cast("long"))
     return Built(centroids, postings, old, sizes, shard)
 
 
+_written: dict[tuple[str, str], index.IvfIndex] = {}
+
+
+def written(spark: SparkSession, sf_dir: str) -> index.IvfIndex:
+    """The same as an index on disk, written once per application: search opens only the shards it needs."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        e = embeddings(spark, sf_dir)
+        ids, c = lloyd(e)
+        placed = kmeans.assign(e, c, "embedding", "old", hierarchy=False)
+        rows = placed.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("external_id"), F.lit(0).cast("long").alias("timestamp"), F.col("embedding").alias("values"), "old")
+        shard = np.zeros(len(c), dtype=int)
+        used = np.array(sorted(r["old"] for r in placed.select("old").distinct().collect()), dtype=int)
+        shard[used] = shards(c[used])
+        root = kept_folder(spark, "index")
+        _written[key] = index.write(rows, c, shard, IndexConfig(c.shape[1], f"{root}/index", f"{root}/shards"))
+    return _written[key]
+
+
 # ---- the same as SQL
 
 
@@ -125,7 +151,7 @@ def chain_sql(rounds: int = ROUNDS, full: bool = True) -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def search_sql(nq: int, n_probe: str, k: int, name: str = "found") -> str:
+def search_sql(nq: int | str, n_probe: str, k: int, name: str = "found") -> str:
     """Expressions probe and ``name`` (query_id, rank, external_id, distance) after the chain."""
     return f""", probe_{name} AS MATERIALIZED (
       SELECT query_id, centroid_id, rank FROM (
