@@ -1,6 +1,6 @@
 """A coarse quantizer of two levels: regions, and cells of a few hundred rows within each, at any number of rows.
 
-Region centres are fitted on the driver on a sample that grows with the root of the number of cells; the cells of a
+Region centres are fitted on the driver on a sample of some rows per region of two thousand cells; the cells of a
 region are fitted by one task on the region's part of a hash sample, so that nothing but centres comes back. A vector
 belongs to the nearest cell of its nearest region. Its *window* of half width w reaches a centre when the border
 between that centre's and its own cell is within w; the same rule holds between regions and between the cells of a
@@ -80,14 +80,18 @@ def _compared(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 @dataclass(frozen=True)
 class Shape:
     """dimension: components of a valid vector. cell_rows: rows per cell aimed at. cell_sample, region_sample: sampled rows that
-    a cell's or region's centre is fitted on. block_rows: rows of neighbouring cells that a block holds, as estimated from
-    the sample. wave_cells: cells broadcast at once; more are gone through in waves of regions."""
+    a cell's or region's centre is fitted on. region_cells: cells of a region aimed at. block_rows: most rows of neighbouring
+    cells that a block holds, as estimated from the sample; least_block: rows it holds though there are fewer than ``blocks``
+    of them. wave_cells: cells broadcast at once; more are gone through in waves of regions."""
 
     dimension: int = 64
     cell_rows: int = 300
     cell_sample: int = 16
     region_sample: int = 32
-    block_rows: int = 8_192
+    region_cells: int = 2_048
+    block_rows: int = 65_536
+    least_block: int = 4_096
+    blocks: int = 32
     wave_cells: int = 500_000
     seed: int = 11
 
@@ -230,8 +234,9 @@ def fit(stored: DataFrame, vector_col: str, s: Shape, k: int, asked: DataFrame |
     spark = stored.sparkSession
     ship(spark)
     total = stored.count()
+    s = replace(s, block_rows=min(s.block_rows, max(s.least_block, total // s.blocks)))
     cells = max(1, total // s.cell_rows)
-    regions = math.ceil(math.sqrt(cells))
+    regions = max(1, math.ceil(cells / s.region_cells))
     v = F.col(vector_col).cast("array<float>")
     h = F.xxhash64(F.lit(s.seed), v)
     got = _sampled(stored, v, h, s.region_sample * regions / max(total, 1), s.dimension, 1).dropDuplicates(["h"]).orderBy("h").limit(2 * s.region_sample * regions).toArrow()
@@ -279,7 +284,7 @@ def fit(stored: DataFrame, vector_col: str, s: Shape, k: int, asked: DataFrame |
     starts = np.r_[0, np.cumsum(counts)]
     block = numbered(regional, starts, rows, parts[4], s.block_rows)
     alone = np.bincount(block)[block] == 1
-    split = lambda n: np.where(alone, np.maximum(1, np.ceil(n / (2 * s.block_rows))), 1).astype(int)
+    split = lambda n: np.where(alone, np.maximum(1, np.ceil(n / s.block_rows)), 1).astype(int)
     return Cells(regional, _holds(x, regional, nearest(x, regional), min(1.0, s.region_sample * regions / total), k), starts, c, np.concatenate(parts[1]), rows, further, block, split(rows), split(1.5 * rows + further))
 
 

@@ -40,22 +40,24 @@ class Similar:
 
     k: neighbours per vector. limit: greatest squared distance, None for none. dimension: components of a
     valid vector. cell_rows: stored classes per cell aimed at, at any number of rows. spread: half a routing window
-    in units of the search radius, 1.3 standard deviations of the projection of a pair that far apart; either of a pair may come to the other.
-    block_rows: stored classes that a block holds, as estimated from the sample. wave_cells: cells broadcast at once.
+    in units of the search radius, 1.1 standard deviations of the projection of a pair that far apart; either of a pair may come to the other.
+    block_rows: most stored classes that a block holds, as estimated from the sample; fewer on small tables, so that all
+    cores have work. region_cells: cells of a region aimed at. wave_cells: cells broadcast at once.
     """
 
     k: int = 10
     limit: float | None = 8.0
     dimension: int = 64
     cell_rows: int = 300
-    spread: float = 0.16
-    block_rows: int = 8_192
+    spread: float = 0.14
+    block_rows: int = 65_536
+    region_cells: int = 2_048
     wave_cells: int = 500_000
     seed: int = 11
     collisions: cc.Collisions = field(default_factory=cc.Collisions)
 
     def shape(self) -> Shape:
-        return Shape(dimension=self.dimension, cell_rows=self.cell_rows, block_rows=self.block_rows, wave_cells=self.wave_cells, seed=self.seed)
+        return Shape(dimension=self.dimension, cell_rows=self.cell_rows, block_rows=self.block_rows, least_block=min(4_096, self.block_rows), region_cells=self.region_cells, wave_cells=self.wave_cells, seed=self.seed)
 
 
 def node_of(id_: F.Column, bit: int) -> F.Column:
