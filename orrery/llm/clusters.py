@@ -38,9 +38,9 @@ class Markov:
     pointers when trees are formed."""
 
     inflation: float = 2.0
-    entries: int = 6
+    entries: int = 4
     least: float = 0.01
-    settled: float = 0.95
+    settled: float = 0.9
     patience: int = 6
     apart: float = 0.3
     decay: float = 4.0
@@ -101,12 +101,12 @@ def _columns(entries: DataFrame, m: Markov) -> DataFrame:
 
 
 def _squared(matrix: DataFrame, m: Markov) -> DataFrame:
-    """The matrix's square, inflated, pruned and normalised; columns that have settled are kept as they are."""
+    """The matrix's square, inflated, pruned and normalised; columns that have settled keep their strongest row alone."""
     done = F.col("rows")[0]["v"] >= m.settled
     left = matrix.where(~done).select("j", F.explode("rows").alias("l")).select("j", F.col("l.i").alias("k"), F.col("l.v").alias("share"))
     right = matrix.select(F.col("j").alias("k"), F.col("rows"))
     product = left.join(right, "k").select("j", F.transform("rows", lambda r: F.struct(r["i"].alias("i"), (r["v"] * F.col("share")).alias("v"))).alias("part"))
-    kept = matrix.where(done).select("j", F.transform("rows", lambda r: F.struct(r["i"].alias("i"), F.pow(r["v"], 1 / m.inflation).alias("v"))).alias("part"))
+    kept = matrix.where(done).select("j", F.array(F.struct(F.col("rows")[0]["i"].alias("i"), F.lit(1.0).alias("v"))).alias("part"))
     entries = product.unionByName(kept).repartition("j").select("j", F.explode("part").alias("e")).groupBy("j", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
     return _columns(entries.withColumn("v", F.pow("v", m.inflation)), m)
 
