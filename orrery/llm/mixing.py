@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.tokens import Tokenizer, counted
 from orrery.session import cut
 
-#: Hash bins that the documents of one source and length are spread over.
-BINS = 64
+
+@dataclass(frozen=True)
+class Mixing:
+    """size: tokens aimed at, as a share of those of all documents of the target sources; None for as many as leave every
+    source that has any tokens its share. least: the share that the mix has at least if ``size`` is None, should one source be tiny.
+    offsets: random offsets of a source tried, of which the one that comes nearest to its goal is taken. bin_rows:
+    documents of one source and length that are ranked in a task."""
+
+    size: float | None = None
+    least: float = 0.1
+    offsets: int = 32
+    bin_rows: int = 200_000
+    salt: int = 5
 
 
 def source_key(source: Column) -> Column:
@@ -26,42 +39,55 @@ def goals(targets: DataFrame) -> DataFrame:
     return rows.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
 
 
-def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def plan(sized: DataFrame, targets: DataFrame, m: Mixing = Mixing()) -> DataFrame:
     """Per target source its tokens, what it shall give, its copies per document, and whether it must fall short.
 
-    The mix aims at as many tokens as the documents of the target sources have, each counted once. A source that
-    has fewer than its share of them even with every document used ``max_repeats`` times falls short and gives all; the mix is smaller by what it lacks.
+    A source falls short that has fewer tokens than its share of those of all documents, each counted once, even
+    with every document used ``max_repeats`` times. Where the mix had that size the others would make up for
+    it; so it is cut back to the size at which the scarcest source that has any just reaches its share.
     """
     wanted = goals(targets)
     have = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     both = wanted.join(have, "source", "left").na.fill(0, ["tokens", "documents"])
-    total = both.agg(F.sum("tokens").alias("total"))  # one row
-    both = both.crossJoin(F.broadcast(total))
-    asked, most = F.col("target_share") * F.col("total"), F.col("max_repeats") * F.col("tokens")
+    most = (F.col("max_repeats") * F.col("tokens")).cast("double")
+    reached = F.min(F.when((most > 0) & (F.col("target_share") > 0), most / F.col("target_share")))
+    size = F.lit(m.size) * F.sum("tokens") if m.size is not None else F.greatest(F.lit(m.least) * F.sum("tokens"), F.least(F.sum("tokens").cast("double"), reached))
+    total = both.agg(F.sum("tokens").alias("total"), F.coalesce(size.cast("double"), F.lit(0.0)).alias("size"))  # one row
+    both = both.crossJoin(F.broadcast(total)).withColumn("given", F.least(F.col("target_share") * F.col("size"), most))
     return both.select(
-        "source", "target_share", "max_repeats", "tokens", "documents", F.round(asked).cast("long").alias("goal_tokens"), (most < asked).alias("falls_short"),
-        F.when(F.col("tokens") > 0, F.least(asked, most.cast("double")) / F.col("tokens")).otherwise(0.0).alias("copies"),
+        "source", "target_share", "max_repeats", "tokens", "documents", F.round("given").cast("long").alias("goal_tokens"), (most < F.col("target_share") * F.col("total")).alias("falls_short"),
+        F.when(F.col("tokens") > 0, F.col("given") / F.col("tokens")).otherwise(0.0).alias("copies"),
     )
 
 
-def emitted(sized: DataFrame, planned: DataFrame, salt: int) -> DataFrame:
+def emitted(sized: DataFrame, planned: DataFrame, m: Mixing) -> DataFrame:
     """(``doc_id``, ``source``, ``tokens``, ``copies``) of the documents used at least once.
 
     Within a source documents stand in order of length, then of hash. With expected copies e each, the prefix sum
     at the i-th is i * e; with one random offset u for the source, floor(i * e + u) - floor((i - 1) * e + u)
-    copies are emitted. Ordering by length lets every length have its share, so that tokens follow closely too.
+    copies are emitted. Ordering by length lets every length have its share, so that tokens follow closely; what
+    single long documents leave over is halved again and again by choosing among several offsets.
 
-    Prefixes are taken over counts of (source, length, hash bin); only rows of one such bin are ranked in a task.
+    Prefixes are taken over counts of (source, length), then over hash bins within one, as many as its documents need;
+    only rows of one bin are ranked in a task.
     """
-    keyed = sized.withColumn("hash", F.xxhash64(F.lit(salt), "doc_id")).withColumn("bin", F.pmod("hash", F.lit(BINS)))
+    lengths = sized.groupBy("source", "tokens").agg(F.count("*").alias("n"))
+    shorter = Window.partitionBy("source").orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = lengths.select("source", "tokens", F.ceil(F.col("n") / m.bin_rows).alias("bins"), F.coalesce(F.sum("n").over(shorter), F.lit(0)).alias("shorter"))
+    goal = planned.where("copies > 0").select("source", F.col("copies").alias("each"), "goal_tokens")
+    keyed = sized.withColumn("hash", F.xxhash64(F.lit(m.salt), "doc_id")).join(lengths.join(goal, "source"), ["source", "tokens"]).withColumn("bin", F.pmod("hash", F.col("bins")))
     bins = keyed.groupBy("source", "tokens", "bin").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("tokens", "bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source", "tokens").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("source", "tokens", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    bins = bins.join(planned.where("copies > 0").select("source", F.col("copies").alias("each")), "source")
-    placed = keyed.join(bins, ["source", "tokens", "bin"])
-    i = F.col("before") + F.row_number().over(Window.partitionBy("source", "tokens", "bin").orderBy("hash", "doc_id"))
-    offset = F.pmod(F.xxhash64(F.lit(salt), "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    crossed = placed.withColumn("i", i).withColumn("copies", (F.floor(F.col("i") * F.col("each") + offset) - F.floor((F.col("i") - 1) * F.col("each") + offset)).cast("long"))
+    place = F.row_number().over(Window.partitionBy("source", "tokens", "bin").orderBy("hash", "doc_id"))
+    placed = keyed.join(bins, ["source", "tokens", "bin"]).withColumn("i", F.col("shorter") + F.col("before") + place).select("doc_id", "source", "tokens", "i", "each", "goal_tokens")
+    placed = cut(placed)
+    first = F.pmod(F.xxhash64(F.lit(m.salt), "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = lambda u: (F.floor(F.col("i") * F.col("each") + u) - F.floor((F.col("i") - 1) * F.col("each") + u)).cast("long")
+    offset = lambda k: F.pmod(first + F.lit(k / m.offsets), F.lit(1.0))
+    tried = placed.groupBy("source").agg(F.first("goal_tokens").alias("goal"), *(F.sum(F.col("tokens") * copies(offset(k))).alias(f"u{k}") for k in range(m.offsets)))
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"u{k}") - F.col("goal")).alias("off"), F.lit(k).alias("k"), offset(k).alias("u")) for k in range(m.offsets))))
+    crossed = placed.join(F.broadcast(tried.select("source", nearest["u"].alias("u"))), "source").withColumn("copies", copies(F.col("u")))  # a row per target source
     return crossed.where("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 
@@ -71,25 +97,26 @@ def sized_documents(documents: DataFrame, targets: DataFrame, tokenizer: Tokeniz
     return counted(keyed, "text", tokenizer)
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: Tokenizer = Tokenizer(), salt: int = 5) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: Tokenizer = Tokenizer(), m: Mixing = Mixing()) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
     The mix, (``doc_id``, ``copy``, ``source``, ``tokens``), has one row per use of a document, copies numbered
     from 1. The report, one row per target source: ``source``, ``target_share``, ``max_repeats``, ``tokens`` (each
-    document once), ``documents``, ``goal_tokens`` (its target share of the tokens of all documents of the target
-    sources, each counted once, which is the size aimed at), ``falls_short``, ``used_tokens``, ``used_most`` (uses of the most used document),
-    ``actual_share`` (of the tokens of the mix; 0 where the mix is empty).
+    document once), ``documents``, ``goal_tokens`` (its target share of the size aimed at, see :func:`plan`, or all it can
+    give), ``falls_short``, ``used_tokens``, ``used_most`` (uses of the most used document), ``actual_share`` (of the
+    tokens of the mix; 0 where the mix is empty) and ``reachable_share`` (the same if every goal were met exactly).
 
     Documents with a null source or one without target take no part; null and empty texts have no tokens and are
     used like others of their source. ``doc_id`` must not be null. Sources are compared trimmed and in lower case.
     Tokens are counted over whole texts. Empty tables give an empty mix. Other columns are ignored.
     """
     sized = cut(sized_documents(documents, targets, tokenizer))
-    planned = cut(plan(sized, targets))
-    used = cut(emitted(sized, planned, salt))
+    planned = cut(plan(sized, targets, m))
+    used = cut(emitted(sized, planned, m))
     mixed = used.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "source", "tokens")
     totals = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("used_most"))
     report = planned.drop("copies").join(totals, "source", "left").na.fill(0, ["used_tokens", "used_most"])
-    every = report.agg(F.sum("used_tokens").alias("every"))  # one row
-    report = report.crossJoin(F.broadcast(every)).withColumn("actual_share", F.when(F.col("every") > 0, F.col("used_tokens") / F.col("every")).otherwise(0.0)).drop("every")
+    every = report.agg(F.sum("used_tokens").alias("every"), F.sum("goal_tokens").alias("goals"))  # one row
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+    report = report.crossJoin(F.broadcast(every)).withColumn("actual_share", share("used_tokens", "every")).withColumn("reachable_share", share("goal_tokens", "goals")).drop("every", "goals")
     return mixed, report

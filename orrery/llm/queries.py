@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.vectors import is_valid_vector
 from orrery.llm import clusters, mixing, neighbours, packing, quality, sample, subset
+from orrery.session import cut
 
 
 #: Share of the records that the sample holds.
@@ -96,10 +98,53 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.statistics(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
+    return found.select("doc_id", F.col("word_count").cast("long").alias("word_count"), *(F.round(c, 6).alias(c) for c in quality.STATISTICS[1:]))
+
+
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics with the kind of each text and the verdict whether it is prose."""
     return quality.assessed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
 
 
-QUERIES = [p1_found, p1_nearest, p3_found, p3_clusters, p3_flows, p4_subset, p5_found, p5_sample, p6_found, p6_containers, p6_packed, p7_found, p7_report, p7_mix, p8_found, p8_statistics]
+def p4_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors the subset has, and of these repeated ids, repeated vectors and such as aren't stored or valid."""
+    stored = _table(spark, sf_dir, "vectors")
+    chosen = subset.varied_subset(stored)
+    valid = stored.where(is_valid_vector(F.col("data"), 64)).select("id", F.xxhash64("data").alias("h")).distinct()
+    known = chosen.join(valid, "id", "left")
+    return known.agg(F.count("*").alias("selected"), (F.count("*") - F.count_distinct("id")).alias("repeated_ids"), (F.count("h") - F.count_distinct("h")).alias("repeated_vectors"), (F.count("*") - F.count("h")).alias("unknown"))
+
+
+def p6_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers over capacity, texts that their pieces don't make up in order, and whether 95 % of the space is used."""
+    texts, capacity = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("whole")), packing.Packing().capacity
+    filled = cut(packing.packed(_table(spark, sf_dir, "documents")))
+    held = packing.containers(filled).agg(F.count_if(F.col("tokens") > capacity).alias("overfull"), (F.sum("tokens") >= 0.95 * capacity * F.count("*")).alias("well_filled"))
+    along = Window.partitionBy("doc_id").orderBy("piece")
+    placed = filled.withColumn("due", F.coalesce(F.sum("chars").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("nth", F.row_number().over(along) - 1)
+    pieces = placed.groupBy("doc_id").agg(F.sum("chars").alias("held"), F.count_if((F.col("start") != F.col("due")) | (F.col("nth") != F.col("piece"))).alias("off"), (F.max("pieces") != F.count("*")).alias("short"))
+    wrong = texts.where("whole > 0").join(pieces, "doc_id", "full").where("held is null or whole is null or held != whole or off > 0 or short").agg(F.count("*").alias("broken"))
+    return held.crossJoin(wrong)  # a row each
+
+
+def p7_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that miss their goal by over 2 % and over a mean document, that repeat a document too often, whose tokens
+    aren't those of the mix, or whose share is off the target by over a hundredth (what no document can give left out)."""
+    mixed, report = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+    used = mixed.groupBy("source").agg(F.sum("tokens").alias("sum_tokens"), F.max("copy").alias("max_copy"))
+    both = report.join(used, "source", "left").na.fill(0, ["sum_tokens", "max_copy"])
+    return both.agg(
+        F.count("*").alias("sources"), F.count_if(F.abs(F.col("used_tokens") - F.col("goal_tokens")) > F.greatest(0.02 * F.col("goal_tokens"), F.col("tokens") / F.greatest("documents", F.lit(1)))).alias("off_goal"),
+        F.count_if(F.col("max_copy") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("sum_tokens") != F.col("used_tokens")).alias("miscounted"),
+        F.count_if((F.col("tokens") > 0) & (F.abs(F.col("actual_share") - F.col("target_share") / 0.97) > 0.01)).alias("off_share"),
+    )
+
+
+QUERIES = [
+    p1_found, p1_nearest, p3_found, p3_clusters, p3_flows, p4_subset, p4_violations, p5_found, p5_sample, p6_found, p6_containers, p6_packed, p6_violations,
+    p7_found, p7_report, p7_mix, p7_violations, p8_found, p8_statistics, p8_kinds,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -138,5 +183,62 @@ SELECT source FROM both_ WHERE max_repeats * tokens < target_share * (SELECT sum
 """
 
 
+#: Valid vectors, once per id, as the tables of TESTDATA define them; k is the number of the origin.
+VALID = """
+  SELECT 'stored' AS origin, CAST(id AS BIGINT) AS id, any_value(data)::DOUBLE[64] AS x FROM vectors
+  WHERE id IS NOT NULL AND len(data) = 64 AND list_bool_and(list_transform(data, lambda v: v IS NOT NULL AND isfinite(v))) GROUP BY id
+"""
+OTHERS = """
+  SELECT '{origin}' AS origin, CAST({id} AS BIGINT) AS id, any_value({data})::DOUBLE[64] AS x FROM {table}
+  WHERE {id} IS NOT NULL AND len({data}) = 64 AND list_bool_and(list_transform({data}, lambda v: v IS NOT NULL AND isfinite(v))) GROUP BY {id}
+"""
+REQUESTS = OTHERS.format(origin="request", id="query_id", data="query", table="queries")
+CENTROIDS = OTHERS.format(origin="centroid", id="centroid_id", data="vector", table="centroids")
+
+#: All pairs within the limit, of which each vector and request keeps the ten nearest.
+P1_NEAREST = f"""
+WITH s AS MATERIALIZED ({VALID}), r AS MATERIALIZED ({REQUESTS}), pairs AS (
+  SELECT 'stored' AS origin, a.id AS query_id, b.id AS neighbour_id, pow(array_distance(a.x, b.x), 2) AS d FROM s a, s b WHERE a.id <> b.id AND array_distance(a.x, b.x) <= 2.8285
+  UNION ALL SELECT 'request', a.id, b.id, pow(array_distance(a.x, b.x), 2) FROM r a, s b WHERE array_distance(a.x, b.x) <= 2.8285
+), listed AS (
+  SELECT *, row_number() OVER (PARTITION BY origin, query_id ORDER BY round(d, 9), neighbour_id) AS rank FROM pairs WHERE d <= 8.0 + 1e-12
+)"""
+P1_FOUND = P1_NEAREST + """
+SELECT DISTINCT origin, CASE WHEN origin = 'stored' THEN least(query_id, neighbour_id) ELSE query_id END AS left_id,
+  CASE WHEN origin = 'stored' THEN greatest(query_id, neighbour_id) ELSE neighbour_id END AS right_id FROM listed WHERE rank <= 10
+"""
+
+
+def _p3_sql(rounds: int = 12) -> str:
+    """Components of all pairs within the limit: each round takes the neighbours' smallest label, then that label's own."""
+    sql = f"WITH v AS MATERIALIZED ({VALID} UNION ALL {CENTROIDS}), e AS MATERIALIZED (SELECT a.origin, a.id AS a, b.id AS b FROM v a JOIN v b ON a.origin = b.origin WHERE array_distance(a.x, b.x) <= sqrt(8.0)), l0 AS MATERIALIZED (SELECT origin, id, id AS label FROM v)"
+    for r in range(rounds):
+        sql += f", m{r} AS MATERIALIZED (SELECT e.origin, e.a AS id, min(l.label) AS label FROM e JOIN l{r} l ON l.origin = e.origin AND l.id = e.b GROUP BY 1, 2)"
+        sql += f", l{r + 1} AS MATERIALIZED (SELECT m.origin, m.id, n.label FROM m{r} m JOIN m{r} n ON n.origin = m.origin AND n.id = m.label)"
+    return sql + f" SELECT origin, label AS cluster_key, id AS member_id FROM l{rounds} QUALIFY count(*) OVER (PARTITION BY origin, label) >= 3"
+
+
+P4_VIOLATIONS = f"SELECT CAST(round(0.02 * count(DISTINCT x)) AS BIGINT) AS selected, 0::BIGINT AS repeated_ids, 0::BIGINT AS repeated_vectors, 0::BIGINT AS unknown FROM ({VALID})"
+P6_VIOLATIONS = "SELECT 0::BIGINT AS overfull, true AS well_filled, 0::BIGINT AS broken"
+P7_VIOLATIONS = "SELECT count(DISTINCT lower(trim(source))) AS sources, 0::BIGINT AS off_goal, 0::BIGINT AS too_often, 0::BIGINT AS miscounted, 0::BIGINT AS off_share FROM mix_targets"
+
+P8_STATISTICS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (
+  SELECT doc_id, len(regexp_extract_all(t, '[^\s\x0b\pZ]+')) AS n, regexp_extract_all(lower(t), '\pL+') AS letters, length(regexp_replace(t, '[\s\x0b\pZ]+', '', 'g')) AS solid,
+    length(regexp_replace(t, '[^\pL\pN]+', '', 'g')) AS alnum, len(regexp_extract_all(t, '(?:^|\n)[ \t\x0b\f\r\pZ]*[^\s\x0b\pZ]')) AS lines,
+    len(regexp_extract_all(t, '[.!?…]["''”»)’\]]*[ \t\x0b\f\r\pZ]*(?:\n|\z)')) AS ended FROM d
+), s AS (SELECT DISTINCT lang, lower(word) AS word FROM common_words WHERE word IS NOT NULL),
+m AS (
+  SELECT doc_id, max(k) AS common FROM (SELECT doc_id, lang, count(*) AS k FROM (SELECT doc_id, unnest(letters) AS word FROM c) JOIN s USING (word) GROUP BY 1, 2) GROUP BY 1
+)
+SELECT doc_id, n AS word_count, round(CASE WHEN n > 0 THEN solid / n ELSE 0 END, 6) AS mean_word_length, round(CASE WHEN solid > 0 THEN (solid - alnum) / solid ELSE 0 END, 6) AS symbol_ratio,
+  round(CASE WHEN lines > 0 THEN ended / lines ELSE 0 END, 6) AS punctuated_lines, round(CASE WHEN len(letters) > 0 THEN coalesce(common, 0) / len(letters) ELSE 0 END, 6) AS common_share
+FROM c LEFT JOIN m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_FOUND, "p5_sample": P5_SAMPLE, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
+    return {
+        "p1_found": P1_FOUND, "p3_found": _p3_sql(), "p4_violations": P4_VIOLATIONS, "p5_found": P5_FOUND, "p5_sample": P5_SAMPLE, "p6_found": P6_FOUND, "p6_violations": P6_VIOLATIONS,
+        "p7_found": P7_FOUND, "p7_violations": P7_VIOLATIONS, "p8_statistics": P8_STATISTICS,
+    }
