@@ -66,7 +66,8 @@ def emitted(sized: DataFrame, planned: DataFrame, m: Mixing) -> DataFrame:
     Within a source documents stand in order of length, then of hash. With expected copies e each, the prefix sum
     at the i-th is i * e; with one random offset u for the source, floor(i * e + u) - floor((i - 1) * e + u)
     copies are emitted. Ordering by length lets every length have its share, so that tokens follow closely; what
-    single long documents leave over is halved again and again by choosing among several offsets.
+    single long documents add or leave over is made up by choosing among several offsets, and once more with the expected
+    copies raised or lowered by what the first choice missed.
 
     Prefixes are taken over counts of (source, length), then over hash bins within one, as many as its documents need;
     only rows of one bin are ranked in a task.
@@ -74,20 +75,30 @@ def emitted(sized: DataFrame, planned: DataFrame, m: Mixing) -> DataFrame:
     lengths = sized.groupBy("source", "tokens").agg(F.count("*").alias("n"))
     shorter = Window.partitionBy("source").orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)
     lengths = lengths.select("source", "tokens", F.ceil(F.col("n") / m.bin_rows).alias("bins"), F.coalesce(F.sum("n").over(shorter), F.lit(0)).alias("shorter"))
-    goal = planned.where("copies > 0").select("source", F.col("copies").alias("each"), "goal_tokens")
+    goal = planned.where("copies > 0").select("source", F.col("copies").alias("each"), "goal_tokens", "max_repeats")
     keyed = sized.withColumn("hash", F.xxhash64(F.lit(m.salt), "doc_id")).join(lengths.join(goal, "source"), ["source", "tokens"]).withColumn("bin", F.pmod("hash", F.col("bins")))
     bins = keyed.groupBy("source", "tokens", "bin").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source", "tokens").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("source", "tokens", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("source", "tokens", "bin").orderBy("hash", "doc_id"))
-    placed = keyed.join(bins, ["source", "tokens", "bin"]).withColumn("i", F.col("shorter") + F.col("before") + place).select("doc_id", "source", "tokens", "i", "each", "goal_tokens")
+    placed = keyed.join(bins, ["source", "tokens", "bin"]).withColumn("i", F.col("shorter") + F.col("before") + place).select("doc_id", "source", "tokens", "i")
     placed = cut(placed)
     first = F.pmod(F.xxhash64(F.lit(m.salt), "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = lambda u: (F.floor(F.col("i") * F.col("each") + u) - F.floor((F.col("i") - 1) * F.col("each") + u)).cast("long")
     offset = lambda k: F.pmod(first + F.lit(k / m.offsets), F.lit(1.0))
-    tried = placed.groupBy("source").agg(F.first("goal_tokens").alias("goal"), *(F.sum(F.col("tokens") * copies(offset(k))).alias(f"u{k}") for k in range(m.offsets)))
-    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"u{k}") - F.col("goal")).alias("off"), F.lit(k).alias("k"), offset(k).alias("u")) for k in range(m.offsets))))
-    crossed = placed.join(F.broadcast(tried.select("source", nearest["u"].alias("u"))), "source").withColumn("copies", copies(F.col("u")))  # a row per target source
+    keys = ["source", "each", "goal_tokens", "max_repeats"]
+
+    def tried(goal: DataFrame) -> DataFrame:
+        """Each source's offset that comes nearest to its goal, and by how much it misses."""
+        sums = placed.join(F.broadcast(goal), "source").groupBy(*keys).agg(*(F.sum(F.col("tokens") * copies(offset(k))).alias(f"u{k}") for k in range(m.offsets)))
+        best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"u{k}") - F.col("goal_tokens")).alias("off"), F.col(f"u{k}").alias("used"), offset(k).alias("u")) for k in range(m.offsets))))
+        return cut(sums.select(*keys, best.alias("best")))  # a row per target source
+
+    once = tried(goal)
+    more = F.least(F.col("each") * F.col("goal_tokens") / F.greatest("best.used", F.lit(1)), F.col("max_repeats").cast("double"))
+    twice = tried(once.select("source", more.alias("each"), "goal_tokens", "max_repeats"))
+    chosen = once.unionByName(twice).groupBy("source").agg(F.min(F.struct("best.off", "each", "best.u")).alias("m")).select("source", F.col("m.each").alias("each"), F.col("m.u").alias("u"))
+    crossed = placed.join(F.broadcast(chosen), "source").withColumn("copies", copies(F.col("u")))
     return crossed.where("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 

@@ -1,7 +1,10 @@
+import os
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
-from orrery.llm import clusters, collisions, neighbours, subset
+from orrery.llm import cells, clusters, collisions, neighbours, subset
 
 DIM = 8
 P = neighbours.Similar(k=3, limit=4.0, dimension=DIM, cell_rows=20, block_rows=64)
@@ -32,6 +35,23 @@ def test_block_equals_brute_force():
         assert len(got & want) >= 0.97 * len(want) and len(got) <= len(want) + 5
 
 
+def test_collisions_are_counted_bitwise():
+    r = np.random.default_rng(2)
+    for n in (1, 63, 64, 130, 700):
+        x, q = r.normal(0, 1, (n, DIM)).astype(np.float32), r.normal(0, 1, (40, DIM)).astype(np.float32)
+        block, half = collisions.Block(x, np.arange(n), collisions.Collisions()), 0.4
+        got = set(zip(*(a.tolist() for a in block.collide(q @ block.a, half))))
+        inside = (np.abs((q @ block.a)[:, None] - (x @ block.a)[None]) <= half).sum(2)
+        step = ((x @ block.a).max(0) - (x @ block.a).min(0)) / block.c.steps
+        wider = (np.abs((q @ block.a)[:, None] - (x @ block.a)[None]) <= half + step * 1.01 + 1e-5).sum(2)
+        enough = lambda c: set(zip(*(a.tolist() for a in np.nonzero(c >= block.c.threshold))))
+        assert enough(inside) <= got <= enough(wider)
+    masks = [r.integers(0, 1 << 63, (3, 2), dtype=np.uint64) for _ in range(16)]
+    bits = sum(np.unpackbits(m.view(np.uint8), axis=1, bitorder="little").astype(int) for m in masks)
+    for threshold in (1, 7, 10, 16):
+        assert (np.unpackbits(collisions.at_least(masks, threshold).view(np.uint8), axis=1, bitorder="little") == (bits >= threshold)).all()
+
+
 def test_bridges_join_groups_that_lists_miss():
     x = np.array([[0.0] * 8] * 3 + [[1.0] + [0.0] * 7] * 3, dtype=np.float32) + np.random.default_rng(1).normal(0, 1e-3, (6, 8)).astype(np.float32)
     ids = np.arange(6)
@@ -58,17 +78,17 @@ def listed(df):
     return {(r["query_id"], r["rank"], r["neighbour_id"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("p", [P, neighbours.Similar(k=3, limit=4.0, dimension=DIM, cell_rows=20, block_rows=2)])
+@pytest.mark.parametrize("p", [P, replace(P, block_rows=2), replace(P, region_cells=2, spread=0.5), replace(P, region_cells=2, wave_cells=3, spread=0.5), replace(P, limit=None, spread=5.0)])
 def test_most_similar(spark, vectors, rows, p):
     q = [(i + 1, rows[i * 4][1]) for i in range(20)] + [(1, rows[0][1])]
     requests = spark.createDataFrame(q + DIRTY, f"query_id long, query array<float>")
     found = neighbours.most_similar(vectors(rows + rows[:9] + DIRTY).repartition(3), requests, p).cache()
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float32)
-    want = brute(ids, x, ids, x, 3, 4.0, True)
+    want = brute(ids, x, ids, x, 3, p.limit, True)
     got = listed(found.where("origin = 'stored'"))
     assert len(got & want) >= 0.97 * len(want) and len(got) <= len(want) * 1.03
     assert {g for g in got if g[0] >= 1_000} == {w for w in want if w[0] >= 1_000}  # copies, exactly
-    asked = brute(np.arange(1, 21), np.array([v for _, v in q[:20]], dtype=np.float32), ids, x, 3, 4.0, False)
+    asked = brute(np.arange(1, 21), np.array([v for _, v in q[:20]], dtype=np.float32), ids, x, 3, p.limit, False)
     assert len(listed(found.where("origin = 'request'")) & asked) >= 0.95 * len(asked)
     pairs = neighbours.similar_pairs(found)
     assert pairs.count() == pairs.distinct().count()
@@ -128,12 +148,12 @@ def test_links_survive_the_cut_of_merged_lists(vectors):
     assert graph_groups(vectors, ids, x, p) == components(ids, x, 4.0)
 
 
-@pytest.mark.parametrize("block_rows", [2, 64])
-def test_tight_groups_in_cells_of_their_own_are_compared(vectors, block_rows):
+@pytest.mark.parametrize("more", [{"block_rows": 2}, {"block_rows": 64}, {"region_cells": 2}, {"region_cells": 3, "wave_cells": 4}])
+def test_tight_groups_in_cells_of_their_own_are_compared(vectors, more):
     r = np.random.default_rng(6)
     ids, x = strings_of_beads(step=1.9, beads=2, per=20)
     x = np.concatenate([x[:40] + s for s in r.normal(0, 30, (10, DIM)).astype(np.float32)])
-    p = neighbours.Similar(k=3, limit=4.0, dimension=DIM, cell_rows=20, block_rows=block_rows)
+    p = replace(P, **more)
     assert graph_groups(vectors, np.arange(1, len(x) + 1), x, p) == components(np.arange(1, len(x) + 1), x, 4.0)
 
 
@@ -143,6 +163,53 @@ def test_spanning_joins_what_pairs_join():
     assert sorted(collisions.spanning(label, a, b, d)) == [1, 2]
 
 
+def graph(spark, pairs):
+    return spark.createDataFrame([(a, b, w) for x, y, w in pairs for a, b in ((x, y), (y, x))], "a long, b long, w double")
+
+
+def test_flow_divides_and_levels_join(spark):
+    dense = lambda at: [(at + i, at + j, 1.0) for i in range(6) for j in range(i)]
+    pairs = [*dense(0), *dense(10), *dense(20), (5, 10, 0.05), (15, 20, 0.05), (30, 31, 1.0)]
+    flows, tops = clusters.levels(graph(spark, pairs), clusters.Markov())
+    first, top = ({r["j"]: r[1] for r in df.collect()} for df in (flows, tops))
+    groups = lambda named: {frozenset(j for j in named if named[j] == a) for a in named.values()}
+    assert groups(first) == {frozenset(range(s, s + 6)) for s in (0, 10, 20)} | {frozenset((30, 31))}
+    assert groups(top) == {frozenset(j for j in first if j < 30), frozenset((30, 31))}
+
+
+def test_a_ring_of_equal_edges_ends(spark):
+    _, tops = clusters.levels(graph(spark, [(i, (i + 1) % 40, 1.0) for i in range(40)]), clusters.Markov())
+    assert len({r["top"] for r in tops.collect()}) == 1 and tops.count() == 40
+
+
+def test_flow_clusters(spark, vectors, rows):
+    named, _ = clusters.clustered([(vectors(rows + DIRTY), "id", "data", 0)], P)
+    found = clusters.flow_clusters(named, neighbours.members(vectors(rows + DIRTY), "id", "data", P)).collect()
+    members = neighbours.members(vectors(rows + DIRTY), "id", "data", P).join(named, "node")
+    assert sum(r["size"] for r in found) == members.count() and all(1 <= len(r["typical_ids"]) <= 3 for r in found)
+    assert len({r["attractor_id"] for r in found}) == len(found)
+
+
+def test_a_hot_column_is_split(spark):
+    """Most columns hold one row of the matrix; the join on it is split, not left to one task."""
+    from pyspark.sql import functions as F
+
+    keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        part = lambda i: F.array(F.struct(F.lit(0.5).alias("v"), i.alias("i")), F.struct(F.lit(0.5).alias("v"), F.col("id").alias("i")))
+        matrix = spark.range(60_000, numPartitions=4).select(F.col("id").alias("j"), part(F.lit(7).cast("long")).alias("rows"))
+        squared = clusters._squared(matrix, clusters.Markov())
+        assert squared.count() == 60_000
+        squared.collect()
+        assert "skew=true" in squared._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_clusters_of_nothing(spark, vectors):
     named, _ = clusters.clustered([(vectors([]), "id", "data", 0)], P)
     assert named.count() == 0
@@ -167,3 +234,31 @@ def test_varied_subset(spark, vectors, rows):
     assert cover(chosen) <= min(cover(c) for c in random)
     assert subset.varied_subset(vectors([]), p, P).count() == 0
     assert subset.varied_subset(vectors([(4, [1.0] * DIM), (3, [1.0] * DIM)]), p, P).select("id").collect()[0]["id"] == 3
+
+
+def test_recall_at_a_tenth(spark):
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("the test tables aren't here")
+    table = spark.read.parquet(f"{data}/vectors.parquet")
+    valid = {r["id"]: r["data"] for r in table.collect() if r["data"] is not None and len(r["data"]) == 64 and all(v is not None and np.isfinite(v) for v in r["data"])}
+    ids = np.array(sorted(valid))
+    x = np.array([valid[i] for i in ids], dtype=np.float32)
+    want = {(a, c) for a, _, c in brute(ids, x, ids, x, 10, 8.0, True)}
+    got = {(r["query_id"], r["neighbour_id"]) for r in neighbours.most_similar(table).collect()}
+    assert len(got & want) >= 0.999 * len(want)
+
+
+def test_hot_copies_leave_the_task_once():
+    seen = neighbours._Seen(3)
+    ends, ids = seen.wanted([b"a", b"b"], np.array([0, 3, 4]), np.array([5, 6, 7, 1]))
+    assert ids.tolist() == [5, 6, 7, 1]
+    ends, ids = seen.wanted([b"a", b"b"], np.array([0, 3, 4]), np.array([2, 8, 9, 3]))
+    assert ends.tolist() == [0, 1, 2] and ids.tolist() == [2, 3]
+
+
+def test_waves_cover_all_regions():
+    starts = np.array([0, 4, 5, 9, 10])
+    c = cells.Cells(*([np.zeros((4, 2), np.float32), np.zeros(4), starts] + [np.zeros((10, 2), np.float32)] + [np.zeros(10, int)] * 6))
+    assert c.waves(6) == [(0, 2), (2, 4)] and c.waves(100) == [(0, 4)] and c.waves(1) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert len(c.wave(2, 4).centres) == 5
