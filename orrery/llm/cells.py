@@ -91,7 +91,7 @@ class Shape:
     region_cells: int = 2_048
     block_rows: int = 65_536
     least_block: int = 4_096
-    blocks: int = 32
+    blocks: int = 16
     wave_cells: int = 500_000
     seed: int = 11
 

@@ -86,18 +86,23 @@ def coarse_edges(graph: DataFrame, roots: DataFrame, p: nn.Similar, m: Markov) -
     near = F.zip_with("near", "far", lambda n, d: F.struct(n.alias("to"), F.exp(-m.decay * d / p.limit).cast("float").alias("w")))
     link = F.transform("links", lambda n: F.struct(n.alias("to"), F.lit(math.exp(-m.decay)).cast("float").alias("w")))
     edges = graph.join(roots, "node").select(F.col("root").alias("a"), F.explode(F.concat(near, link)).alias("e")).select("a", F.col("e.to").alias("node"), F.col("e.w").cast("double").alias("w"))
-    edges = edges.join(roots, "node").where(F.col("root") != F.col("a")).groupBy("a", F.col("root").alias("b")).agg(F.sum("w").alias("w"))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
+    edges = edges.join(roots, "node").where(F.col("root") != F.col("a"))
+    return _both_ways(edges.select("a", F.col("root").alias("b"), "w"))
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Weights (``a``, ``b``, ``w``) added up per pair, whatever the direction, and given in both."""
+    pairs = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w"))
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
 def _columns(entries: DataFrame, m: Markov) -> DataFrame:
     """(``j``, ``rows`` of (v, i), strongest first, summing to 1) from entries (``j``, ``i``, ``v``): pruned and normalised."""
     kept = entries.groupBy("j").agg(F.slice(F.sort_array(F.collect_list(F.struct("v", "i")), asc=False), 1, m.entries).alias("rows"))
-    total = F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["v"])
+    total = F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["v"].cast("double"))
     kept = kept.withColumn("total", total).withColumn("rows", F.filter("rows", lambda r: r["v"] >= m.least * F.col("total")))
-    total = F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["v"])
-    return kept.withColumn("total", total).select("j", F.transform("rows", lambda r: F.struct((r["v"] / F.col("total")).alias("v"), r["i"].alias("i"))).alias("rows"))
+    total = F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["v"].cast("double"))
+    return kept.withColumn("total", total).select("j", F.transform("rows", lambda r: F.struct((r["v"] / F.col("total")).cast("float").alias("v"), r["i"].alias("i"))).alias("rows"))
 
 
 def _squared(matrix: DataFrame, m: Markov) -> DataFrame:
@@ -105,8 +110,8 @@ def _squared(matrix: DataFrame, m: Markov) -> DataFrame:
     done = F.col("rows")[0]["v"] >= m.settled
     left = matrix.where(~done).select("j", F.explode("rows").alias("l")).select("j", F.col("l.i").alias("k"), F.col("l.v").alias("share"))
     right = matrix.select(F.col("j").alias("k"), F.col("rows"))
-    product = left.join(right, "k").select("j", F.transform("rows", lambda r: F.struct(r["i"].alias("i"), (r["v"] * F.col("share")).alias("v"))).alias("part"))
-    kept = matrix.where(done).select("j", F.array(F.struct(F.col("rows")[0]["i"].alias("i"), F.lit(1.0).alias("v"))).alias("part"))
+    product = left.join(right, "k").select("j", F.transform("rows", lambda r: F.struct(r["i"].alias("i"), (r["v"] * F.col("share")).cast("float").alias("v"))).alias("part"))
+    kept = matrix.where(done).select("j", F.array(F.struct(F.col("rows")[0]["i"].alias("i"), F.lit(1.0).cast("float").alias("v"))).alias("part"))
     entries = product.unionByName(kept).repartition("j").select("j", F.explode("part").alias("e")).groupBy("j", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
     return _columns(entries.withColumn("v", F.pow("v", m.inflation)), m)
 
@@ -147,8 +152,8 @@ def flow(edges: DataFrame, m: Markov) -> DataFrame:
 def contracted(edges: DataFrame, named: DataFrame) -> DataFrame:
     """The edges (``a``, ``b``, ``w``) between the clusters that (``j``, ``attractor``) makes of the nodes."""
     at = lambda end, name: named.select(F.col("j").alias(end), F.col("attractor").alias(name))
-    ends = edges.join(at("a", "x"), "a").join(at("b", "y"), "b").where(F.col("x") != F.col("y"))
-    return ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w"))
+    ends = edges.where("a < b").join(at("a", "x"), "a").join(at("b", "y"), "b").where(F.col("x") != F.col("y"))
+    return _both_ways(ends.select(F.col("x").alias("a"), F.col("y").alias("b"), "w"))
 
 
 def levels(edges: DataFrame, m: Markov) -> tuple[DataFrame, DataFrame]:
