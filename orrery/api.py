@@ -133,7 +133,13 @@ def register_sql(spark: SparkSession, indexer: Indexer | None = None) -> None:
             if len(q) != config.dimension:
                 raise InvalidInput(f"query dimension mismatch: expected {config.dimension}, got {len(q)}")
             near = sorted(table, key=lambda c: (float(((np.asarray(c[2]) - q) ** 2).sum()), c[0]))[:n_probe]
-            data = ds.dataset(lists, partitioning="hive")
+            from pyarrow.fs import FileSystem
+
+            if "://" in lists or lists.startswith("file:"):  # the file system that the location names
+                system, path = FileSystem.from_uri(lists if "://" in lists else lists.replace("file:", "file://", 1))
+                data = ds.dataset(path, filesystem=system, partitioning="hive")
+            else:
+                data = ds.dataset(lists, partitioning="hive")
             wanted = ds.field("shard_id").isin(sorted({c[1] for c in near})) & ds.field("centroid_id").isin([c[0] for c in near])
             got = data.to_table(columns=["external_id", "values"], filter=wanted)
             x = np.asarray(got["values"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, config.dimension)

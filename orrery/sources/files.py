@@ -2,11 +2,13 @@
 
 Formats: ``fvecs`` and ``ivecs`` (records of a little-endian int32 length and so many float32 or int32), ``npy`` (a
 two-dimensional array), ``vecbin`` (batches of (external_id, values, timestamp) in bincode's standard encoding) and
-``ivfshard`` (posting lists of one shard with a list index). Paths must be readable by every executor.
+``ivfshard`` (posting lists of one shard with a list index). Files are read through the local file system, so paths
+must be mounted on every executor; files are mapped or read by offset, never taken into memory whole.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
 import struct
 import warnings
@@ -171,7 +173,7 @@ def _packed(n: int) -> bytes:
     raise InvalidInput("integers have at most 64 bits")
 
 
-def decode_batches(data: bytes, strict: bool = False) -> Iterator[list[tuple[int, np.ndarray, int]]]:
+def decode_batches(data: bytes | mmap.mmap, strict: bool = False) -> Iterator[list[tuple[int, np.ndarray, int]]]:
     """Batches of (external_id, values, timestamp). What can't be decoded at the end is left out with a warning, or,
     with ``strict``, an error; ids that don't fit a signed 64-bit integer are an error."""
     view, at = memoryview(data), 0
@@ -209,11 +211,13 @@ class _VecbinReader(DataSourceReader):
         self.options = {k.lower(): v for k, v in options.items()}
 
     def partitions(self) -> list[InputPartition]:
-        return [Span(p) for p in _paths(self.options)]
+        return [Span(p) for p in _paths(self.options)] or [Span("")]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        if not partition.path or not os.path.getsize(partition.path):
+            return
         with open(partition.path, "rb") as f:
-            data = f.read()
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)  # pages come and go batch by batch
         for rows in decode_batches(data, str(self.options.get("strict", "false")).lower() == "true"):
             if rows:
                 lists = pa.array([r[1] for r in rows], pa.list_(pa.float32()))
@@ -247,9 +251,11 @@ class _ShardReader(DataSourceReader):
         self.options = {k.lower(): v for k, v in options.items()}
 
     def partitions(self) -> list[InputPartition]:
-        return [Span(p) for p in _paths(self.options)]
+        return [Span(p) for p in _paths(self.options)] or [Span("")]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         wanted = [int(c) for c in self.options.get("centroidids", "").split(",") if c]
         with open(partition.path, "rb") as f:
             shard, _, dim, lists, index_at, _ = struct.unpack(SHARD_HEADER, f.read(struct.calcsize(SHARD_HEADER)))
@@ -307,3 +313,90 @@ def write_vecs(path: str, x: np.ndarray) -> None:
     kind = "<f4" if np.issubdtype(x.dtype, np.floating) else "<i4"
     body = np.ascontiguousarray(x.astype(kind)).view("<i4")
     np.concatenate([np.full((len(x), 1), x.shape[1], "<i4"), body], axis=1).tofile(path)
+
+
+def write_vecbin(df: DataFrame, folder: str) -> None:
+    """A ``vecbin`` file per task of (``external_id``, ``values``, ``timestamp``), a batch per Arrow batch."""
+    ship(df.sparkSession)
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name, written = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.bin"), 0
+        with open(f"{name}.tmp", "wb") as f:
+            for batch in batches:
+                f.write(encode_batch(list(zip(*(batch.column(c).to_pylist() for c in ("external_id", "values", "timestamp"))))))
+                written += batch.num_rows
+        os.replace(f"{name}.tmp", name)  # a task that is run again replaces its own file
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([written])], names=["file", "rows"])
+
+    stamped = df.select("external_id", "values", "timestamp")
+    stamped.mapInArrow(run, "file string, rows long").collect()  # a row per task
+
+
+def write_shards(postings: DataFrame, centroids: DataFrame, folder: str) -> DataFrame:
+    """A shard file ``shard_<id>.bin`` per shard; returns (``file``, ``rows``).
+
+    ``postings`` (shard_id, centroid_id, id, external_id, timestamp, values) and ``centroids`` (centroid_id, shard_id,
+    n_vectors, centroid) are those of an index. Sizes of lists are known from the latter, so a task streams its shards'
+    rows behind a header and list index that it writes first; a file appears under its name when it is complete.
+    """
+    spark = postings.sparkSession
+    ship(spark)
+    os.makedirs(folder, exist_ok=True)
+    held: dict[int, list[tuple[int, int, list[float]]]] = {}
+    for r in centroids.select("shard_id", "centroid_id", "n_vectors", "centroid").orderBy("shard_id", "centroid_id").collect():  # a row per list
+        held.setdefault(r["shard_id"], []).append((r["centroid_id"], r["n_vectors"], r["centroid"]))
+    shared = spark.sparkContext.broadcast(held)
+    columns = ["shard_id", "centroid_id", "id", "external_id", "timestamp", "values"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, f, left, count = None, None, [], 0
+
+        def heads(until: int | None) -> None:
+            """Write the centroids of the lists up to the one whose rows come next."""
+            while left and until is not None and left[0][0] <= until or until is None and left:
+                cid, _, centroid = left.pop(0)
+                c = np.asarray(centroid, "<f4").tobytes()
+                f.write(c + b"\0" * (_aligned(len(c)) - len(c)))
+
+        def close() -> tuple[str, int]:
+            heads(None)
+            f.close()
+            os.replace(f.name, f.name[: -len(".tmp")])
+            return f.name[: -len(".tmp")], count
+
+        done = []
+        for batch in batches:
+            shards, lists = (batch.column(c).to_numpy() for c in ("shard_id", "centroid_id"))
+            new = np.flatnonzero(np.r_[True, (np.diff(shards) != 0) | (np.diff(lists) != 0)]) if len(shards) else []
+            for a, z in zip(new, [*new[1:], len(shards)]):
+                if shards[a] != shard:
+                    if f:
+                        done.append(close())
+                    shard, left, count = int(shards[a]), list(shared.value[int(shards[a])]), 0
+                    f = open(os.path.join(folder, f"shard_{shard}.bin.tmp"), "wb")
+                    dim = len(left[0][2])
+                    head, row = _aligned(4 * dim), _aligned(24 + 4 * dim)
+                    at = struct.calcsize(SHARD_HEADER) + len(left) * struct.calcsize(SHARD_ENTRY)
+                    f.write(struct.pack(SHARD_HEADER, shard, 1, dim, len(left), struct.calcsize(SHARD_HEADER), at))
+                    for cid, n, _ in left:
+                        f.write(struct.pack(SHARD_ENTRY, cid, n, 0, at, head + n * row))
+                        at += head + n * row
+                heads(int(lists[a]))
+                part = batch.slice(a, z - a)
+                raw = np.zeros((z - a, row), np.uint8)
+                meta = np.stack([part.column(c).to_numpy() for c in ("id", "external_id", "timestamp")], axis=1).astype("<i8")
+                raw[:, :24] = np.ascontiguousarray(meta).view(np.uint8)
+                raw[:, 24 : 24 + 4 * dim] = np.ascontiguousarray(part.column("values").flatten().to_numpy().reshape(-1, dim).astype("<f4")).view(np.uint8)
+                f.write(raw.tobytes())
+                count += int(z - a)
+        if f:
+            done.append(close())
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done])], names=["file", "rows"])
+
+    along = postings.select(*columns).repartition("shard_id").sortWithinPartitions("shard_id", "centroid_id", "id")
+    written = along.mapInArrow(run, "file string, rows long").collect()  # a row per shard
+    return spark.createDataFrame([tuple(r) for r in written], "file string, rows long")

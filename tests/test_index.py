@@ -134,3 +134,35 @@ def test_single_vector_and_ordinals(spark, tmp_path):
     assert ix.search_sync(np.array([[1.1, 2.1, 3.1, 4.1]]), 3, 10)[1].tolist() == [[0, -1, -1]]
     df = spark.createDataFrame([(i * 3, [float(i)]) for i in range(50)], "external_id long, values array<float>").repartition(5)
     assert [(r["id"], r["external_id"]) for r in with_ordinals(df).orderBy("id").collect()] == [(i, i * 3) for i in range(50)]
+
+
+def test_search_opens_only_the_probed_shards(spark, built):
+    x, ix = built
+    one = ix.index.centroids.orderBy("centroid_id").first()
+    q = spark.createDataFrame([(0, [float(v) for v in one["centroid"]])], "query_id long, query array<float>")
+    found = ix.search_batch(q, 3, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "shard_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "centroid_id" in plan.split("PushedFilters: [")[1].split("]")[0] and found.count() == 3
+
+
+def test_searches_in_blocks_agree(spark, built, monkeypatch):
+    x, ix = built
+    q = spark.createDataFrame([(i, x[i * 7].tolist()) for i in range(25)] + [(30, x[3].tolist()), (31, x[3].tolist())], "query_id long, query array<float>")
+    base = spark.createDataFrame(list(zip(range(len(x)), x.tolist())) + [(900 + i, x[3].tolist()) for i in range(12)], "external_id long, values array<float>")
+    every = lambda: [sorted(map(tuple, df.collect())) for df in (knn.exact_batch(base, q, 5), ix.search_batch(q, 5, 4), knn.probes(q, ix.index.centroids, 3), knn.nearest_centroid(base, ix.index.centroids, "external_id", "values"))]
+    whole = every()
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 700)
+    parts = every()
+    for a, b in zip(whole, parts):
+        assert [r[:3] for r in a] == [r[:3] for r in b] or np.allclose(np.array(a, float), np.array(b, float))
+    tied = [r for r in whole[0] if r[0] == 30]
+    assert [r[2] for r in tied] == [3, 900, 901, 902, 903]  # of equal distances the smaller id
+
+
+def test_exact_assignment_is_selectable(spark, tmp_path):
+    x = np.random.default_rng(8).normal(0, 1, (400, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "external_id long, values array<float>")
+    ix = index.fit(rows, IndexConfig(4, f"{tmp_path}/i", f"{tmp_path}/s"), k=130, hierarchy=False)
+    best = knn.nearest_centroid(ix.postings, ix.centroids, "external_id", "values").withColumnRenamed("centroid_id", "best")
+    assert best.join(ix.postings, "external_id").where("best != centroid_id").count() == 0

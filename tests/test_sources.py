@@ -65,6 +65,26 @@ def test_shard_files(spark, tmp_path):
             files.read(spark, "ivfshard", str(path), **options).count()
 
 
+def test_written_shards_are_read_back(spark, tmp_path):
+    rows = [(s, c, i * 10 + c, i + 1_000, 7, [float(i), float(c), 0.5]) for s, lists in ((0, (1, 2)), (4, (3,))) for c in lists for i in range(5 * c)]
+    postings = spark.createDataFrame(rows, "shard_id int, centroid_id int, id long, external_id long, timestamp long, values array<float>")
+    centroids = spark.createDataFrame([(c, s, 5 * c if c != 9 else 0, [float(c)] * 3) for c, s in ((1, 0), (2, 0), (9, 0), (3, 4))], "centroid_id int, shard_id int, n_vectors long, centroid array<double>")
+    for _ in range(2):  # again over the first
+        written = files.write_shards(postings.repartition(3), centroids, str(tmp_path))
+        assert {r["file"].rsplit("_", 1)[1]: r["rows"] for r in written.collect()} == {"0.bin": 15, "4.bin": 15}
+    got = files.read(spark, "ivfshard", str(tmp_path)).select("shard_id", "centroid_id", "id", "external_id", "timestamp", "values").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rows))
+    assert files.read(spark, "ivfshard", f"{tmp_path}/shard_0.bin", centroidIds="9,2").count() == 10
+
+
+def test_written_vecbin_is_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 2.0], i * 3) for i in range(700)], "external_id long, values array<float>, timestamp long").repartition(3)
+    files.write_vecbin(df, f"{tmp_path}/v")
+    assert sorted(map(tuple, files.read(spark, "vecbin", f"{tmp_path}/v").collect())) == sorted(map(tuple, df.collect()))
+    files.write_vecbin(df.limit(0), f"{tmp_path}/none")
+    assert files.read(spark, "vecbin", f"{tmp_path}/none").count() == 0
+
+
 def test_generators_and_assembly(spark):
     a = generate.uniform(spark, 50, 4, 1)
     assert a.orderBy("external_id").collect() == a.repartition(7).orderBy("external_id").collect()
