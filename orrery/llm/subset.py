@@ -22,11 +22,12 @@ RADIUS_BINS, HASH_BINS = 32, 4_096
 @dataclass(frozen=True)
 class Varied:
     """share: of the distinct valid vectors to select. oversample: times its share that a partition hands on.
-    partition_rows: distinct vectors of a partition, as estimated from the sample."""
+    partition_rows, pool_rows: distinct vectors of a partition of the table and of the pool, as estimated from the sample."""
 
     share: float = 0.02
-    oversample: float = 3.0
+    oversample: float = 6.0
     partition_rows: int = 4_096
+    pool_rows: int = 8_192
 
 
 def farthest_first(x: np.ndarray, tie: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +75,8 @@ def _choose(table: pa.Table, share: float, dimension: int) -> pa.Table:
     np.minimum.at(least, label, ids)
     x = np.ascontiguousarray(x[first])
     at, radii = farthest_first(x, least, int(np.ceil(share * len(x))))
+    if len(radii) > 1:
+        radii[0] = radii[1]  # the first is as far from the second as that from it, so it isn't taken for its place alone
     rows = np.r_[len(x), np.zeros(len(at) - 1, dtype=int)]
     return pa.table([pa.array(least[at]), nn._pack(x[at]), pa.array(radii), pa.array(np.arange(len(at)), pa.int32()), pa.array(rows, pa.int64())], names=["id", "v", "radius", "place", "rows"])
 
@@ -95,7 +98,7 @@ def varied_subset(stored: DataFrame, p: Varied = Varied(), s: nn.Similar = nn.Si
     ship(spark)
     router = fit(stored, vector_col, s.shape(), s.k)
     first = spark.sparkContext.broadcast(router.regrouped(router.rows, p.partition_rows))
-    second = spark.sparkContext.broadcast(router.regrouped(router.rows * min(1.0, p.share * p.oversample), p.partition_rows))
+    second = spark.sparkContext.broadcast(router.regrouped(router.rows * min(1.0, p.share * p.oversample), p.pool_rows))
     handed = min(1.0, p.share * p.oversample)
     raw = stored.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("data")).where(F.col("id").isNotNull() & F.col("data").isNotNull())
     sent = raw.mapInArrow(lambda b: _send(b, first.value, s.dimension), "block long, id long, v binary")

@@ -262,3 +262,16 @@ def test_waves_cover_all_regions():
     c = cells.Cells(*([np.zeros((4, 2), np.float32), np.zeros(4), starts] + [np.zeros((10, 2), np.float32)] + [np.zeros(10, int)] * 6))
     assert c.waves(6) == [(0, 2), (2, 4)] and c.waves(100) == [(0, 4)] and c.waves(1) == [(0, 1), (1, 2), (2, 3), (3, 4)]
     assert len(c.wave(2, 4).centres) == 5
+
+
+def test_subset_covers_like_central_greedy(spark):
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("the test tables aren't here")
+    table = spark.read.parquet(f"{data}/vectors.parquet")
+    valid = {r["id"]: r["data"] for r in table.collect() if r["data"] is not None and len(r["data"]) == 64 and all(v is not None and np.isfinite(v) for v in r["data"])}
+    x = np.unique(np.array(list(valid.values()), dtype=np.float32), axis=0).astype(float)
+    chosen = np.array([valid[r["id"]] for r in subset.varied_subset(table).collect()], dtype=float)
+    cover = lambda c: np.sqrt(np.min((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None], axis=1).max())
+    greedy, _ = subset.farthest_first(x, np.arange(len(x)), len(chosen))
+    assert len(chosen) == round(0.02 * len(x)) and cover(chosen) <= 1.05 * cover(x[greedy])
