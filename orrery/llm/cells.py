@@ -23,6 +23,8 @@ from orrery.session import ship
 
 #: Rows compared with all centres at once, which bounds the memory taken.
 ROWS_AT_ONCE = 1_024
+#: Entries of a matrix of rows and cells of a region held at once; some seven matrices of that size exist together.
+PAIRS_AT_ONCE = 1 << 21
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -183,7 +185,8 @@ class Cells:
         i, region, own, asked = self.regions_in_reach(x, spread, limit, every)
         home = np.full(len(x), -1)
         out = []
-        for r, at in zip(*runs(region)):
+        parts = ((r, places[s : s + step]) for r, places in zip(*runs(region)) for step in [max(1, PAIRS_AT_ONCE // max(1, self.starts[r + 1] - self.starts[r]))] for s in range(0, len(places), step))
+        for r, at in parts:
             a, z = self.starts[r], self.starts[r + 1]
             if a == z:
                 continue

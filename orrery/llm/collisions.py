@@ -113,10 +113,10 @@ class Block:
         self.low = p.min(axis=0) if n else np.zeros(m, np.float32)
         self.per = c.steps / np.maximum((p.max(axis=0) if n else self.low) - self.low, 1e-9)
         step = np.minimum(((p - self.low) * self.per).astype(np.int32), c.steps - 1)
-        before = step.T[:, None, :] < np.arange(c.steps + 1)[None, :, None]
         bits = np.zeros((m, c.steps + 1, -(-n // 64) * 8), dtype=np.uint8)
-        packed = np.packbits(before, axis=2, bitorder="little")
-        bits[:, :, : packed.shape[2]] = packed
+        for own, steps in zip(bits, step.T):
+            packed = np.packbits(steps < np.arange(c.steps + 1)[:, None], axis=1, bitorder="little")
+            own[:, : packed.shape[1]] = packed
         self.before = bits.view(np.uint64)
 
     def collide(self, projected: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
@@ -156,14 +156,17 @@ class Block:
     def radii(self, q: np.ndarray, q_ids: np.ndarray, k: int, limit: float | None) -> list[float]:
         """Radii of the virtual rehashes: enough for growing shares of the probes, then the limit."""
         at = np.unique(np.linspace(0, len(q) - 1, self.c.probes).astype(int))
-        qi, bi = (x.ravel() for x in np.indices((len(at), len(self.ids))))
-        d = _verify(q, self.stored, at[qi], bi)
-        d[q_ids[at[qi]] == self.ids[bi]] = np.inf
-        d = d.reshape(len(at), -1)
         top = np.inf if limit is None else float(np.sqrt(limit))
-        if d.shape[1] <= k:
+        if len(self.ids) <= k:
             return [top]
-        kth = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1])
+        step, kth = max(1, LINK_CELLS // len(self.ids)), []
+        for s in range(0, len(at), step):
+            rows = at[s : s + step]
+            qi, bi = (x.ravel() for x in np.indices((len(rows), len(self.ids))))
+            d = _verify(q, self.stored, rows[qi], bi)
+            d[q_ids[rows[qi]] == self.ids[bi]] = np.inf
+            kth.append(np.sqrt(np.partition(d.reshape(len(rows), -1), k - 1, axis=1)[:, k - 1]))
+        kth = np.concatenate(kth)
         kth = kth[(kth < top) & (kth > 0)]
         return sorted({*(float(np.quantile(kth, s)) * 1.05 for s in self.c.shares if len(kth))} - {top} | {top}) if len(kth) else [top]
 
@@ -245,13 +248,19 @@ def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarr
         label = components(len(label), np.r_[np.arange(len(label)), a[closest]], np.r_[label, b[closest]])
 
 
-def bridges(block: Block, q: np.ndarray, at: np.ndarray, label_q: np.ndarray, label_b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Stored:
+    """The vectors of a block alone, for :func:`bridges`."""
+
+    stored: np.ndarray
+
+
+def bridges(block: Block | Stored, q: np.ndarray, at: np.ndarray, label_q: np.ndarray, label_b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The closest pair within ``limit`` of every two labels, over the queries ``at`` and all stored vectors."""
     none = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     if not len(at) or len(np.unique(np.r_[label_q[at], label_b])) < 2:
         return none
-    b2 = (block.stored.astype(np.float64) ** 2).sum(1).astype(np.float32)
-    q2 = (q.astype(np.float64) ** 2).sum(1).astype(np.float32)
+    b2, q2 = (np.einsum("ij,ij->i", v, v, dtype=np.float64).astype(np.float32) for v in (block.stored, q))
     slack = 1e-5 * float(max(b2.max(), q2.max()))
     most = max(int(label_q.max()), int(label_b.max())) + 1
 

@@ -32,6 +32,8 @@ from orrery.session import kept_folder, ship, shuffle_partitions
 
 #: What a row is in a block: one that others find, one that asks, one that asks in no other block.
 STORED, ASKED, ONLY = 1, 2, 4
+#: Rows hashed and compared at once when equal ones are looked for.
+SAME_AT_ONCE = 8_192
 
 
 @dataclass(frozen=True)
@@ -122,14 +124,32 @@ def _pack(x: np.ndarray) -> pa.Array:
 
 
 def _unpack(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
-    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    parts = []
-    for c in chunks:
-        ends = np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1]
-        parts.append(np.frombuffer(c.buffers()[2], dtype=np.float32, count=(ends[-1] - ends[0]) // 4, offset=int(ends[0])).reshape(-1, dimension))
+    parts = _Packed(column, dimension).parts
     return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
+class _Packed:
+    """The rows of a packed column, left in its chunks; only those asked for are copied."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array, dimension: int):
+        self.parts, self.shape = [], (len(column), dimension)
+        for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+            ends = np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1]
+            self.parts.append(np.frombuffer(c.buffers()[2], dtype=np.float32, count=(ends[-1] - ends[0]) // 4, offset=int(ends[0])).reshape(-1, dimension))
+        self.ends = np.cumsum([0, *(len(p) for p in self.parts)])
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, at: slice | np.ndarray) -> np.ndarray:
+        at = np.arange(len(self))[at] if isinstance(at, slice) else at
+        out, part = np.empty((len(at), self.shape[1]), np.float32), np.searchsorted(self.ends, at, side="right") - 1
+        for n in np.unique(part):
+            mine = np.flatnonzero(part == n)
+            out[mine] = self.parts[n][at[mine] - self.ends[n]]
+        return out
+
+
 ROUTED = "block long, place long, flag int, bit int, ids array<long>, home int, cells array<int>, v binary"
 
 
@@ -148,10 +168,30 @@ def _vectors(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return ok[good], np.ascontiguousarray(x[good]) + np.float32(0)
 
 
-def _same(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First row and class of equal rows, the parts side by side."""
-    raw = np.ascontiguousarray(np.concatenate([np.ascontiguousarray(p).reshape(len(p), -1).view(np.uint8) for p in parts], axis=1))
-    _, first, label = np.unique(raw.view(np.dtype((np.void, raw.shape[1]))).ravel(), return_index=True, return_inverse=True)
+def _words(parts: tuple[np.ndarray | _Packed, ...], at: slice | np.ndarray) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(p[at]).view(np.uint32) for p in parts], axis=1)
+
+
+def _same(*parts: np.ndarray | _Packed) -> tuple[np.ndarray, np.ndarray]:
+    """First row and class of equal rows, the parts side by side; classes are in the order of a hash.
+
+    Rows are never copied as a whole: two hashes tell them apart, and each row is compared with the first of its class.
+    """
+    n, step = len(parts[0]), SAME_AT_ONCE
+    hashed = np.zeros((2, n), np.uint64)
+    for s in range(0, n, step):
+        words = _words(parts, slice(s, s + step)).astype(np.uint64)
+        for out, odd in zip(hashed, _ODD.reshape(2, -1)):
+            out[s : s + step] = words @ odd[: words.shape[1]]
+    order = np.lexsort(hashed)
+    new = (hashed[:, order[1:]] != hashed[:, order[:-1]]).any(axis=0)
+    label = np.empty(n, int)
+    label[order] = np.r_[0, np.cumsum(new)][:n]
+    first = order[np.r_[True, new][:n]]
+    if all((_words(parts, slice(s, s + step)) == _words(parts, first[label[s : s + step]])).all() for s in range(0, n, step)):
+        return first, label
+    raw = _words(parts, slice(None))  # different rows of one hash
+    _, first, label = np.unique(raw.view(np.dtype((np.void, 4 * raw.shape[1]))).ravel(), return_index=True, return_inverse=True)
     return first, label
 
 
@@ -257,9 +297,9 @@ FOUND = "node long, ids array<long>, near array<long>, far array<double>, links
 
 
 def _listed(column: pa.ChunkedArray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, entry) of the lists of some rows."""
+    """(row, entry) of the lists of some rows, as 32 bits each since there are many to a row."""
     lists = column.take(pa.array(first[rows])).combine_chunks().cast(pa.list_(pa.int32()))
-    return np.repeat(rows, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False).astype(int)
+    return np.repeat(rows.astype(np.int32), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)
 
 
 def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
@@ -273,40 +313,44 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
     flag, bit = table["flag"].to_numpy(), table["bit"].to_numpy()
     lists = table["ids"].combine_chunks().cast(pa.list_(pa.int64()))
     ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
-    x = _unpack(table["v"], p.dimension)
+    x = _Packed(table["v"], p.dimension)
     question = np.zeros(len(bit), bool) if graph else bit == 1
     first, label = _same(x, np.stack([flag.astype(np.int64), bit.astype(np.int64), np.where(question, flat[ends[:-1] - ends[0]], 0)], axis=1))
     ends, flat = _least(np.repeat(label, np.diff(ends)), flat, len(first), p.k + 1)
-    x, flag, home = np.ascontiguousarray(x[first]), flag[first], table["home"].to_numpy()[first]
+    flag, home = flag[first], table["home"].to_numpy()[first]
     node = (flat[ends[:-1]] << 1) | bit[first]
     asked = np.flatnonzero(flag & ASKED)
     ask_row, ask_cell = _listed(table["cells"], first, asked)
     search, ask_cell = ask_cell >= 0, np.where(ask_cell < 0, ~ask_cell, ask_cell)
+    order = np.argsort(ask_cell, kind="stable")
+    ask_row, search, ask_cell = ask_row[order], search[order], ask_cell[order]
+    at = np.flatnonzero(np.r_[True, ask_cell[1:] != ask_cell[:-1]][: len(ask_cell)])
+    asks = dict(zip(ask_cell[at].tolist(), zip(at.tolist(), [*at[1:].tolist(), len(ask_cell)])))
+    del order, ask_cell
     links: dict[int, list[int]] = {}
     found, searched = [], []
     stored = (flag & STORED) > 0
     guest = np.flatnonzero(stored & (home < 0))
     guest_row, guest_cell = _listed(table["cells"], first, guest)
     guest_row, guest_cell = guest_row[guest_cell >= 0], guest_cell[guest_cell >= 0]
-    in_cell = np.r_[home[stored & (home >= 0)], guest_cell].astype(int)
-    in_row = np.r_[np.flatnonzero(stored & (home >= 0)), guest_row].astype(int)
-    asks = dict(zip(*runs(ask_cell)))
+    in_cell = np.r_[home[stored & (home >= 0)], guest_cell].astype(np.int32)
+    in_row = np.r_[np.flatnonzero(stored & (home >= 0)), guest_row].astype(np.int32)
     for cell, places in zip(*runs(in_cell)):
-        base, at = in_row[places], asks.get(cell, np.zeros(0, int))
-        rows = ask_row[at[search[at]]]
+        base, at = in_row[places], slice(*asks.get(int(cell), (0, 0)))
+        rows = ask_row[at][search[at]]
         base = base[np.argsort(node[base])]
-        block = cc.Block(x[base], node[base], p.collisions)
-        q = x[rows]
+        block = cc.Block(x[first[base]], node[base], p.collisions)
+        q = x[first[rows]]
         qi, bi, d = block.search(q, node[rows], p.k, p.limit)
         found.append((rows[qi], base[bi], d))
         if graph and p.limit is not None:
-            searched.append((block, ask_row[at], base))
+            searched.append((ask_row[at], base))
     row, near, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     joins = [(row, near, d)]
     if searched:
         label = cc.components(len(node), row, near)
-        for block, rows, base in searched:
-            i, j, far = cc.bridges(block, x[rows], np.arange(len(rows)), label[rows], label[base], p.limit)
+        for rows, base in searched:
+            i, j, far = cc.bridges(cc.Stored(x[first[base]]), x[first[rows]], np.arange(len(rows)), label[rows], label[base], p.limit)
             joins.append((rows[i], base[j], far))
     if not graph:
         many = np.flatnonzero(stored & (flag & ASKED > 0) & (np.diff(ends) > 1))
@@ -322,8 +366,10 @@ def _answer(table: pa.Table, p: Similar, graph: bool) -> pa.Table:
         for i, j in zip(a[chosen].tolist(), b[chosen].tolist()):
             links.setdefault(i, []).append(int(node[j]))
         silent = np.bincount(row, minlength=len(node)) == 0
-        for i, j in zip(np.r_[row, a[chosen]].tolist(), np.r_[near, b[chosen]].tolist()):
-            if silent[j] and j not in links:
+        ends_a, ends_b = np.r_[row, a[chosen]], np.r_[near, b[chosen]]
+        alone = np.flatnonzero(silent[ends_b])
+        for i, j in zip(ends_a[alone].tolist(), ends_b[alone].tolist()):
+            if j not in links:
                 links[j] = [int(node[i])]
         near = node[near]
     else:

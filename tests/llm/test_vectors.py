@@ -1,4 +1,5 @@
 import os
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -275,3 +276,52 @@ def test_subset_covers_like_central_greedy(spark):
     cover = lambda c: np.sqrt(np.min((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None], axis=1).max())
     greedy, _ = subset.farthest_first(x, np.arange(len(x)), len(chosen))
     assert len(chosen) == round(0.02 * len(x)) and cover(chosen) <= 1.05 * cover(x[greedy])
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_routing_holds_few_rows_against_all_cells(monkeypatch):
+    r = np.random.default_rng(5)
+    centres, x = (r.normal(0, 4, (n, DIM)).astype(np.float32) for n in (2_000, 6_000))
+    one = np.ones(len(centres), int)
+    c = cells.Cells(centres.mean(axis=0)[None], np.full(1, np.inf), np.array([0, len(centres)]), centres, np.full(len(centres), 9.0, np.float32), one, one, one, one, one)
+    found, mb = peak_mb(lambda: c.visits(x, 0.14, 1.0, True))
+    assert mb < 120  # 301 when a whole batch is compared at once
+    monkeypatch.setattr(cells, "PAIRS_AT_ONCE", 1 << 40)
+    assert all(np.array_equal(a, b) for a, b in zip(found, c.visits(x, 0.14, 1.0, True)))
+
+
+def test_equal_rows_are_found_without_copies_of_all(monkeypatch):
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (40_000, 64)).astype(np.float32)
+    x[30_000:] = x[r.integers(0, 30_000, 10_000)]
+    key = np.stack([np.arange(len(x)) % 2, np.zeros(len(x), int)], axis=1)
+    packed = neighbours._Packed(neighbours.pa.chunked_array([neighbours._pack(p) for p in np.array_split(x, 7)]), 64)
+    (first, label), mb = peak_mb(lambda: neighbours._same(packed, key))
+    assert mb < 1.5 * x.nbytes / 1e6 and (packed[first[label]] == x).all() and (key[first[label]] == key).all()
+    whole = np.unique(np.concatenate([x.view(np.int32).astype(int), key], axis=1), axis=0)
+    assert len(first) == len(whole) and len(set(first.tolist())) == len(first) and (np.diff(np.sort(label)) <= 1).all()
+    monkeypatch.setattr(neighbours, "_ODD", np.zeros_like(neighbours._ODD))  # all rows have one hash
+    again, at = neighbours._same(packed[:3_000], key[:3_000])
+    assert len(again) == 3_000 and (again[at] == np.arange(3_000)).all()
+
+
+def test_a_block_is_answered_in_little_memory():
+    r = np.random.default_rng(9)
+    centres = r.normal(0, 3, (100, 64)).astype(np.float32)
+    x = (centres[r.integers(0, 100, 30_000)] + r.normal(0, 0.6, (30_000, 64))).astype(np.float32)
+    one, p = np.ones(100, int), neighbours.Similar(k=6)
+    c = cells.Cells(centres.mean(axis=0)[None], np.full(1, np.inf), np.array([0, 100]), centres, np.full(100, 6.0, np.float32), one, one, 0 * one, one, one)
+    pa = neighbours.pa
+    n = lambda v: pa.array(np.full(len(x), v), pa.int64())
+    batch = pa.RecordBatch.from_arrays([n(0), n(3), n(0), pa.array(np.arange(len(x))), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 64), pa.int32()), pa.array(x.ravel()))], names=["space", "role", "bit", "id", "data"])
+    table = pa.Table.from_batches(list(neighbours._route(iter([batch.slice(s, 5_000) for s in range(0, len(x), 5_000)]), {0: c}, p, True, True)))
+    _, mb = peak_mb(lambda: neighbours._answer(table, p, True))
+    assert table.num_rows == len(x) and mb < 4 * x.nbytes / 1e6
