@@ -29,6 +29,10 @@ from orrery.operators.knn import nearest_centroid
 from orrery.session import cut, release, tidy
 
 
+#: Rows up to which the one side of a join is broadcast, so that the other isn't shuffled.
+FEW = 1 << 16
+
+
 @dataclass(frozen=True)
 class Markov:
     """inflation: power of the entries. entries: entries a column keeps. least: share under which an entry is pruned.
@@ -57,12 +61,14 @@ def similarity_graph(tables: list[tuple[DataFrame, str, str, int]], p: nn.Simila
         routers[bit] = fit(df, vector_col, p.shape(), p.k)
         part = nn.stored_rows(df, id_col, vector_col, space=bit, bit=bit)
         rows = part if rows is None else rows.unionByName(part)
-    found = nn.answers(rows, routers, p, graph=True).select("node", "near", F.transform("far", lambda d: d.cast("float")).alias("far"), "links")
+    found = cut(nn.answers(rows, routers, p, graph=True).select("node", "near", F.transform("far", lambda d: d.cast("float")).alias("far"), "links"))
     best = found.groupBy("node").agg(
         F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("far", "near"))))), 1, p.k).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"),
     )
-    return best.select("node", F.transform("hits", lambda h: h["near"]).alias("near"), F.transform("hits", lambda h: h["far"]).alias("far"), "links")
+    graph = cut(best.select("node", F.transform("hits", lambda h: h["near"]).alias("near"), F.transform("hits", lambda h: h["far"]).alias("far"), "links"))
+    release(found)
+    return graph
 
 
 def trees(graph: DataFrame, jumps: int) -> DataFrame:
@@ -105,15 +111,17 @@ def _columns(entries: DataFrame, m: Markov) -> DataFrame:
     return kept.withColumn("total", total).select("j", F.transform("rows", lambda r: F.struct((r["v"] / F.col("total")).cast("float").alias("v"), r["i"].alias("i"))).alias("rows"))
 
 
-def _squared(matrix: DataFrame, m: Markov) -> DataFrame:
-    """The matrix's square, inflated, pruned and normalised; columns that have settled keep their strongest row alone."""
+def _squared(matrix: DataFrame, m: Markov, few: bool = False) -> DataFrame:
+    """The matrix's square, inflated, pruned and normalised; columns that have settled keep their strongest row alone and
+    aren't shuffled. ``few`` tells that the others are few, and are taken to the matrix where it lies."""
     done = F.col("rows")[0]["v"] >= m.settled
     left = matrix.where(~done).select("j", F.explode("rows").alias("l")).select("j", F.col("l.i").alias("k"), F.col("l.v").alias("share"))
+    left = F.broadcast(left) if few else left
     right = matrix.select(F.col("j").alias("k"), F.col("rows"))
     product = left.join(right, "k").select("j", F.transform("rows", lambda r: F.struct(r["i"].alias("i"), (r["v"] * F.col("share")).cast("float").alias("v"))).alias("part"))
-    kept = matrix.where(done).select("j", F.array(F.struct(F.col("rows")[0]["i"].alias("i"), F.lit(1.0).cast("float").alias("v"))).alias("part"))
-    entries = product.unionByName(kept).repartition("j").select("j", F.explode("part").alias("e")).groupBy("j", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
-    return _columns(entries.withColumn("v", F.pow("v", m.inflation)), m)
+    kept = matrix.where(done).select("j", F.array(F.struct(F.lit(1.0).cast("float").alias("v"), F.col("rows")[0]["i"].alias("i"))).alias("rows"))
+    entries = product.repartition("j").select("j", F.explode("part").alias("e")).groupBy("j", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
+    return _columns(entries.withColumn("v", F.pow("v", m.inflation)), m).unionByName(kept)
 
 
 def flow(edges: DataFrame, m: Markov) -> DataFrame:
@@ -126,10 +134,10 @@ def flow(edges: DataFrame, m: Markov) -> DataFrame:
     entries = edges.select(F.col("a").alias("j"), F.col("b").alias("i"), F.col("w").alias("v")).unionByName(loops)
     apart = 1 + m.apart * F.pmod(F.xxhash64("i"), F.lit(1 << 16)) / F.lit(float(1 << 16))
     matrix = cut(_columns(entries.withColumn("v", F.col("v") * apart), m))
-    least, waited = None, 0
+    least, waited, open_ = None, 0, FEW
     while waited < m.patience:
         seen = Observation()
-        new = cut(_squared(matrix, m).observe(seen, F.count_if(F.col("rows")[0]["v"] < m.settled).alias("open")))
+        new = cut(_squared(matrix, m, open_ * m.entries <= FEW).observe(seen, F.count_if(F.col("rows")[0]["v"] < m.settled).alias("open")))
         release(matrix)
         matrix, open_ = new, seen.get["open"]
         if not open_:
@@ -138,13 +146,16 @@ def flow(edges: DataFrame, m: Markov) -> DataFrame:
         least = open_ if least is None else min(least, open_)
     own = matrix.select("j", F.col("rows")[0]["i"].alias("attractor"), F.col("rows")[0]["v"].alias("flow"))
     held = own.where("attractor != j").select(F.col("attractor").alias("j")).distinct().withColumn("held", F.lit(True))
-    own = cut(own.join(held, "j", "left").withColumn("alone", (F.col("attractor") == F.col("j")) & F.col("held").isNull()).drop("held"))
+    seen = Observation()
+    own = own.join(held, "j", "left").withColumn("alone", (F.col("attractor") == F.col("j")) & F.col("held").isNull()).drop("held")
+    own = cut(own.observe(seen, F.count_if("alone").alias("alone")))
     release(matrix)
+    small = F.broadcast if seen.get["alone"] <= FEW else lambda df: df
     pair = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
-    out = edges.join(own.where("alone").select(F.col("j").alias("a")), "a", "left_semi").groupBy("a").agg(F.max(F.struct("w", pair.alias("pair"), "b"))["b"].alias("to"))
+    out = edges.join(small(own.where("alone").select(F.col("j").alias("a"))), "a", "left_semi").groupBy("a").agg(F.max(F.struct("w", pair.alias("pair"), "b"))["b"].alias("to"))
     there = own.select(F.col("j").alias("to"), F.col("attractor").alias("theirs"), F.col("alone").alias("both"))
-    moved = out.join(there, "to").select(F.col("a").alias("j"), F.when(F.col("both"), F.greatest("a", "to")).otherwise(F.col("theirs")).alias("moved"))
-    done = cut(own.join(moved, "j", "left").select("j", F.coalesce("moved", "attractor").alias("attractor"), "flow"))
+    moved = small(out).join(there, "to").select(F.col("a").alias("j"), F.when(F.col("both"), F.greatest("a", "to")).otherwise(F.col("theirs")).alias("moved"))
+    done = cut(own.join(small(moved), "j", "left").select("j", F.coalesce("moved", "attractor").alias("attractor"), "flow"))
     release(own)
     return done
 
@@ -187,7 +198,7 @@ def clustered(tables: list[tuple[DataFrame, str, str, int]], p: nn.Similar = nn.
     in ``label``, the smallest node of its cluster; nodes without a similar other are missing. The second is the
     similarity graph. ``p.limit`` must be given.
     """
-    graph = cut(similarity_graph(tables, p))
+    graph = similarity_graph(tables, p)
     tidy(graph.sparkSession)
     roots = trees(graph, m.jumps)
     edges = cut(coarse_edges(graph, roots, p, m))
@@ -203,7 +214,7 @@ def clustered(tables: list[tuple[DataFrame, str, str, int]], p: nn.Similar = nn.
 
 def cluster_members(named: DataFrame, members: DataFrame, least: int = 3) -> DataFrame:
     """(``bit``, ``cluster_key``, ``member_id``) of clusters with at least ``least`` members, copies counted."""
-    full = members.join(named.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    full = cut(members.join(named.select("node", "label"), "node", "left").select("id", F.coalesce("label", "node").alias("label")))
     few = full.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < least).select("label")
     kept = full.join(few, "label", "left_anti")
     return kept.select(F.col("label").bitwiseAND(F.lit(1).cast("long")).alias("bit"), F.shiftright("label", 1).alias("cluster_key"), F.col("id").alias("member_id"))

@@ -97,7 +97,8 @@ def _keyed(df: DataFrame, id_col: str, vector_col: str, p: Similar) -> DataFrame
 
 def members(df: DataFrame, id_col: str, vector_col: str, p: Similar, bit: int = 0) -> DataFrame:
     """(``id``, ``node``) of every valid row, once per id; ``node`` names the class by its smallest id."""
-    slim = _keyed(df, id_col, vector_col, p).where(is_valid_vector(F.col("data"), p.dimension)).select("h1", "h2", "id").distinct()
+    rows = _keyed(df, id_col, vector_col, p).where(is_valid_vector(F.col("data"), p.dimension)).select("h1", "h2", "id")
+    slim = rows.repartition("h1", "h2").distinct()  # one shuffle serves all three steps
     nodes = slim.groupBy("h1", "h2").agg(node_of(F.min("id"), bit).alias("node"))
     return slim.join(nodes, ["h1", "h2"]).select("id", "node")
 

@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether Spark deletes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the folder for checkpoints.
 
@@ -31,10 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table beside the checkpoints and return it without lineage.
 
     Unlike a checkpoint the table is columnar and compressed, and carries no constraints of the plan that made it, which in
-    iterative operators would grow from round to round.
+    iterative operators would grow from round to round. The shuffle files that it took are deleted at once, not when the
+    driver collects its garbage.
     """
-    folder = kept_folder(df.sparkSession, "cut")
-    df.write.parquet(folder)
+    folder, conf = kept_folder(df.sparkSession, "cut"), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     kept = df.sparkSession.read.schema(df.schema).parquet(folder)
     kept._orrery_folder = folder
     return kept

@@ -325,3 +325,30 @@ def test_a_block_is_answered_in_little_memory():
     table = pa.Table.from_batches(list(neighbours._route(iter([batch.slice(s, 5_000) for s in range(0, len(x), 5_000)]), {0: c}, p, True, True)))
     _, mb = peak_mb(lambda: neighbours._answer(table, p, True))
     assert table.num_rows == len(x) and mb < 4 * x.nbytes / 1e6
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from orrery.session import CLEANUP, cut
+
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
+    before, asked = files(), spark.conf.get(CLEANUP)
+    kept = cut(spark.range(50_000).groupBy(F.pmod(F.xxhash64("id"), F.lit(7)).alias("k")).count())
+    assert not files() - before and spark.conf.get(CLEANUP) == asked
+    assert kept.count() == 7
+
+
+def test_settled_columns_are_kept_whether_the_others_are_few_or_not(spark):
+    rows = [(1, [(1.0, 9)]), (2, [(0.95, 9), (0.05, 1)]), (3, [(0.5, 1), (0.5, 2)]), (9, [(1.0, 9)])]
+    matrix = spark.createDataFrame(rows, "j long, rows array<struct<v: float, i: long>>")
+    want = {1: [(1.0, 9)], 2: [(1.0, 9)], 9: [(1.0, 9)]}
+    for few in (False, True):
+        squared = clusters._squared(matrix, clusters.Markov(), few)
+        got = {r["j"]: [tuple(e) for e in r["rows"]] for r in squared.collect()}
+        assert {j: got[j] for j in want} == want and got[3][0][1] == 9 and len(got) == 4
+        plan = squared._jdf.queryExecution().executedPlan().toString()
+        assert "Union" in plan.split("Exchange")[0]  # settled columns join in after the last shuffle
